@@ -83,7 +83,7 @@ def _powers(n: int) -> np.ndarray:
     """Powers of an odd constant modulo 2^64, at least n of them."""
     have = _POWERS[0]
     while len(have) < n:
-        top = have[-1] * _MIX
+        top = have[-1:] * _MIX
         have = np.concatenate([have, have * top])
     _POWERS[0] = have
     return have
@@ -96,7 +96,7 @@ _INVERSES: list[np.ndarray] = [np.ones(1, np.uint64)]
 def _inverse_powers(n: int) -> np.ndarray:
     have = _INVERSES[0]
     while len(have) < n:
-        top = have[-1] * _INVERSE
+        top = have[-1:] * _INVERSE
         have = np.concatenate([have, have * top])
     _INVERSES[0] = have
     return have
@@ -137,3 +137,92 @@ def shingle_hashes(words: np.ndarray, size: int = 5) -> np.ndarray:
     for k in range(width):
         out = mix64(out * _MIX + words[k : n - width + 1 + k])
     return out
+
+
+def batch_words(texts: list[bytes | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Word hashes (A-Z in lower case) of many texts at once: index of the text, hash, and the number of words of each text."""
+    data = lower_ascii(np.frombuffer(b"\n".join(t or b"" for t in texts) + b"\n", np.uint8))
+    starts, ends = word_spans(data)
+    limits = np.cumsum([len(t or b"") + 1 for t in texts])
+    owner = np.searchsorted(limits, starts, side="right")
+    return owner, span_hashes(data, starts, ends), np.bincount(owner, minlength=len(texts))
+
+
+def batch_shingles(texts: list[bytes | None], size: int = 5) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct shingles of many texts: index of the text and hash, sorted by both.
+
+    A shingle is size consecutive words; a text of fewer words is one shingle, a text without words has none.
+    """
+    owner, words, counts = batch_words(texts)
+    n = len(words)
+    if n == 0:
+        return np.zeros(0, np.int64), np.zeros(0, np.uint64)
+    full = n - size + 1
+    owners, hashes = [], []
+    if full > 0:
+        h = np.full(full, np.uint64(size))
+        for k in range(size):
+            h = mix64(h * _MIX + words[k : k + full])
+        inside = owner[:full] == owner[size - 1 :]
+        owners.append(owner[:full][inside])
+        hashes.append(h[inside])
+    short = np.flatnonzero((counts > 0) & (counts < size))
+    if len(short):
+        first = np.searchsorted(owner, short)
+        owners.append(short)
+        hashes.append(np.array([shingle_hashes(words[a : a + counts[d]], size)[0] for a, d in zip(first, short, strict=True)], np.uint64))
+    owner, h = np.concatenate(owners), np.concatenate(hashes)
+    order = np.argsort(h, kind="stable")
+    order = order[np.argsort(owner[order], kind="stable")]
+    owner, h = owner[order], h[order]
+    new = np.ones(len(h), bool)
+    new[1:] = (owner[1:] != owner[:-1]) | (h[1:] != h[:-1])
+    return owner[new].astype(np.int64), h[new]
+
+
+def in_slices(texts: list[bytes | None], most: int = 1 << 22):
+    """Ranges (begin, end) of texts of about most bytes together; a longer text stands alone."""
+    begin, size = 0, 0
+    for k, t in enumerate(texts):
+        n = len(t or b"")
+        if size and size + n > most:
+            yield begin, k
+            begin, size = k, 0
+        size += n
+    if begin < len(texts):
+        yield begin, len(texts)
+
+
+# ---------------------------------------------------------------- components
+
+
+def components(edges: DataFrame, a: str = "a", b: str = "b", rounds: int = 40) -> DataFrame:
+    """Connected components of the links (a, b): node, component (smallest node), for each node with a link to another.
+
+    Alternates the large-star and the small-star operation (Kiveris et al. 2014), which keep components and end with a star for each
+    of them. Each round is written to the shared folder, so lineage stays short and a lost executor costs no round.
+    """
+    spark = edges.sparkSession
+
+    def stars(links: DataFrame, large: bool) -> DataFrame:
+        if large:
+            both = links.unionByName(links.select(F.col("v").alias("u"), F.col("u").alias("v")))
+            least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+            out = both.filter("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        else:
+            down = links.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
+            least = down.groupBy("u").agg(F.min("v").alias("m"))
+            out = down.join(least, "u").select(F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e")).select("e.*")
+        return out.filter("u <> v").distinct()
+
+    links = stored(edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).filter("u <> v").distinct(), "links")
+    mark = None
+    for _ in range(rounds):
+        links = stored(stars(stars(links, True), False), "links")
+        now = links.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
+        if now == mark:
+            break
+        mark = now
+    else:
+        raise RuntimeError(f"components didn't settle in {rounds} rounds")
+    return links.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(links.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
