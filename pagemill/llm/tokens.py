@@ -12,6 +12,8 @@ import os
 import numpy as np
 
 _ENCODERS: dict[tuple, ChunkEncoder] = {}
+#: A control character that is neither white space nor part of another character's bytes.
+MARK = "\x01"
 
 
 class ChunkEncoder:
@@ -20,7 +22,7 @@ class ChunkEncoder:
     Special tokens' strings in a text are ordinary text. A missing or empty text has no ids.
     """
 
-    def __init__(self, path: str, dtype: str = "<u4", cache_entries: int = 1_000_000):
+    def __init__(self, path: str, dtype: str = "<u4", cache_entries: int = 1_200_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -29,11 +31,48 @@ class ChunkEncoder:
         self.dtype, self.limit = np.dtype(dtype), cache_entries
         if self.tokenizer.get_vocab_size() > np.iinfo(self.dtype).max + 1:
             raise ValueError(f"ids of {path} don't fit into {dtype}")
-        self.cache: dict[str, bytes] = {}
+        self.cache: dict[str, bytes | None] = {}
+        self.tails: dict[str, bytes] = {}
+        self.mark = self.tokenizer.encode(" " + MARK, add_special_tokens=False).ids
 
     def _encode(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, self.dtype).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
+    def _encode_chunks(self, chunks: list[str], most: int = 256) -> list[bytes]:
+        """ids of each chunk as it stands after a blank. Many chunks are encoded as one text, with a mark between them that is cut out again."""
+        if any(MARK in c for c in chunks):
+            return self._encode([" " + c for c in chunks])
+        groups = [chunks[k : k + most] for k in range(0, len(chunks), most)]
+        between, last = f" {MARK} ", self.mark[-1]
+        out: list[bytes] = []
+        for group, encoding in zip(groups, self.tokenizer.encode_batch_fast([" " + between.join(g) for g in groups], add_special_tokens=False), strict=True):
+            ids = np.array(encoding.ids, self.dtype)
+            marks = np.flatnonzero(ids == last)
+            if len(marks) != len(group) - 1:  # can't be, as no chunk holds the mark
+                raise ValueError("the tokenizer didn't keep the marks apart")
+            begins, ends = np.append(0, marks + 1).tolist(), np.append(marks + 1 - len(self.mark), len(ids)).tolist()
+            out += [ids[i:j].tobytes() for i, j in zip(begins, ends, strict=True)]
+        return out
+
+    def _learn(self, chunks: list[str]) -> None:
+        """Put chunks into the cache. Points and commas after a Latin letter are a word of their own for the pre-tokenizer, and are split off."""
+        cache, tails = self.cache, self.tails
+        split = []
+        plain = set()
+        for c in chunks:
+            core = c.rstrip(".,")
+            if core and core != c and core[-1] < "\u0250" and core[-1].isalpha():
+                split.append((c, core, c[len(core) :]))
+                if core not in cache:
+                    plain.add(core)
+            else:
+                plain.add(c)
+        new = list(plain)
+        cache.update(zip(new, self._encode_chunks(new), strict=True))
+        for tail in {t for *_, t in split} - tails.keys():
+            tails[tail] = self._encode([tail])[0]
+        cache.update([(c, cache[core] + tails[tail]) for c, core, tail in split])
+
     def batch(self, texts: list[str | None], chars: int = 1 << 22) -> list[bytes]:
         """ids of each text; works through about chars characters at a time, so that memory is bounded."""
         out: list[bytes] = []
@@ -50,12 +89,11 @@ class ChunkEncoder:
             self.cache.clear()
         parts = [text.split(" ") if text else [] for text in texts]
         cache = self.cache
-        missing = list({c for p in parts for c in p[1:] if c not in cache})
+        missing = set().union(*parts).difference(cache)
         if missing:
             # what ends in white space, and so what is empty too, can't be followed by a cut: None sends the text to the slow way
-            fine = [c for c in missing if c and not c[-1].isspace()]
-            cache.update(dict.fromkeys(missing))
-            cache.update(zip(fine, self._encode([" " + c for c in fine]), strict=True))
+            cache.update(dict.fromkeys(c for c in missing if not c or c[-1].isspace()))
+            self._learn([c for c in missing if c and not c[-1].isspace()])
         heads = self._encode([p[0] for p in parts if p])
         out, k = [], 0
         for text, p in zip(texts, parts, strict=True):
