@@ -24,6 +24,9 @@ from pyspark.sql import types as T
 from .common import stored
 from .tokens import encoder
 
+#: Rows of 16 bytes.
+BROADCAST_PARTS = 100_000
+
 
 def token_streams(docs: DataFrame, tokenizer: str, end_id: int = 0, key: str = "doc_id", text: str = "text") -> DataFrame:
     """First pass, written as a table: part, local_start, key, doc_tokens, ids (uint32, little-endian, with the end id)."""
@@ -48,10 +51,11 @@ def token_streams(docs: DataFrame, tokenizer: str, end_id: int = 0, key: str = "
 
 
 def offsets(streams: DataFrame) -> DataFrame:
-    """Global offset of each part: prefix sums over a row for each part of the first pass."""
+    """Global offset of each part: prefix sums over a row for each part of the first pass. Up to BROADCAST_PARTS rows are small enough to broadcast."""
     totals = [(r.part, r.total) for r in streams.groupBy("part").agg(F.max(F.col("local_start") + F.col("doc_tokens")).alias("total")).orderBy("part").collect()]
     base = np.concatenate([[0], np.cumsum([t for _, t in totals])]).tolist()
-    return streams.sparkSession.createDataFrame([(p, b) for (p, _), b in zip(totals, base, strict=False)], "part long, base long")
+    out = streams.sparkSession.createDataFrame([(p, b) for (p, _), b in zip(totals, base, strict=False)], "part long, base long")
+    return F.broadcast(out) if len(totals) <= BROADCAST_PARTS else out
 
 
 def pack(docs: DataFrame, tokenizer: str, length: int = 1024, end_id: int = 0, key: str = "doc_id", text: str = "text") -> DataFrame:

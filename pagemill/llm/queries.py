@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontamination, line_templates, ngram_join, ordinal_quality, packing, token_records, topk_search, toxicity
+from . import decontamination, line_templates, ngram_join, ordinal_quality, packing, passages, suffix_dedup, token_records, topk_search, toxicity
 from .common import documents
 from .tokens import public_tokenizer
 
@@ -26,12 +26,22 @@ def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
 
 
+def op3_compact_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = passages.near_duplicate_passages(documents(spark, sf_dir))
+    return found.withColumnRenamed("other", "other_doc_id")
+
+
 def op4_ordinal_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir).select("doc_id", "text")
     model = ordinal_quality.train(docs, _table(spark, sf_dir, "labels"))
     return ordinal_quality.score(docs, model).drop("text")
 
 
+def op5_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    left = suffix_dedup.cut(documents(spark, sf_dir), length=100)
+    return left.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op6_topk_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = topk_search.topk(_table(spark, sf_dir, "embeddings"), F.col("id") % 50 == 0, k=5)
     return found.withColumn("score", F.col("score").cast("long"))
@@ -59,7 +69,7 @@ def op10_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_token_records, op2_packing, op4_ordinal_quality, op6_topk_search, op7_decontamination, op8_line_templates, op9_toxicity, op10_ngram_join)}
+    return {f.__name__: f for f in (op1_token_records, op2_packing, op3_compact_windows, op4_ordinal_quality, op5_suffix_dedup, op6_topk_search, op7_decontamination, op8_line_templates, op9_toxicity, op10_ngram_join)}
 
 
 def oracle_sql() -> dict[str, str]:
