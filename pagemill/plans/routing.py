@@ -29,11 +29,11 @@ def route_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return r.select("doc_id", "n_pages", F.round("degradation", 4).alias("degradation"), F.round("complexity", 6).alias("complexity"), F.round("risk", 4).alias("risk"), routing.strategy().alias("strategy"), routing.rationale().alias("rationale"))
 
 
-@query(f"""SELECT doc_id, page, source_id, round(degradation, 6) AS degradation, round(blur * 0.4::DOUBLE + noise * 0.3::DOUBLE + contrast * 0.3::DOUBLE, 6) AS simplified,
-  round((degradation) * 0.7::DOUBLE + illumination * 0.3::DOUBLE, 6) AS blended FROM ({SCORED})""")
+@query(f"""SELECT doc_id, page, source_id, round(degradation, 9) AS degradation, round(blur * 0.4::DOUBLE + noise * 0.3::DOUBLE + contrast * 0.3::DOUBLE, 9) AS simplified,
+  round((degradation) * 0.7::DOUBLE + illumination * 0.3::DOUBLE, 9) AS blended FROM ({SCORED})""")
 def dqs_page_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     full = quality.degradation_score()
-    return pages(spark, sf_dir).select("doc_id", "page", "source_id", F.round(full, 6).alias("degradation"), F.round(quality.simplified_score(), 6).alias("simplified"), F.round(quality.blended(full, F.col("illumination")), 6).alias("blended"))
+    return pages(spark, sf_dir).select("doc_id", "page", "source_id", F.round(full, 9).alias("degradation"), F.round(quality.simplified_score(), 9).alias("simplified"), F.round(quality.blended(full, F.col("illumination")), 9).alias("blended"))
 
 
 @query(f"SELECT doc_id, round(degradation, 4) AS degradation, round(complexity, 6) AS complexity, has_tables, has_figures, has_handwriting, simple, n_pages FROM ({DOC_SCORES})")
@@ -144,7 +144,7 @@ def device_policy(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"""
 WITH d AS (SELECT doc_id, page, source_id, abs(blur - contrast) AS d1, abs(contrast - noise) AS d2, abs(illumination - blur) AS d3, abs(noise - artifacts) AS d4, abs(artifacts - illumination) AS d5 FROM ({PAGES})),
 m AS (SELECT *, (d1 * 1.2::DOUBLE + d2 + d3 * 0.8::DOUBLE + d4 + d5 * 0.9::DOUBLE) / 4.9::DOUBLE AS aggregate, greatest(d1, d2, d3, d4, d5) AS largest FROM d)
-SELECT doc_id, page, source_id, round(aggregate, 6) AS aggregate, round(largest, 6) AS largest,
+SELECT doc_id, page, source_id, round(aggregate, 9) AS aggregate, round(largest, 9) AS largest,
   CASE largest WHEN d1 THEN 'blur' WHEN d2 THEN 'contrast' WHEN d3 THEN 'skew' WHEN d4 THEN 'noise' ELSE 'compression' END AS largest_head,
   concat_ws(',', CASE WHEN d1 >= 0.25 THEN 'blur' END, CASE WHEN d2 >= 0.3 THEN 'contrast' END, CASE WHEN d3 >= 0.2 THEN 'skew' END, CASE WHEN d4 >= 0.35 THEN 'noise' END, CASE WHEN d5 >= 0.35 THEN 'compression' END) AS heads,
   d1 >= 0.25 OR d2 >= 0.3 OR d3 >= 0.2 OR d4 >= 0.35 OR d5 >= 0.35 OR aggregate >= 0.25 AS escalate FROM m""")
@@ -154,7 +154,7 @@ def discrepancy_escalation(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     p = pages(spark, sf_dir).withColumns({"ml": heads(blur="blur", contrast="contrast", skew="illumination", noise="noise", compression="artifacts"), "cl": heads(blur="contrast", contrast="noise", skew="blur", noise="artifacts", compression="illumination")})
     d = quality.discrepancies("ml", "cl")
-    return p.select("doc_id", "page", "source_id", F.round(d["aggregate"], 6).alias("aggregate"), F.round(d["largest"], 6).alias("largest"), d["largest_head"].alias("largest_head"), F.array_join(d["heads"], ",").alias("heads"), d["escalate"].alias("escalate"))
+    return p.select("doc_id", "page", "source_id", F.round(d["aggregate"], 9).alias("aggregate"), F.round(d["largest"], 9).alias("largest"), d["largest_head"].alias("largest_head"), F.array_join(d["heads"], ",").alias("heads"), d["escalate"].alias("escalate"))
 
 
 @query(f"""
@@ -169,11 +169,11 @@ def orientation_vote(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(f"""WITH s AS (SELECT doc_id, page, source_id, greatest(0.0, least(1.0, illumination * 0.25::DOUBLE + blur * 0.20::DOUBLE + artifacts * 0.20::DOUBLE + (1 - least(1.0, warping)) * 0.15::DOUBLE + contrast * 0.20::DOUBLE)) AS score FROM ({PAGES}))
-SELECT doc_id, page, source_id, round(score, 6) AS score, CASE WHEN score >= 0.6 THEN 'scanner' WHEN score >= 0.4 THEN 'scanner_low' WHEN score >= 0.3 THEN 'uncertain' ELSE 'camera' END AS capture FROM s""")
+SELECT doc_id, page, source_id, round(score, 9) AS score, CASE WHEN score >= 0.6 THEN 'scanner' WHEN score >= 0.4 THEN 'scanner_low' WHEN score >= 0.3 THEN 'uncertain' ELSE 'camera' END AS capture FROM s""")
 def capture_source(spark: SparkSession, sf_dir: str) -> DataFrame:
     score = quality.clip01(F.col("illumination") * 0.25 + F.col("blur") * 0.20 + F.col("artifacts") * 0.20 + (1 - F.least(F.lit(1.0), F.col("warping"))) * 0.15 + F.col("contrast") * 0.20)
     s = pages(spark, sf_dir).select("doc_id", "page", "source_id", score.alias("score"))
-    return s.select("doc_id", "page", "source_id", F.round("score", 6).alias("score"), F.when(F.col("score") >= 0.6, "scanner").when(F.col("score") >= 0.4, "scanner_low").when(F.col("score") >= 0.3, "uncertain").otherwise("camera").alias("capture"))
+    return s.select("doc_id", "page", "source_id", F.round("score", 9).alias("score"), F.when(F.col("score") >= 0.6, "scanner").when(F.col("score") >= 0.4, "scanner_low").when(F.col("score") >= 0.3, "uncertain").otherwise("camera").alias("capture"))
 
 
 @query(f"SELECT CASE WHEN total > 250000 AND script_confidence < 0.5 THEN 'born_digital' WHEN total < 50000 AND script_confidence >= 0.5 THEN 'image_only' ELSE 'hybrid' END AS pdf_type, count(*) AS documents FROM ({DOCS}) GROUP BY 1")
@@ -183,7 +183,7 @@ def classify_pdf_type(spark: SparkSession, sf_dir: str) -> DataFrame:
     return documents(spark, sf_dir).groupBy(F.when((text > 250000) & ~images, "born_digital").when((text < 50000) & images, "image_only").otherwise("hybrid").alias("pdf_type")).agg(F.count("*").alias("documents"))
 
 
-@query(f"SELECT doc_id, page, source_id, round(blur * 0.35::DOUBLE + noise * 0.25::DOUBLE + contrast * 0.25::DOUBLE + artifacts * 0.15::DOUBLE, 6) AS text_layer_quality FROM ({PAGES})")
+@query(f"SELECT doc_id, page, source_id, round(blur * 0.35::DOUBLE + noise * 0.25::DOUBLE + contrast * 0.25::DOUBLE + artifacts * 0.15::DOUBLE, 9) AS text_layer_quality FROM ({PAGES})")
 def text_layer_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     q = quality.weighted((("blur", 0.35), ("noise", 0.25), ("contrast", 0.25), ("artifacts", 0.15)))
-    return pages(spark, sf_dir).select("doc_id", "page", "source_id", F.round(q, 6).alias("text_layer_quality"))
+    return pages(spark, sf_dir).select("doc_id", "page", "source_id", F.round(q, 9).alias("text_layer_quality"))
