@@ -9,7 +9,6 @@ from ..catalog import query
 from ..functions import text as T
 from .fixtures import table
 
-T_ = F.col("text")
 _CHARS = "length(replace(replace(text, ' ', ''), chr(10), ''))"
 _WORDS = "len(list_filter(regexp_split_to_array(text, '\\s+'), lambda w: w <> ''))"
 
@@ -20,12 +19,12 @@ def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"SELECT doc_id, {_CHARS}::BIGINT AS chars, round({_CHARS} / ((1000 + doc_id % 10 * 100) * 1500 / 1e6), 6) AS text_yield FROM documents")
 def text_yield(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _docs(spark, sf_dir).select("doc_id", T.chars(T_).cast("long").alias("chars"), F.round(T.text_yield(T_, 1000 + F.col("doc_id") % 10 * 100, F.lit(1500)), 6).alias("text_yield"))
+    return _docs(spark, sf_dir).select("doc_id", T.chars(F.col("text")).cast("long").alias("chars"), F.round(T.text_yield(F.col("text"), 1000 + F.col("doc_id") % 10 * 100, F.lit(1500)), 6).alias("text_yield"))
 
 
 @query(f"SELECT doc_id, {_WORDS}::BIGINT AS words, round({_WORDS} / (1000.0::DOUBLE * (1 + doc_id % 7)), 6) AS word_density FROM documents")
 def word_density(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _docs(spark, sf_dir).select("doc_id", T.words(T_).cast("long").alias("words"), F.round(T.word_density(T_, 1000.0 * (1 + F.col("doc_id") % 7)), 6).alias("word_density"))
+    return _docs(spark, sf_dir).select("doc_id", T.words(F.col("text")).cast("long").alias("words"), F.round(T.word_density(F.col("text"), 1000.0 * (1 + F.col("doc_id") % 7)), 6).alias("word_density"))
 
 
 @query("""
@@ -33,14 +32,14 @@ WITH l AS (SELECT doc_id, list_transform(list_filter(string_split(text, chr(10))
 m AS (SELECT doc_id, s, list_sum(s) / len(s) AS mean, list_sum(list_transform(s, lambda x: x * x)) / len(s) AS sq FROM l)
 SELECT doc_id, round(CASE WHEN len(s) < 3 THEN 0.5 ELSE greatest(0.0, least(1.0, 1 - sqrt(greatest(sq - mean * mean, 0.0)) / mean)) END, 4) AS line_regularity FROM m""")
 def line_regularity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _docs(spark, sf_dir).select("doc_id", F.round(T.line_regularity(T_), 4).alias("line_regularity"))
+    return _docs(spark, sf_dir).select("doc_id", F.round(T.line_regularity(F.col("text")), 4).alias("line_regularity"))
 
 
 @query(r"""
 WITH i AS (SELECT doc_id, regexp_replace(text, '\s', '', 'g') AS ink FROM documents)
 SELECT doc_id, round(CASE WHEN length(ink) > 0 THEN length(regexp_replace(ink, '[^\p{L}\p{M}\p{N}\p{P}\p{Sm}\p{Sc}]', '', 'g')) / length(ink) ELSE 0 END, 6) AS valid_char_rate FROM i""")
 def valid_char_rate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _docs(spark, sf_dir).select("doc_id", F.round(T.valid_char_rate(T_), 6).alias("valid_char_rate"))
+    return _docs(spark, sf_dir).select("doc_id", F.round(T.valid_char_rate(F.col("text")), 6).alias("valid_char_rate"))
 
 
 @query(r"""
@@ -50,24 +49,24 @@ t AS (SELECT doc_id, sum(n) AS total, count(*) AS kinds FROM b GROUP BY doc_id),
 e AS (SELECT doc_id, -sum(n / total * ln(n / total)) AS e, any_value(kinds) AS kinds, any_value(total) AS total FROM b JOIN t USING (doc_id) GROUP BY doc_id)
 SELECT d.doc_id, round(CASE WHEN coalesce(total, 0) < 2 OR kinds < 2 THEN 0 ELSE e / ln(kinds) END, 6) AS block_entropy FROM documents d LEFT JOIN e USING (doc_id)""")
 def block_entropy(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _docs(spark, sf_dir).select("doc_id", F.round(T.block_entropy(T_), 6).alias("block_entropy"))
+    return _docs(spark, sf_dir).select("doc_id", F.round(T.block_entropy(F.col("text")), 6).alias("block_entropy"))
 
 
 @query(f"SELECT doc_id, round(exp(-abs(ln(greatest({_CHARS} / greatest((1 + doc_id % 5) * 400.0::DOUBLE, 1.0), 0.01)))), 6) AS layout_text_agreement, round(least(1.0, {_CHARS} / (1 + doc_id % 5) / 50), 6) AS completeness FROM documents")
 def layout_text_agreement(spark: SparkSession, sf_dir: str) -> DataFrame:
     regions = 1 + F.col("doc_id") % 5
-    return _docs(spark, sf_dir).select("doc_id", F.round(T.layout_agreement(T.chars(T_), regions * 400.0), 6).alias("layout_text_agreement"), F.round(T.completeness(T.chars(T_), regions), 6).alias("completeness"))
+    return _docs(spark, sf_dir).select("doc_id", F.round(T.layout_agreement(T.chars(F.col("text")), regions * 400.0), 6).alias("layout_text_agreement"), F.round(T.completeness(T.chars(F.col("text")), regions), 6).alias("completeness"))
 
 
 @query(f"""SELECT source, count(*) AS documents, round(avg({_CHARS}), 4) AS mean_chars, round(avg({_WORDS}), 4) AS mean_words, round(avg(length(text) / greatest({_WORDS}, 1)), 4) AS mean_word_length FROM documents GROUP BY source""")
 def ocr_proxies(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _docs(spark, sf_dir).groupBy("source").agg(F.count("*").alias("documents"), F.round(F.avg(T.chars(T_)), 4).alias("mean_chars"), F.round(F.avg(T.words(T_)), 4).alias("mean_words"), F.round(F.avg(F.length(T_) / F.greatest(T.words(T_), F.lit(1))), 4).alias("mean_word_length"))
+    return _docs(spark, sf_dir).groupBy("source").agg(F.count("*").alias("documents"), F.round(F.avg(T.chars(F.col("text"))), 4).alias("mean_chars"), F.round(F.avg(T.words(F.col("text"))), 4).alias("mean_words"), F.round(F.avg(F.length(F.col("text")) / F.greatest(T.words(F.col("text")), F.lit(1))), 4).alias("mean_word_length"))
 
 
 @query(f"""SELECT doc_id, length(text)::BIGINT AS chars, {_WORDS}::BIGINT AS words, len(list_filter(regexp_split_to_array(text, '[.!?]+'), lambda x: trim(x) <> ''))::BIGINT AS sentences,
   len(list_filter(string_split(text, chr(10)), lambda x: trim(x) <> ''))::BIGINT AS lines FROM documents""")
 def text_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _docs(spark, sf_dir).select("doc_id", F.length(T_).cast("long").alias("chars"), T.words(T_).cast("long").alias("words"), T.pieces(T_, "[.!?]+").cast("long").alias("sentences"), T.pieces(T_, "\n").cast("long").alias("lines"))
+    return _docs(spark, sf_dir).select("doc_id", F.length(F.col("text")).cast("long").alias("chars"), T.words(F.col("text")).cast("long").alias("words"), T.pieces(F.col("text"), "[.!?]+").cast("long").alias("sentences"), T.pieces(F.col("text"), "\n").cast("long").alias("lines"))
 
 
 @query("""
@@ -107,7 +106,7 @@ def strip_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(r"SELECT doc_id, md5(trim(regexp_replace(text, '\s+', ' ', 'g'))) AS cleaned FROM documents")
 def clean_text(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _docs(spark, sf_dir).select("doc_id", F.md5(T.clean(T_)).alias("cleaned"))
+    return _docs(spark, sf_dir).select("doc_id", F.md5(T.clean(F.col("text"))).alias("cleaned"))
 
 
 @query("SELECT doc_id, lang AS language, CASE lang WHEN 'de' THEN 'Latn' WHEN 'fr' THEN 'Latf' END AS script, CASE WHEN doc_id % 2 = 0 THEN upper(lang) END AS region FROM documents")
