@@ -57,11 +57,11 @@ def weighted_median_height(spark: SparkSession, sf_dir: str) -> DataFrame:
 _SCORE = "CASE " + " ".join(f"WHEN height < {x1} THEN {y0}::DOUBLE + (height - {x0}) / ({x1} - {x0}) * ({y1}::DOUBLE - {y0}::DOUBLE)" for (x0, y0), (x1, y1) in zip(G.KNOTS, G.KNOTS[1:], strict=False)) + " ELSE least(1.0, 0.95 + (height - 96) / 200 * 0.05) END"
 
 
-@query(f"""SELECT doc_id, round(avg({_SCORE}), 6) AS score, round(quantile_cont(height, 0.25), 6) AS p25, round(quantile_cont(height, 0.75), 6) AS p75, round(stddev_pop(height) / avg(height), 6) AS cv,
+@query(f"""SELECT doc_id, round(avg({_SCORE}), 9) AS score, round(quantile_cont(height, 0.25), 9) AS p25, round(quantile_cont(height, 0.75), 9) AS p75, round(stddev_pop(height) / avg(height), 9) AS cv,
   count(*) < 3 OR round(stddev_pop(height) / avg(height), 9) > 0.5 AS review FROM ({PAGES}) GROUP BY doc_id""")
 def resolution_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     cv = F.stddev_pop("height") / F.avg("height")
-    return pages(spark, sf_dir).groupBy("doc_id").agg(F.round(F.avg(G.resolution_score(F.col("height"))), 6).alias("score"), F.round(F.percentile("height", 0.25), 6).alias("p25"), F.round(F.percentile("height", 0.75), 6).alias("p75"), F.round(cv, 6).alias("cv"), ((F.count("*") < 3) | (F.round(cv, 9) > 0.5)).alias("review"))
+    return pages(spark, sf_dir).groupBy("doc_id").agg(F.round(F.avg(G.resolution_score(F.col("height"))), 9).alias("score"), F.round(F.percentile("height", 0.25), 9).alias("p25"), F.round(F.percentile("height", 0.75), 9).alias("p75"), F.round(cv, 9).alias("cv"), ((F.count("*") < 3) | (F.round(cv, 9) > 0.5)).alias("review"))
 
 
 _NATIVES = list(T.SCHEMAS["docstructbench"]) + ["unknown"]
