@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import in_slices, lower_ascii, mix64, span_hashes
+from .common import in_slices, lower_ascii, mix64, span_hashes, stored
 
 WORD, NUMBER, NAME, UNIT = 0, 1, 2, 3
 #: Units of measure, in small letters (fixed values).
@@ -141,7 +141,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", ite
     """key, item, containment, n_slots, consistency: a row for each document and item that it holds."""
     items = windows(benchmark, item, text, size=size).select(F.col("key").alias("item"), F.col("pos").alias("q"), "hash", F.col("value").alias("item_value"))
     total = items.groupBy("item").agg(F.countDistinct("hash").alias("n"))
-    found = windows(docs, key, text, bitmap_of(items), size).join(items, "hash")
+    found = stored(windows(docs, key, text, bitmap_of(items), size).join(items, "hash"), "found")
     share = found.groupBy("key", "item").agg(F.countDistinct("hash").alias("found")).join(total, "item").withColumn("containment", F.col("found") / F.col("n")).filter(F.col("containment") >= containment)
     # slots along an alignment: how many values of the item stand for one value of the document
     slots = found.filter(F.col("kind") != WORD).join(share.select("key", "item"), ["key", "item"], "left_semi")

@@ -20,6 +20,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import stored
+
 DEPTH = 3
 VARIABLE = "<*>"
 
@@ -39,30 +41,41 @@ def lines(docs: DataFrame, key: str, text: str) -> DataFrame:
     return rows.select("key", "row", F.inline(F.filter(around, lambda x: x["m"] != "")))
 
 
+#: Leaves of 8 bytes that may be broadcast; more of them are joined by a shuffle.
+BROADCAST_LEAVES = 1_000_000
+
+
 def dropped_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", min_contexts: int = 10, min_tokens: int = 5, fixed_share: float = 0.6) -> DataFrame:
-    """key, row, pos of the lines to drop."""
-    all_lines = lines(docs, key, text)
+    """key, row, pos of the lines to drop.
+
+    Lines are kept as hashes; the text of a line is looked at again only in leaves whose lines recur.
+    """
+    tokens = F.split("m", " ")
+    leafed = lines(docs, key, text).withColumn("n", F.size(tokens)).withColumn("leaf", F.when(F.col("n") >= min_tokens, F.xxhash64("n", F.slice(tokens, 1, DEPTH))))
+    all_lines = stored(leafed.select("key", "row", "pos", "h", "context", "leaf"), "lines")
     recurring = all_lines.groupBy("h").agg(F.count_distinct("context").alias("w"), F.min(F.struct("key", "row", "pos")).alias("first")).filter(F.col("w") >= min_contexts)
 
     # leaves: what differs from line to line beyond the masked fields
-    tokens = F.split("m", " ")
-    leafed = all_lines.withColumn("n", F.size(tokens)).filter(F.col("n") >= min_tokens).withColumn("leaf", F.xxhash64("n", F.slice(tokens, 1, DEPTH)))
-    leaves = leafed.groupBy("leaf").agg(F.count_distinct("context").alias("w"), (F.min("h") < F.max("h")).alias("several")).filter((F.col("w") >= min_contexts) & F.col("several")).select("leaf")
-    distinct = leafed.join(leaves, "leaf").groupBy("leaf", "n", "h").agg(F.first("m").alias("m"), F.count_distinct("context").alias("w"))
+    grown = all_lines.filter("leaf is not null").groupBy("leaf").agg(F.count_distinct("context").alias("w"), (F.min("h") < F.max("h")).alias("several"))
+    leaves = stored(grown.filter((F.col("w") >= min_contexts) & F.col("several")).select("leaf"), "leaves")
+    few = F.broadcast(leaves) if leaves.count() <= BROADCAST_LEAVES else leaves
+    weights = all_lines.join(few, "leaf").groupBy("leaf", "h").agg(F.count_distinct("context").alias("w"))
+    texts = leafed.select("leaf", "n", "h", "m").filter("leaf is not null").join(few, "leaf").groupBy("leaf", "n", "h").agg(F.first("m").alias("m"))
+    distinct = stored(texts.join(weights, ["leaf", "h"]), "leafed")
     places = distinct.select("leaf", "n", "w", F.posexplode(F.split("m", " ")).alias("place", "token"))
     mass = places.groupBy("leaf", "n", "place", "token").agg(F.sum("w").alias("w"))
     best = mass.groupBy("leaf", "n", "place").agg(F.max(F.struct("w", "token")).alias("best"), F.sum("w").alias("all"))
     fixed = best.filter((F.col("best.w") * 2 >= F.col("all")) & (F.col("best.token") != VARIABLE))
     templates = fixed.groupBy("leaf", "n").agg(F.map_from_entries(F.collect_list(F.struct("place", "best.token"))).alias("fixed")).filter(F.size("fixed") >= F.col("n") * fixed_share)
     fits = F.forall(F.map_entries("fixed"), lambda e: F.get(F.split("m", " "), e["key"]) == e["value"])
-    fitting = distinct.join(templates.select("leaf", "fixed"), "leaf").filter(fits).select("leaf", "h", "w")
+    fitting = stored(distinct.join(templates.select("leaf", "fixed"), "leaf").filter(fits).select("leaf", "h", "w"), "fitting")
     strong = fitting.groupBy("leaf").agg(F.sum("w").alias("all"), F.count("*").alias("n")).filter((F.col("all") >= min_contexts) & (F.col("n") > 1))
     general = fitting.join(strong, "leaf").select("h", "leaf")
-    firsts = all_lines.join(general, "h").groupBy("leaf").agg(F.min(F.struct("key", "row", "pos")).alias("first"))
+    firsts = all_lines.select("h", "key", "row", "pos").join(general, "h").groupBy("leaf").agg(F.min(F.struct("key", "row", "pos")).alias("first"))
 
     verdict = recurring.select("h", "first").unionByName(general.join(firsts, "leaf").select("h", "first")).groupBy("h").agg(F.min("first").alias("first"))
     here = F.struct("key", "row", "pos")
-    return all_lines.join(verdict, "h").filter(~here.eqNullSafe(F.col("first"))).select("key", "row", "pos").distinct()
+    return all_lines.join(verdict, "h").filter(~here.eqNullSafe(F.col("first"))).select("key", "row", "pos")
 
 
 def drop_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", **limits) -> DataFrame:

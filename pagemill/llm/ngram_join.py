@@ -8,9 +8,13 @@ at least n1 - k of n1 signatures, each set needs only its k + 1 rarest: the freq
 makes which very many documents share, bring no candidates. Parts without shingles count as the most frequent signature, and
 are used only by sets that have more of them than slack.
 
-Candidates are verified by their whole sets. Within the documents of a signature, each is compared with the first and its
-predecessors; groups in which several components are left are compared further, at ever larger distances, until nothing is left to compare:
-no candidate is dropped, and pairs already linked through others are not looked at.
+Only sets that may have a partner get signatures: those of fewer than 64 shingles, and those that share a band of min-hashes with another set (one
+permutation, 120 bins, 60 bands of two for sets of up to 500 shingles, 40 bands of three for those of 320 or more). A similar pair fails to with a
+probability below 1e-12, less than that of two 64-bit hashes of the corpus being equal; what passes costs time only.
+
+Candidates are verified by their whole sets. In each signature's group every set is compared with the first and the one before it. Groups
+that hold several components then are joined to clusters, and clusters are compared completely, in blocks of bounded size and of sizes that can be
+similar; pairs that are linked already through others are left out. So no link between components is lost, and no pairs are listed.
 
 Documents of equal sets count as one node (a 64-bit hash of the set names it), so copies make no pairs.
 
@@ -58,28 +62,120 @@ def _texts(batch: pa.RecordBatch, column: int) -> list[bytes | None]:
     return batch.column(column).cast(pa.large_binary()).to_pylist()
 
 
-def shingle_sets(docs: DataFrame, key: str = "doc_id", text: str = "text", size: int = 5, with_sets: bool = False) -> DataFrame:
-    """key, n_shingles, node (name of the set), and the set itself if asked for."""
-    from pyspark.sql.pandas.types import to_arrow_schema
+BINS = 120
+
+
+def sketch_bands(owner: np.ndarray, hashes: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Set and hash of each band of min-hashes. hashes are sorted in each set, so the first in a bin is its smallest."""
+    n = len(size)
+    which = ((hashes >> np.uint64(32)) * np.uint64(BINS) >> np.uint64(32)).astype(np.int64)
+    first = np.ones(len(hashes), bool)
+    first[1:] = (owner[1:] != owner[:-1]) | (which[1:] != which[:-1])
+    value = np.zeros((n, 2 * BINS), np.uint64)
+    filled = np.zeros((n, 2 * BINS), bool)
+    for shift in (0, BINS):
+        value[owner[first], which[first] + shift] = hashes[first]
+        filled[owner[first], which[first] + shift] = True
+    # an empty bin takes the value of the next filled one, mixed with the distance
+    column = np.where(filled, np.arange(2 * BINS)[None, :], 4 * BINS)
+    after = np.minimum.accumulate(column[:, ::-1], axis=1)[:, ::-1][:, :BINS]
+    some = size > 0
+    after[~some] = 0
+    value = mix64(np.take_along_axis(value, after, 1) + (after - np.arange(BINS)[None, :]).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+    out = []
+    for r, use in ((2, (size >= 64) & (size < 500)), (3, size >= 320)):
+        rows = np.flatnonzero(use)
+        band = np.full((len(rows), BINS // r), np.uint64(r))
+        for k in range(r):
+            band = mix64(band * np.uint64(0x9E3779B97F4A7C15) + value[rows][:, k::r])
+        band = mix64(band + np.arange(BINS // r, dtype=np.uint64)[None, :])
+        out.append((np.repeat(rows, BINS // r), band.ravel()))
+    return np.concatenate([x for x, _ in out]), np.concatenate([x for _, x in out])
+
+
+def shingle_sets(docs: DataFrame, key: str = "doc_id", text: str = "text", size: int = 5) -> DataFrame:
+    """key, n_shingles, node (name of the set), bands (of min-hashes)."""
+    rows = docs.select(F.col(key).cast("long").alias("key"), F.col(text).cast("string").alias("text"))
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = _texts(batch, 1)
+            for a, b in in_slices(texts):
+                owner, hashes = batch_shingles(texts[a:b], size)
+                n, node = set_names(owner, hashes, b - a)
+                of, band = sketch_bands(owner, hashes, n)
+                order = np.argsort(of, kind="stable")
+                cuts = np.searchsorted(of[order], np.arange(b - a + 1)).astype(np.int32)
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array(n.astype(np.int64)), pa.array(node), pa.ListArray.from_arrays(pa.array(cuts), pa.array(band[order].view(np.int64)))], names=["key", "n_shingles", "node", "bands"])
+
+    return rows.mapInArrow(run, "key long, n_shingles long, node long, bands array<long>").withColumnRenamed("key", key)
+
+
+def possible_nodes(keyed: DataFrame, key: str) -> DataFrame:
+    """node and one key of each set that may be similar to another."""
+    small = keyed.filter("n_shingles > 0 and n_shingles < 64").select("node", key)
+    each = keyed.select("node", key, F.explode("bands").alias("band"))
+    shared = each.groupBy("band").agg(F.min("node").alias("a"), F.max("node").alias("b")).filter("a < b").select("band")
+    return small.unionByName(each.join(shared, "band").select("node", key)).groupBy("node").agg(F.min(key).alias(key))
+
+
+_BITS = 26
+
+
+def _probes(h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    return tuple((mix64(h + np.uint64(k)) >> np.uint64(64 - _BITS)).astype(np.int64) for k in (1, 2))
+
+
+def key_bitmap(keys: DataFrame, key: str) -> np.ndarray:
+    """Bitmap of 2^_BITS bits (8 MB) with two bits for each key; a full one lets every key pass."""
+
+    def bits(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            probe = np.unique(np.concatenate(_probes(batch.column(0).to_numpy().view(np.uint64))))
+            word, first = np.unique(probe >> 5, return_index=True)
+            mask = np.bitwise_or.reduceat(np.int64(1) << (probe & 31), first) if len(word) else np.zeros(0, np.int64)
+            yield pa.RecordBatch.from_pydict({"word": word.astype(np.int32), "mask": mask})
+
+    got = keys.select(F.col(key).cast("long")).mapInArrow(bits, "word int, mask long").groupBy("word").agg(F.bit_or("mask").alias("mask")).toArrow()
+    out = np.zeros(1 << (_BITS - 5), "<u4")  # so many words at most come to the driver
+    out[got.column("word").to_numpy()] = got.column("mask").to_numpy().astype(np.uint32)
+    return out.view(np.uint8)
 
-    rows = docs.select(F.col(key).cast("long").alias(key), F.col(text).cast("string").alias("text"))
-    schema = f"`{key}` long, n_shingles long, node long" + ", shingles array<long>" * with_sets
-    from pyspark.sql.types import _parse_datatype_string
 
-    arrow = to_arrow_schema(_parse_datatype_string(schema))
+def with_keys(rows: DataFrame, bitmap: np.ndarray) -> DataFrame:
+    """Rows (key, text) whose key is in the bitmap, and a few that it lets pass by chance."""
+    shared = rows.sparkSession.sparkContext.broadcast(bitmap)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = _texts(batch, 1)
+            hit = np.ones(batch.num_rows, bool)
+            for p in _probes(batch.column(0).to_numpy().view(np.uint64)):
+                hit &= (shared.value[p >> 3] >> (p & 7).astype(np.uint8)) & 1 == 1
+            yield batch.filter(pa.array(hit))
+
+    return rows.select("key", "text").mapInArrow(run, "key long, text string")
+
+
+def whole_sets(docs: DataFrame, chosen: DataFrame, key: str, text: str, size: int) -> DataFrame:
+    """node and shingles of the nodes chosen; texts of other keys aren't looked at, but for a few that the bitmap lets pass."""
+    shared = docs.sparkSession.sparkContext.broadcast(key_bitmap(chosen, key))
+    rows = docs.select(F.col(key).cast("long").alias("key"), F.col(text).cast("string").alias("text")).filter("key is not null")
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        marks = shared.value
+        for batch in batches:
+            hit = np.ones(batch.num_rows, bool)
+            for p in _probes(batch.column(0).to_numpy().view(np.uint64)):
+                hit &= (marks[p >> 3] >> (p & 7).astype(np.uint8)) & 1 == 1
+            some = batch.filter(pa.array(hit))
+            texts = _texts(some, 1)
             for a, b in in_slices(texts):
                 owner, hashes = batch_shingles(texts[a:b], size)
                 n, node = set_names(owner, hashes, b - a)
-                out = [batch.column(0).slice(a, b - a), pa.array(n), pa.array(node)]
-                if with_sets:
-                    out.append(pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(n)]).astype(np.int32)), pa.array(hashes.view(np.int64))))
-                yield pa.RecordBatch.from_arrays([x.cast(f.type) for x, f in zip(out, arrow, strict=True)], schema=arrow)
+                yield pa.RecordBatch.from_arrays([some.column(0).slice(a, b - a), pa.array(node), pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(n)]).astype(np.int32)), pa.array(hashes.view(np.int64)))], names=["key", "node", "shingles"])
 
-    return rows.mapInArrow(run, schema)
+    found = rows.mapInArrow(run, "key long, node long, shingles array<long>").withColumnRenamed("key", key)
+    return found.join(chosen, ["node", key]).dropDuplicates(["node"]).select("node", "shingles")
 
 
 def _scheme_signatures(owner: np.ndarray, hashes: np.ndarray, size: np.ndarray, band: np.ndarray, k: np.ndarray, slack: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -100,38 +196,30 @@ def _scheme_signatures(owner: np.ndarray, hashes: np.ndarray, size: np.ndarray,
     return of[keep], signature[keep], spare[of[keep]]
 
 
-def signatures(docs: DataFrame, similarity_pct: int, key: str = "doc_id", text: str = "text", size: int = 5) -> DataFrame:
-    """sig, node, group (scheme and spare). A set that a task has met before is left out there."""
+def signatures(sets: DataFrame, similarity_pct: int) -> DataFrame:
+    """sig, node, scheme and spare of each set."""
     lows = np.array(bands(similarity_pct))
     table = np.array([scheme(i, lows.tolist(), similarity_pct) for i in range(len(lows) - 2)], np.int64)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        met: set[int] = set()
-        for batch in batches:
-            texts = _texts(batch, 0)
-            for a, b in in_slices(texts):
-                owner, hashes = batch_shingles(texts[a:b], size)
-                n, node = set_names(owner, hashes, b - a)
-                new = np.zeros(b - a, bool)
-                for i in np.flatnonzero(n).tolist():
-                    if (x := int(node[i])) not in met:
-                        met.add(x)
-                        new[i] = True
-                chosen = np.flatnonzero(new)
-                at = new[owner]
-                owner, hashes, n, node = np.searchsorted(chosen, owner[at]), hashes[at], n[chosen], node[chosen]
+        for whole in batches:
+            for a in range(0, whole.num_rows, 256):
+                batch = whole.slice(a, 256)
+                node = batch.column(0).to_numpy()
+                n = batch.column(1).value_lengths().to_numpy().astype(np.int64)
+                hashes = batch.column(1).flatten().to_numpy().view(np.uint64)
+                owner = np.repeat(np.arange(len(n)), n)
                 own = np.searchsorted(lows, n, side="right") - 1
                 for down in (0, 1):
-                    use = own >= down
-                    sel = use[owner]
-                    ids = np.flatnonzero(use)
+                    ids = np.flatnonzero(own >= down)
                     if not len(ids):
                         continue
+                    sel = (own >= down)[owner]
                     band = own[ids] - down
                     of, sig, spare = _scheme_signatures(np.searchsorted(ids, owner[sel]), hashes[sel], n[ids], band, *table[band].T)
                     yield pa.RecordBatch.from_pydict({"sig": sig.view(np.int64), "node": node[ids][of], "scheme": band[of].astype(np.int32), "spare": spare.astype(np.int32)})
 
-    return docs.select(F.col(text).cast("string").alias("text")).mapInArrow(run, "sig long, node long, scheme int, spare int")
+    return sets.select("node", "shingles").mapInArrow(run, "sig long, node long, scheme int, spare int")
 
 
 def candidate_groups(sigs: DataFrame) -> DataFrame:
@@ -151,44 +239,73 @@ def verified(pairs: DataFrame, sets: DataFrame, similarity_pct: int) -> DataFram
     return pairs.join(left, "a").join(right, "b").filter(fits).filter(both * 100 >= (F.size("sa") + F.size("sb") - both) * similarity_pct).select("a", "b")
 
 
+def block_links(nodes: list[np.ndarray], groups: list[np.ndarray], sizes: list[np.ndarray], flat: list[np.ndarray], similarity_pct: int) -> tuple[np.ndarray, np.ndarray]:
+    """Similar pairs of sets of two blocks that are in different groups. Each block: nodes, groups, sizes, and the shingles of all sets."""
+    common = np.intersect1d(flat[0], flat[1])
+    tables = []
+    for k in (0, 1):
+        at = np.searchsorted(common, flat[k])
+        inside = (at < len(common)) & (common[np.minimum(at, max(0, len(common) - 1))] == flat[k]) if len(common) else np.zeros(len(flat[k]), bool)
+        m = np.zeros((len(nodes[k]), len(common)), np.float32)
+        m[np.repeat(np.arange(len(nodes[k])), sizes[k])[inside], at[inside]] = 1
+        tables.append(m)
+    both = np.rint(tables[0] @ tables[1].T).astype(np.int64)
+    union = sizes[0][:, None] + sizes[1][None, :] - both
+    i, j = np.nonzero((100 * both >= similarity_pct * union) & (groups[0][:, None] != groups[1][None, :]))
+    return nodes[0][i], nodes[1][j]
+
+
+def cluster_links(groups: DataFrame, found: DataFrame, sets: DataFrame, similarity_pct: int, block: int = 1 << 16) -> DataFrame:
+    """Links (a, b) between components that meet in a group and weren't compared completely."""
+    labelled = groups.join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    mixed = labelled.groupBy("sig").agg(F.min("component").alias("least"), F.max("component").alias("most"), F.min("node").alias("head")).filter("least < most")
+    members = stored(labelled.join(mixed, "sig").select("node", "component", "head"), "mixed")
+    cluster = components(members.select("node", "head"), "node", "head").select("node", F.col("component").alias("cluster"))
+    named = members.select("node", "component").distinct().join(cluster, "node").join(sets, "node").withColumn("n", F.size("shingles"))
+    order = Window.partitionBy("cluster").orderBy("n", "node")
+    placed = named.withColumn("block", F.floor(F.sum("n").over(order) / block))
+    blocks = stored(placed.groupBy("cluster", "block").agg(F.collect_list(F.struct("node", "component", "shingles")).alias("sets"), F.min("n").alias("small"), F.max("n").alias("large"), F.min("component").alias("least"), F.max("component").alias("most")), "blocks")
+    one, two = (blocks.select("cluster", *(F.col(c).alias(f"{c}{k}") for c in ("block", "sets", "small", "large", "least", "most"))) for k in (1, 2))
+    able = (F.col("block1") <= F.col("block2")) & (F.col("large1") * 100 >= F.col("small2") * similarity_pct) & ~((F.col("least1") == F.col("most2")) & (F.col("most1") == F.col("least2")))
+    pairs = one.join(two, "cluster").filter(able).select("sets1", "sets2")
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for r in range(batch.num_rows):
+                parts = []
+                for k in (0, 1):
+                    x = batch.column(k).slice(r, 1).flatten()
+                    parts.append((x.flatten()[0].to_numpy(), x.flatten()[1].to_numpy(), x.flatten()[2].value_lengths().to_numpy().astype(np.int64), x.flatten()[2].flatten().to_numpy()))
+                a, b = block_links(*(list(p) for p in zip(*parts, strict=True)), similarity_pct)
+                yield pa.RecordBatch.from_pydict({"a": a, "b": b})
+
+    return pairs.mapInArrow(run, "a long, b long").filter("a <> b")
+
+
 def linked_nodes(docs: DataFrame, keyed: DataFrame, similarity_pct: int, key: str, text: str, size: int) -> tuple[DataFrame, DataFrame]:
-    """Components over nodes, and all links that were verified. keyed: shingle_sets of docs."""
-    groups = stored(candidate_groups(signatures(docs, similarity_pct, key, text, size)), "groups")
+    """Components over nodes, and the links that were verified. keyed: shingle_sets of docs."""
+    chosen = stored(possible_nodes(keyed, key), "chosen")
+    sets = stored(whole_sets(docs, chosen, key, text, size), "sets")
+    groups = stored(candidate_groups(signatures(sets, similarity_pct)), "groups")
     by_sig = Window.partitionBy("sig").orderBy("node")
-    nodes = stored(groups.select("node").distinct(), "nodes")
-    # the sets of the nodes that have candidates, one document for each
-    chosen = stored(keyed.join(nodes, "node").groupBy("node").agg(F.min(key).alias(key)), "chosen")
-    sets = stored(shingle_sets(docs.join(chosen.select(key), key, "left_semi"), key, text, size, with_sets=True).dropDuplicates(["node"]).select("node", "shingles"), "sets")
-    distances: list[int] = [1]
     seeds = groups.withColumn("a", F.first("node").over(by_sig)).withColumn("c", F.lag("node").over(by_sig))
     pairs = seeds.select(F.explode(F.array_distinct(F.array("a", "c"))).alias("a"), F.col("node").alias("b")).filter("a < b").distinct()
     links = stored(verified(pairs, sets, similarity_pct), "verified")
     found = components(links)
-    while True:
-        # groups in which several components are left: compare over the next distances those that aren't linked yet
-        labelled = groups.join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
-        open_groups = labelled.withColumn("most", F.max("component").over(Window.partitionBy("sig"))).withColumn("least", F.min("component").over(Window.partitionBy("sig"))).filter("most > least")
-        reach = range(distances[-1] + 1, distances[-1] + 1 + 8 * len(distances) ** 2)
-        earlier = F.array(*(F.lag(F.struct("node", "component"), d).over(by_sig) for d in reach))
-        near = stored(open_groups.withColumn("earlier", F.filter(earlier, lambda x: x.isNotNull())).filter(F.size("earlier") > 0), "open")
-        if near.isEmpty():
-            return found, links
-        pairs = near.select(F.explode("earlier").alias("e"), "node", "component").filter("e.component <> component").select(F.col("e.node").alias("a"), F.col("node").alias("b")).distinct()
-        more = stored(verified(pairs, sets, similarity_pct), "verified")
-        distances.append(reach[-1])
-        if not more.isEmpty():
-            links = stored(links.unionByName(more).distinct(), "verified")
-            found = components(links)
+    more = stored(cluster_links(groups, found, sets, similarity_pct), "verified")
+    if more.isEmpty():
+        return found, links
+    links = links.unionByName(more)
+    return components(links), links
 
 
 def jaccard_components(docs: DataFrame, similarity_pct: int = 80, key: str = "doc_id", text: str = "text", size: int = 5) -> DataFrame:
     """key, n_shingles, node, component_id (smallest key reachable by links, itself included)."""
     keyed = stored(shingle_sets(docs, key, text, size), "keyed")
-    found, _ = linked_nodes(docs, keyed.filter("n_shingles > 0"), similarity_pct, key, text, size)
-    named = keyed.join(found, "node", "left").withColumn("component", F.when(F.col("n_shingles") > 0, F.coalesce("component", "node")))
+    found, _ = linked_nodes(docs, keyed.filter(F.col(key).isNotNull()), similarity_pct, key, text, size)
+    named = keyed.drop("bands").join(found, "node", "left").withColumn("component", F.when((F.col("n_shingles") > 0) & F.col(key).isNotNull(), F.coalesce("component", "node")))
     # the smallest key of a component is found before the rows are joined again, with partial sums: a component may hold most rows
     smallest = named.filter("component is not null").groupBy("component").agg(F.min(key).alias("component_id"))
     out = named.filter("component is not null").join(smallest, "component").select(key, "n_shingles", "node", "component_id")
     rest = named.filter("component is null").select(key, "n_shingles", "node", F.col(key).alias("component_id"))
     return out.unionByName(rest)
-

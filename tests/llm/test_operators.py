@@ -1,0 +1,247 @@
+"""The training-data operators against brute force, and on awkward rows."""
+
+import hashlib
+import re
+import zlib
+from itertools import combinations
+
+import numpy as np
+import pytest
+
+pytest.importorskip("pagemill.llm")
+
+from pyspark.sql import functions as F  # noqa: E402
+
+from pagemill.llm import decontamination, line_templates, ngram_join, ordinal_quality, packing, passages, suffix_dedup, token_records, topk_search, toxicity  # noqa: E402
+from pagemill.llm.tokens import ChunkEncoder, public_tokenizer  # noqa: E402
+
+SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, score double, row long, key string"
+WORD, BYTE = public_tokenizer("word_bpe_49k.json"), public_tokenizer("byte_bpe_50k.json")
+
+
+def prose(seed: int, n: int, vocabulary: int = 400) -> list[str]:
+    rng = np.random.default_rng(seed)
+    return [f"w{x}" for x in rng.integers(0, vocabulary, n)]
+
+
+@pytest.fixture(scope="module")
+def docs(spark):
+    base = prose(1, 300)
+    near = [" ".join(base[:k] + ["changed"] + base[k + 1 :]) for k in (40, 150, 260)]
+    passage = " ".join(prose(2, 70))
+    rows = [" ".join(base), " ".join(base), *near, "Intro " + passage + " outro", " ".join(prose(3, 90)) + " " + passage, None, "", "  \n ", "ab" * 400, "one two", "one two", "x", " ".join(prose(4, 12000)), "é\x85 ü　\n\n漢字 <|endoftext|>"]
+    table = [(k, t, "en", "s", len(t or ""), 0.0, 1, "k") for k, t in enumerate(rows)]
+    return spark.createDataFrame([*table, table[3], (None, "null key", "en", "s", 8, 0.0, 1, "k")], SCHEMA)
+
+
+@pytest.fixture(scope="module")
+def empty(spark):
+    return spark.createDataFrame([], SCHEMA)
+
+
+def ids(path, text):
+    from tokenizers import Tokenizer
+
+    t = Tokenizer.from_file(path)
+    t.encode_special_tokens = True
+    return t.encode(text or "", add_special_tokens=False).ids
+
+
+def test_chunked_ids_are_the_tokenizers():
+    rng = np.random.default_rng(0)
+    parts = ["a", "B.", "don't", " ", "  ", "\n", "\t", "\x1c", "\x85", "é", "́", "ΑΣ", "12", ",", "<|endoftext|>", "漢", "\x01", "　"]
+    for path, dtype in ((WORD, "<u2"), (BYTE, "<u4")):
+        texts = ["".join(rng.choice(parts, rng.integers(0, 9))) for _ in range(400)]
+        encode = ChunkEncoder(path, dtype)
+        assert [np.frombuffer(x, dtype).tolist() for x in encode.batch(texts)] == [ids(path, t) for t in texts]
+
+
+def test_checksums_and_framing():
+    assert hex(int(token_records.Crc32c()([b"123456789"])[0])) == "0xe3069283"
+    parts = [bytes(range(n % 256)) * (n // 40 + 1) for n in (0, 1, 3, 4, 5, 511, 512, 513, 3000)]
+    framed = token_records.frame(parts)
+    assert token_records.unframe(framed) == parts
+    with pytest.raises(ValueError, match="checksum"):
+        token_records.unframe([framed[5][:14] + b"?" + framed[5][15:]])
+
+
+def test_records_round_trip(spark, docs, empty):
+    got = token_records.encode_documents(spark, docs, WORD).orderBy("start").collect()
+    want = [r for r in docs.collect()]
+    assert [r.key for r in got] == sorted((r.doc_id for r in want), key=lambda k: -1 if k is None else k)
+    at = 0
+    texts = {r.doc_id: r.text for r in want}
+    for r in got:
+        x = [*ids(WORD, texts[r.key]), 1]
+        assert (r.start, r.n_tokens, zlib.crc32(r.ids)) == (at, len(x), zlib.crc32(np.array(x, "<u4").tobytes()))
+        at += len(x)
+    assert token_records.encode_documents(spark, empty, WORD).count() == 0
+
+
+def test_packing_has_no_gaps(docs, empty):
+    pieces = packing.pack(docs, BYTE, 64)
+    got = pieces.orderBy("sequence_id", "offset").collect()
+    at, streams = 0, {}
+    for r in got:
+        assert (r.sequence_id, r.offset) == divmod(at, 64) and len(r.ids) == 4 * r.length and r.length + r.offset <= 64
+        at += r.length
+        streams.setdefault(r.doc_id, []).append(r)
+    for r in docs.dropDuplicates(["doc_id"]).collect():
+        x = np.array([*ids(BYTE, r.text), 0], "<u4").tobytes()
+        mine = sorted(streams[r.doc_id], key=lambda p: p.start)
+        copies = 2 if r.doc_id == 3 else 1
+        assert sum(p.length for p in mine) * 4 == copies * len(x)
+        if copies == 1:
+            assert b"".join(p.ids for p in mine) == x
+    whole = packing.sequences(pieces, 64)
+    assert whole.agg(F.sum("n_tokens")).first()[0] == at and whole.filter("n_tokens < 64").count() <= 1
+    assert packing.pack(empty, BYTE).count() == 0
+
+
+def shingles(text):
+    w = re.findall(r"[^\x20\x09-\x0D]+", (text or "").translate({c: c + 32 for c in range(65, 91)}))
+    return frozenset(tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))) if w else frozenset()
+
+
+def components_by_force(sets):
+    root = {k: k for k in sets}
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for a, b in combinations(sorted(sets), 2):
+        x, y = sets[a], sets[b]
+        if x and y and 100 * len(x & y) >= 80 * len(x | y):
+            i, j = sorted((find(a), find(b)))
+            root[j] = i
+    return {k: find(k) for k in sets}
+
+
+def test_ngram_join_is_exact(spark, docs, empty):
+    sets = {r.doc_id: shingles(r.text) for r in docs.collect() if r.doc_id is not None}
+    want = components_by_force(sets)
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in ngram_join.jaccard_components(docs).collect()}
+    assert got.pop(None) == (1, None)
+    assert got == {k: (len(sets[k]), want[k]) for k in sets}
+    assert ngram_join.jaccard_components(empty).count() == 0
+
+
+def test_ngram_join_resolves_a_group_of_uneven_copies(spark):
+    base = prose(9, 150)
+    rows = []
+    for k in range(60):
+        rng = np.random.default_rng(k)
+        words = list(base)
+        for x in rng.choice(150, rng.integers(0, 16), replace=False):
+            words[x] = f"n{k}x{x}"
+        rows.append((k, " ".join(words)))
+    sets = {k: shingles(t) for k, t in rows}
+    got = {r.doc_id: r.component_id for r in ngram_join.jaccard_components(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == components_by_force(sets)
+
+
+def test_suffix_array():
+    rng = np.random.default_rng(3)
+    for _ in range(200):
+        s = rng.integers(1, rng.choice([2, 3, 6]), rng.integers(0, 50))
+        assert suffix_dedup.suffix_array(s).tolist() == sorted(range(len(s)), key=lambda i: s[i:].tolist())
+
+
+def test_suffix_dedup_is_exact(docs, empty):
+    seen, want = set(), {}
+    rows = {r.doc_id: (r.text or "").encode() for r in docs.collect()}
+    for k in sorted(rows, key=lambda k: -1 if k is None else k):
+        x = rows[k]
+        gone = np.zeros(len(x), bool)
+        for p in range(len(x) - 99):
+            if x[p : p + 100] in seen:
+                gone[p : p + 100] = True
+            seen.add(x[p : p + 100])
+        kept = np.frombuffer(x, np.uint8)[~gone].tobytes()
+        want[k] = (len(x), int(gone.sum()), int((np.diff(gone.astype(int), prepend=0) == 1).sum()), hashlib.sha256(kept).hexdigest())
+    got = [(r.doc_id, (r.n_bytes, r.n_removed, r.n_spans, hashlib.sha256(r.kept).hexdigest())) for r in suffix_dedup.cut(docs).collect()]
+    assert len(got) == 18 and dict(got) == want
+    assert suffix_dedup.cut(empty).count() == 0
+
+
+def test_topk_is_exact(spark):
+    rng = np.random.default_rng(5)
+    rows = [(k, [float(x) for x in rng.normal(size=8)], k % 3) for k in range(300)]
+    bad = [(900, None, 0), (901, [1.0, None] * 4, 0), (902, [float("nan")] * 8, 0), (903, [float("inf")] * 8, 0), (904, [], 0), (None, [1.0] * 8, 0), rows[7], (950, [2.0, 1.0], 1)]
+    df = spark.createDataFrame([*rows, *bad], "vec_id long, embedding array<double>, label int")
+    x = np.floor(256 * np.array([r[1] for r in rows]))
+    want = set()
+    for q in range(0, 300, 50):
+        s = x @ x[q]
+        order = [j for j in np.lexsort((np.arange(300), -s)) if j != q][:5]
+        want |= {(q, r + 1, int(j), float(s[j])) for r, j in enumerate(order)}
+    assert {tuple(r) for r in topk_search.topk(df, F.col("id") % 50 == 0, vector_block=64).collect()} == want
+    assert topk_search.topk(df.limit(0), F.col("id") % 50 == 0).count() == 0
+
+
+def test_decontamination_finds_changed_parameters(spark, empty):
+    items = spark.createDataFrame([(1, "So Maria has 12 apples and gives 5 kg of them to Peter in the old market. How many apples does Maria have left after 3 days?"), (2, None), (3, "")], "item_id long, text string")
+    texts = ["Well. So Anna has 40 apples and gives 7 miles of them to Karl in the old market. How many apples does Anna have left after 9 weeks? Bye.", "So Anna has 40 apples and gives 7 kg of them to Karl in the old market. How many apples does Otto have left after 9 days?", None, "", " ".join(prose(8, 200))]
+    docs = spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "doc_id long, text string")
+    assert [(r.doc_id, r.item_id) for r in decontamination.contaminated(docs, items, consistency=1.0).collect()] == [(0, 1)]
+    assert decontamination.contaminated(empty, items).count() == 0
+    assert decontamination.contaminated(docs, items.limit(0)).count() == 0
+
+
+def test_line_templates(spark, empty):
+    body = [" ".join(prose(100 + k, 9)).translate(str.maketrans("0123456789", "abcdefghij")) for k in range(40)]
+    rows = [(k, f"{body[k]}\nPage {k} of 40 printed on 2024-01-{k:02d}\n{body[-k - 1]} again\nvisit our site {'abcdefghij'[k % 10]}x{'abcdefghij'[k // 10]} for more offers now", k) for k in range(20)]
+    rows += [(50, None, 1), (51, "", 1), (52, "only line", 1)]
+    got = {r.doc_id: r for r in line_templates.drop_lines(spark.createDataFrame(rows, "doc_id long, text string, n_lines long")).collect()}
+    assert len(got) == 23 and got[0].n_dropped == 0 and got[50].text is None and got[51].text == "" and got[52].text == "only line"
+    assert all(got[k].n_dropped == 2 and got[k].text == f"{body[k]}\n{body[-k - 1]} again" for k in range(1, 20))
+    assert line_templates.drop_lines(empty).count() == 0
+
+
+def test_passages(docs, empty):
+    got = passages.near_duplicate_passages(docs).collect()
+    assert {r.doc_id for r in got} == {1, 2, 3, 4, 6}
+    found = next(r for r in got if r.doc_id == 6)
+    assert found.other == 5 and found.end - found.begin >= 68 and found.similarity > 0.9
+    assert passages.near_duplicate_passages(empty).count() == 0
+
+
+def test_quality_orders_three_grades(spark, empty):
+    rows, grades = [], []
+    for k in range(240):
+        words = prose(k, 60)
+        g = k % 3
+        rows.append((k, " ".join(w + "!!" if g == 0 or (g == 1 and i % 2) else w for i, w in enumerate(words))))
+        grades.append((k, g))
+    docs, labels = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(grades, "doc_id long, quality int")
+    model = ordinal_quality.train(docs, labels.filter("doc_id % 4 <> 0"))
+    assert list(model.thresholds) == sorted(model.thresholds)
+    held = ordinal_quality.score(docs, model).join(labels, "doc_id").filter("doc_id % 4 = 0")
+    means = [r.m for r in held.groupBy("quality").agg(F.avg("expected_grade").alias("m")).orderBy("quality").collect()]
+    assert means[0] < means[1] - 0.3 and means[1] < means[2] - 0.3
+    assert ordinal_quality.train(docs, labels.limit(0)) is None and ordinal_quality.score(empty, None).count() == 0
+    odd = ordinal_quality.score(spark.createDataFrame([(1, None), (2, ""), (3, " ")], "doc_id long, text string"), model).collect()
+    assert all(0 <= r.tail_prob <= 1 for r in odd)
+
+
+def test_toxicity_on_held_out_rows(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    labels = spark.read.parquet("/root/testdata/sf0.01/labels.parquet")
+    held = toxicity.held_out_rows()
+    model = toxicity.train(docs, labels, held)
+    got = toxicity.score(docs, model).join(labels, "doc_id").filter(held).select("toxic", "predicted").collect()
+    assert sum(r.toxic == r.predicted for r in got) >= 0.9 * len(got)
+    odd = spark.createDataFrame([(1, None), (2, "")], "doc_id long, text string")
+    assert all(0 <= r.score <= 1 for r in toxicity.score(odd, model).collect())
+    assert toxicity.train(docs, labels.limit(0), held).scores(["a"])[0] < 0.5
+
+
+def test_pipeline_small(spark):
+    corpus_pipeline = pytest.importorskip("corpus_pipeline")
+    sf_dir = "/root/testdata/sf0.001"
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    out = corpus_pipeline.run(spark, sf_dir)
+    assert 0 < out.select("doc_id").distinct().count() < docs.count()
+    assert out.groupBy("doc_id").agg(F.sum("length").alias("n"), F.max("doc_tokens").alias("m")).filter("n <> m").count() == 0
