@@ -6,8 +6,8 @@ those are found without sorting all suffixes of the corpus:
 1. Each window of `length` bytes has an anchor, its 32-byte string of smallest hash, the leftmost of several. Equal windows have equal anchors
    at the same place, and about 3 positions in 100 are anchors. Their hashes are counted with pre-aggregation, and a bitmap of
    fixed size (8 MB, two probes) takes the hashes that occur more than once. What passes by chance is sorted out below.
-2. The context of an anchor is the text of all windows that have it. Of equal contexts all but the earliest repeat it whole. Distinct
-   contexts with the same anchor go to one partition, and where there are several, the suffix array over them is built: sampled
+2. The context of an anchor is the text of all windows that have it. Of equal contexts (by 128 bits of hashes: the anchor's and the text's) all but the
+   earliest repeat it whole. Where an anchor has several contexts, their earliest copies go to one partition by the anchor, and where there are several, the suffix array over them is built: sampled
    triples are sorted and named, the string of names is sorted by recursion while names repeat, the remaining suffixes are sorted
    by a byte and the rank behind it, and merged. Neighbours in the array are then compared over `length` bytes, byte by byte: runs of equal prefixes are
    the occurrences of a string, and all but the earliest are repeats.
@@ -175,6 +175,13 @@ def repeated_anchors(rows: DataFrame, length: int) -> np.ndarray:
                 h, n = np.unique(anchors(texts[a:b], length)[3], return_counts=True)
                 yield pa.RecordBatch.from_pydict({"h": h.view(np.int64), "n": n.astype(np.int32)})
 
+    counted = rows.select("text").mapInArrow(run, "h long, n int").groupBy("h").agg(F.sum("n").alias("n")).filter("n > 1")
+    return _bits_of(counted.select("h"))
+
+
+def _bits_of(hashes: DataFrame) -> np.ndarray:
+    """Bitmap of a column of hashes, with two bits for each; so many words at most come to the driver, whatever the table's size."""
+
     def bits(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             probe = np.unique(np.concatenate(_probes(batch.column(0).to_numpy().view(np.uint64))))
@@ -182,27 +189,37 @@ def repeated_anchors(rows: DataFrame, length: int) -> np.ndarray:
             mask = np.bitwise_or.reduceat(np.int64(1) << (probe & 31), first) if len(word) else np.zeros(0, np.int64)
             yield pa.RecordBatch.from_pydict({"word": word.astype(np.int32), "mask": mask})
 
-    counted = rows.select("text").mapInArrow(run, "h long, n int").groupBy("h").agg(F.sum("n").alias("n")).filter("n > 1")
-    words = counted.select("h").mapInArrow(bits, "word int, mask long").groupBy("word").agg(F.bit_or("mask").alias("mask"))
-    out = np.zeros(1 << (_BITS - 5), "<u4")  # so many words at most come to the driver
-    got = words.toArrow()
+    out = np.zeros(1 << (_BITS - 5), "<u4")
+    got = hashes.mapInArrow(bits, "word int, mask long").groupBy("word").agg(F.bit_or("mask").alias("mask")).toArrow()
     out[got.column("word").to_numpy()] = got.column("mask").to_numpy().astype(np.uint32)
     return out.view(np.uint8)
 
 
-def _contexts(rows: DataFrame, bitmap: np.ndarray, length: int) -> DataFrame:
-    """key, row, lo, hi (windows), h, bytes of the anchors that the bitmap lets pass."""
-    shared = rows.sparkSession.sparkContext.broadcast(bitmap)  # 2^_BITS bits
+def _passes(marks: np.ndarray, h: np.ndarray) -> np.ndarray:
+    hit = np.ones(len(h), bool)
+    for p in _probes(h):
+        hit &= (marks[p >> 3] >> (p & 7).astype(np.uint8)) & 1 == 1
+    return hit
+
+
+def _place(key: np.ndarray, lo: np.ndarray) -> np.ndarray:
+    return mix64(mix64(key.view(np.uint64)) + lo.astype(np.uint64))
+
+
+def _contexts(rows: DataFrame, repeated: np.ndarray, length: int, places: np.ndarray | None = None) -> DataFrame:
+    """key, row, lo, hi (windows), h, bytes of the anchors that the bitmaps let pass: their hashes, and where they stand."""
+    shared = rows.sparkSession.sparkContext.broadcast((repeated, places))  # 2^_BITS bits each
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        marks = shared.value
+        anchors_, places_ = shared.value
         for batch in batches:
             texts = batch.column(2).cast(pa.large_binary()).to_pylist()
+            keys = batch.column(0).to_numpy()
             for a, b in in_slices(texts):
                 text, lo, hi, h = anchors(texts[a:b], length)
-                hit = np.ones(len(h), bool)
-                for p in _probes(h):
-                    hit &= (marks[p >> 3] >> (p & 7).astype(np.uint8)) & 1 == 1
+                hit = _passes(anchors_, h)
+                if places_ is not None:
+                    hit &= _passes(places_, _place(keys[a:b][text], lo))
                 text, lo, hi, h = text[hit], lo[hit], hi[hit], h[hit]
                 parts = [texts[a + t][i : j + length] for t, i, j in zip(text.tolist(), lo.tolist(), hi.tolist(), strict=True)]
                 of = pa.array(text)
@@ -211,6 +228,16 @@ def _contexts(rows: DataFrame, bitmap: np.ndarray, length: int) -> DataFrame:
     return rows.select("key", "row", "text").mapInArrow(run, "key long, row long, lo long, hi long, h long, bytes binary")
 
 
+def _places(firsts: DataFrame) -> DataFrame:
+    """The places of contexts as one hash each."""
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield pa.RecordBatch.from_pydict({"place": _place(batch.column(0).to_numpy(), batch.column(1).to_numpy()).view(np.int64)})
+
+    return firsts.select("key", "lo").mapInArrow(run, "place long")
+
+
 def _decide(contexts: DataFrame, length: int, most: int = 1 << 21) -> DataFrame:
     """key, row, lo, from, to: the windows of the earliest copies of contexts that repeat a window of another context."""
 
@@ -267,11 +294,15 @@ def repeated_windows(docs: DataFrame, length: int = 100, key: str = "doc_id", te
     """key, row (hash of the text), from, to: starts of the strings of `length` bytes that also start earlier, as intervals."""
     plain = F.col(text).cast("string")
     rows = docs.select(F.coalesce(F.col(key).cast("long"), F.lit(-(1 << 63))).alias("key"), F.xxhash64(plain).alias("row"), F.encode(plain, "UTF-8").alias("text"))
-    found = stored(_contexts(rows, repeated_anchors(rows, length), length), "contexts")
-    here = F.struct("key", "row", "lo")
-    first = stored(found.groupBy("h", "bytes").agg(F.min(here).alias("at")).select("h", "bytes", "at.*"), "firsts")
-    later = found.select("key", "row", "lo", "hi").distinct().join(first.select("key", "row", "lo"), ["key", "row", "lo"], "left_anti").select("key", "row", F.col("lo").alias("from"), F.col("hi").alias("to"))
-    return _decide(first, length).select("key", "row", "from", "to").unionByName(later)
+    repeated = repeated_anchors(rows, length)
+    found = stored(_contexts(rows, repeated, length).withColumn("context", F.xxhash64("bytes")).drop("bytes"), "contexts")
+    earliest = found.groupBy("h", "context").agg(F.min(F.struct("key", "row", "lo")).alias("at"))
+    marked = stored(found.join(earliest, ["h", "context"]).withColumn("first", F.struct("key", "row", "lo") == F.col("at")).select("key", "row", "lo", "hi", "h", "first"), "marked")
+    later = marked.filter(~F.col("first")).select("key", "row", F.col("lo").alias("from"), F.col("hi").alias("to"))
+    # anchors with several contexts: the text of the earliest copy of each is looked at again
+    several = marked.filter("first").groupBy("h").agg(F.count("*").alias("n")).filter("n > 1").select("h")
+    places = _bits_of(_places(marked.filter("first").join(several, "h")))
+    return _decide(_contexts(rows, repeated, length, places), length).select("key", "row", "from", "to").unionByName(later)
 
 
 def cut(docs: DataFrame, length: int = 100, key: str = "doc_id", text: str = "text") -> DataFrame:

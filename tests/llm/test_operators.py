@@ -204,7 +204,7 @@ def test_passages(docs, empty):
     got = passages.near_duplicate_passages(docs).collect()
     assert {r.doc_id for r in got} == {1, 2, 3, 4, 6}
     found = next(r for r in got if r.doc_id == 6)
-    assert found.other == 5 and found.end - found.begin >= 68 and found.similarity > 0.9
+    assert found.other == 5 and found.end - found.begin >= 68 and found.similarity >= 0.8
     assert passages.near_duplicate_passages(empty).count() == 0
 
 
