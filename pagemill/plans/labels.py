@@ -142,3 +142,24 @@ def iqa_vector_issues(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("SELECT vec_id, " + ", ".join(f"round(list_max(v[{a + 1}:{b}]), 6) AS {k}" for k, (a, b) in {"blur": (0, 6), "noise": (6, 13), "geometric": (13, 19), "illumination": (19, 26), "compression": (26, 30), "physical": (30, 37), "text": (37, 42), "scanner": (42, 45)}.items()) + f" FROM ({_VECTOR})")
 def degradation_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _vectors(spark, sf_dir).select("vec_id", *(F.round(c, 6).alias(k) for k, c in T.degradation_groups(F.col("v")).items()))
+
+
+def _rasters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A raster of 32 by 32 made of the bytes of each text, as a stand-in for a page."""
+    data = F.substring(F.encode(F.concat(F.repeat("text", 4), F.repeat(F.lit(" "), 1024)), "UTF-8"), 1, 1024)
+    return table(spark, sf_dir, "documents").select("doc_id", F.struct(F.lit(32).alias("height"), F.lit(32).alias("width"), data.alias("data")).alias("raster"))
+
+
+@query()
+def raster_laplacian(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from ..functions import raster
+
+    return _rasters(spark, sf_dir).withColumn("s", raster.signals(F.col("raster"))).select("doc_id", "s.laplacian", "s.skew_degrees")
+
+
+@query()
+def raster_text_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from ..functions import raster
+
+    rows = _rasters(spark, sf_dir).withColumn("s", raster.signals(F.col("raster")))
+    return rows.select("doc_id", raster.has_text("s").alias("has_text"), raster.blank("s").alias("blank"), F.col("s.edge_density").alias("edge_density"))

@@ -57,3 +57,13 @@ def test_readers(spark, tmp_path):
     (tmp_path / "c.json").write_text('{"images": [{"id": 1, "file_name": "p"}, {"id": 2, "file_name": "q"}], "annotations": [{"image_id": 1, "category_id": 9, "bbox": [0, 0, 1, 1]}], "categories": []}')
     got = {r.file_name: [b.category for b in r.boxes] for r in store.read_coco(spark, str(tmp_path / "c.json")).collect()}
     assert got == {"p": ["unknown"], "q": []}
+
+
+def test_raster_kernels():
+    from pagemill.functions import raster
+
+    flat = np.full((20, 30), 200.0)
+    assert raster.laplacian(flat).var() == 0 and raster.edges(flat) == 0
+    x = np.full((60, 60), 255.0)
+    x[::10] = 0
+    assert raster.skew(x) == 0.0 and raster.edges(x) > 0.1
