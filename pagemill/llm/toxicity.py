@@ -121,8 +121,9 @@ def label_model(votes: np.ndarray, prior: float, rounds: int = 50) -> tuple[np.n
     return post, weight
 
 
-def logistic(rows: np.ndarray, slots: np.ndarray, target: np.ndarray, steps: int = 150, rate: float = 0.05, decay: float = 3e-5) -> tuple[np.ndarray, float]:
-    """Adam over all rows; target is a probability. Only the slots that occur have weights."""
+def logistic(rows: np.ndarray, slots: np.ndarray, target: np.ndarray, steps: int = 150, rate: float = 0.05) -> tuple[np.ndarray, float]:
+    """Adam over all rows; target is a probability. Only the slots that occur have weights, with a normal prior of variance 1."""
+    decay = 1 / len(target)
     used, slot = np.unique(slots, return_inverse=True)
     w = np.zeros(len(used) + 1)
     w[-1] = np.log((target.mean() + 1e-3) / (1 - target.mean() + 1e-3))
@@ -145,8 +146,9 @@ def _calibration(s: np.ndarray, y: np.ndarray) -> tuple[float, float]:
     x = np.stack([s, np.ones_like(s)], 1)
     for _ in range(25):
         q = 1 / (1 + np.exp(-np.clip(x @ p, -30, 30)))
-        g = x.T @ (q - y) + 0.1 * (p - [1, 0])
-        p = p - np.linalg.solve((x * (q * (1 - q))[:, None]).T @ x + 0.1 * np.eye(2), g)
+        g = x.T @ (q - y) + (p - [1, 0])
+        step = np.linalg.solve((x * (q * (1 - q))[:, None]).T @ x + np.eye(2), g)
+        p = p - step / max(1.0, float(np.abs(step).max()))  # at most 1 at a time: a full step may overshoot
     return (float(p[0]), float(p[1])) if np.isfinite(p).all() and p[0] > 0 else (1.0, 0.0)
 
 
