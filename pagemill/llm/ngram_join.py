@@ -9,7 +9,8 @@ makes which very many documents share, bring no candidates. Parts without shingl
 are used only by sets that have more of them than slack.
 
 Only sets that may have a partner get signatures: those of fewer than 64 shingles, and those that share a band of min-hashes with another set (one
-permutation, 120 bins, 60 bands of two for sets of up to 500 shingles, 40 bands of three for those of 320 or more). A similar pair fails to with a
+permutation, 120 bins, 60 bands of two for sets of up to 500 shingles, 40 bands of three for those of 320 or more). Sets of fewer than 64 that can be
+similar to one of 64 or more have bands too, so that the larger one finds them. A similar pair fails to with a
 probability below 1e-12, less than that of two 64-bit hashes of the corpus being equal; what passes costs time only.
 
 Candidates are verified by their whole sets. In each signature's group every set is compared with the first and the one before it. Groups
@@ -63,10 +64,15 @@ def _texts(batch: pa.RecordBatch, column: int) -> list[bytes | None]:
 
 
 BINS = 120
+#: Sets of fewer shingles pass the sieve whatever their bands are.
+SMALL = 64
 
 
-def sketch_bands(owner: np.ndarray, hashes: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Set and hash of each band of min-hashes. hashes are sorted in each set, so the first in a bin is its smallest."""
+def sketch_bands(owner: np.ndarray, hashes: np.ndarray, size: np.ndarray, similarity_pct: int = 80) -> tuple[np.ndarray, np.ndarray]:
+    """Set and hash of each band of min-hashes, for sets that can be similar to one of SMALL shingles or more.
+
+    hashes are sorted in each set, so the first in a bin is its smallest.
+    """
     n = len(size)
     which = ((hashes >> np.uint64(32)) * np.uint64(BINS) >> np.uint64(32)).astype(np.int64)
     first = np.ones(len(hashes), bool)
@@ -83,7 +89,7 @@ def sketch_bands(owner: np.ndarray, hashes: np.ndarray, size: np.ndarray) -> tup
     after[~some] = 0
     value = mix64(np.take_along_axis(value, after, 1) + (after - np.arange(BINS)[None, :]).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
     out = []
-    for r, use in ((2, (size >= 64) & (size < 500)), (3, size >= 320)):
+    for r, use in ((2, (size >= SMALL * similarity_pct // 100) & (size < 500)), (3, size >= 320)):
         rows = np.flatnonzero(use)
         band = np.full((len(rows), BINS // r), np.uint64(r))
         for k in range(r):
@@ -93,7 +99,7 @@ def sketch_bands(owner: np.ndarray, hashes: np.ndarray, size: np.ndarray) -> tup
     return np.concatenate([x for x, _ in out]), np.concatenate([x for _, x in out])
 
 
-def shingle_sets(docs: DataFrame, key: str = "doc_id", text: str = "text", size: int = 5) -> DataFrame:
+def shingle_sets(docs: DataFrame, key: str = "doc_id", text: str = "text", size: int = 5, similarity_pct: int = 80) -> DataFrame:
     """key, n_shingles, node (name of the set), bands (of min-hashes)."""
     rows = docs.select(F.col(key).cast("long").alias("key"), F.col(text).cast("string").alias("text"))
 
@@ -103,7 +109,7 @@ def shingle_sets(docs: DataFrame, key: str = "doc_id", text: str = "text", size:
             for a, b in in_slices(texts):
                 owner, hashes = batch_shingles(texts[a:b], size)
                 n, node = set_names(owner, hashes, b - a)
-                of, band = sketch_bands(owner, hashes, n)
+                of, band = sketch_bands(owner, hashes, n, similarity_pct)
                 order = np.argsort(of, kind="stable")
                 cuts = np.searchsorted(of[order], np.arange(b - a + 1)).astype(np.int32)
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array(n.astype(np.int64)), pa.array(node), pa.ListArray.from_arrays(pa.array(cuts), pa.array(band[order].view(np.int64)))], names=["key", "n_shingles", "node", "bands"])
@@ -113,7 +119,7 @@ def shingle_sets(docs: DataFrame, key: str = "doc_id", text: str = "text", size:
 
 def possible_nodes(keyed: DataFrame, key: str) -> DataFrame:
     """node and one key of each set that may be similar to another."""
-    small = keyed.filter("n_shingles > 0 and n_shingles < 64").select("node", key)
+    small = keyed.filter(f"n_shingles > 0 and n_shingles < {SMALL}").select("node", key)
     each = keyed.select("node", key, F.explode("bands").alias("band"))
     shared = each.groupBy("band").agg(F.min("node").alias("a"), F.max("node").alias("b")).filter("a < b").select("band")
     return small.unionByName(each.join(shared, "band").select("node", key)).groupBy("node").agg(F.min(key).alias(key))
@@ -301,7 +307,7 @@ def linked_nodes(docs: DataFrame, keyed: DataFrame, similarity_pct: int, key: st
 
 def jaccard_components(docs: DataFrame, similarity_pct: int = 80, key: str = "doc_id", text: str = "text", size: int = 5) -> DataFrame:
     """key, n_shingles, node, component_id (smallest key reachable by links, itself included)."""
-    keyed = stored(shingle_sets(docs, key, text, size), "keyed")
+    keyed = stored(shingle_sets(docs, key, text, size, similarity_pct), "keyed")
     found, _ = linked_nodes(docs, keyed.filter(F.col(key).isNotNull()), similarity_pct, key, text, size)
     named = keyed.drop("bands").join(found, "node", "left").withColumn("component", F.when((F.col("n_shingles") > 0) & F.col(key).isNotNull(), F.coalesce("component", "node")))
     # the smallest key of a component is found before the rows are joined again, with partial sums: a component may hold most rows

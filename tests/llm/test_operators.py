@@ -142,6 +142,17 @@ def test_ngram_join_resolves_a_group_of_uneven_copies(spark):
     assert got == components_by_force(sets)
 
 
+def test_ngram_join_links_across_the_borders_of_the_sieve(spark):
+    rows = []
+    for small, large in ((51, 63), (52, 64), (52, 65), (60, 70), (63, 64), (63, 78), (64, 80), (300, 319), (319, 320), (310, 380), (400, 500), (499, 500), (480, 560)):
+        for seed in range(3):
+            words = prose(1000 * seed + large + small, large + 4, 1 << 40)
+            rows += [" ".join(words[: small + 4]), " ".join(words)]
+    sets = {k: shingles(t) for k, t in enumerate(rows)}
+    got = {r.doc_id: r.component_id for r in ngram_join.jaccard_components(spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")).collect()}
+    assert got == components_by_force(sets) == {k: k - k % 2 for k in sets}
+
+
 def test_suffix_array():
     rng = np.random.default_rng(3)
     for _ in range(200):
