@@ -5,8 +5,8 @@ bands, so a set takes part in the scheme of its band and in the one below. In a
 the shingles' domain is split by a hash into n1 = k + 1 + slack parts, and every subset of n1 - k parts on which the two agree
 shares its signatures. A signature is the hash of the part of a set that lies in one part of the domain. As similar sets share
 at least n1 - k of n1 signatures, each set needs only its k + 1 rarest: the frequent ones, such as those that a passage
-makes which very many documents share, bring no candidates. Parts without shingles count as the most frequent signature, and
-are used only by sets that have more of them than slack.
+makes which very many documents share, bring no candidates. For every set, parts without shingles count as more frequent than all others, so
+they are used only by sets that have more of them than slack: those keep all their parts with shingles, and leave slack empty ones out.
 
 Only sets that may have a partner get signatures: those of fewer than 64 shingles, and those that share a band of min-hashes with another set (one
 permutation, 120 bins, 60 bands of two for sets of up to 500 shingles, 40 bands of three for those of 320 or more). Sets of fewer than 64 that can be
@@ -185,7 +185,10 @@ def whole_sets(docs: DataFrame, chosen: DataFrame, key: str, text: str, size: in
 
 
 def _scheme_signatures(owner: np.ndarray, hashes: np.ndarray, size: np.ndarray, band: np.ndarray, k: np.ndarray, slack: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """For sets given one after another and the scheme of each: set, signature, and how many of its most frequent ones to leave out."""
+    """For sets given one after another and the scheme of each: set, signature, and spare.
+
+    A signature is left out if it is one of the last spare ones of its set, ordered by spare (so that empty parts come last), then by frequency.
+    """
     n1 = k + 1 + slack
     base = np.concatenate([[0], np.cumsum(n1)])
     part = (mix64(hashes ^ (band[owner].astype(np.uint64) + np.uint64(77))) % n1[owner].astype(np.uint64)).astype(np.int64) + base[owner]
@@ -198,8 +201,8 @@ def _scheme_signatures(owner: np.ndarray, hashes: np.ndarray, size: np.ndarray,
     empty = n1 - np.bincount(of[filled], minlength=len(n1))
     keep = filled | (empty > slack)[of]
     signature = mix64(value + mix64((band[of].astype(np.uint64) << np.uint64(40)) + where.astype(np.uint64)))
-    spare = np.where(empty > slack, slack, slack - empty)
-    return of[keep], signature[keep], spare[of[keep]]
+    spare = np.where(filled, np.maximum(0, slack - empty)[of], slack[of])
+    return of[keep], signature[keep], spare[keep]
 
 
 def signatures(sets: DataFrame, similarity_pct: int) -> DataFrame:
@@ -232,7 +235,7 @@ def candidate_groups(sigs: DataFrame) -> DataFrame:
     """sig, node of the signatures that count: shared ones, and of each set without its most frequent ones."""
     shared = sigs.withColumn("n", F.count("*").over(Window.partitionBy("sig"))).filter("n > 1")
     mine = Window.partitionBy("node", "scheme")
-    ranked = shared.withColumn("rank", F.row_number().over(mine.orderBy("n", "sig"))).withColumn("all", F.count("*").over(mine))
+    ranked = shared.withColumn("rank", F.row_number().over(mine.orderBy("spare", "n", "sig"))).withColumn("all", F.count("*").over(mine))
     return ranked.filter(F.col("rank") <= F.col("all") - F.col("spare")).select("sig", "node").distinct()
 
 

@@ -153,6 +153,13 @@ def test_ngram_join_links_across_the_borders_of_the_sieve(spark):
     assert got == components_by_force(sets) == {k: k - k % 2 for k in sets}
 
 
+def test_ngram_join_links_small_sets_with_empty_parts(spark):
+    # all four shingles of the first text lie in one of three parts, the fifth of the second in another
+    words = prose(74, 9, 1 << 40)
+    docs = spark.createDataFrame([(0, " ".join(words[:-1])), (1, " ".join(words))], "doc_id long, text string")
+    assert {r.doc_id: r.component_id for r in ngram_join.jaccard_components(docs).collect()} == {0: 0, 1: 0}
+
+
 def test_suffix_array():
     rng = np.random.default_rng(3)
     for _ in range(200):
