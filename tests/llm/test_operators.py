@@ -226,6 +226,34 @@ def test_passages(docs, empty):
     assert passages.near_duplicate_passages(empty).count() == 0
 
 
+def test_passages_with_words_inserted_or_deleted():
+    span = 46
+    lost = tried = 0
+    for seed in range(120):
+        n, edit = (60, 70, 80)[seed % 3], ("insert", "delete")[seed // 3 % 2]
+        passage = prose(7000 + seed, n, 1 << 40)
+        at = n // 2 + seed % 7 - 3
+        changed = passage[:at] + (["new"] + passage[at:] if edit == "insert" else passage[at + 1 :])
+        texts = [" ".join(prose(8000 + 2 * seed + k, 300, 1 << 40) + p + prose(9000 + 2 * seed + k, 300, 1 << 40)).encode() for k, p in enumerate((passage, changed))]
+        one, two = (shingles(" ".join(p)) for p in (passage, changed))
+        assert len(one & two) >= 0.8 * len(one | two) and min(len(one), len(two)) >= span
+        of, f, h, low, c, high = (x.tolist() for x in passages.compact_windows(texts, 50, 4, 5))
+        sides = [[(f[i], h[i], low[i], c[i], high[i]) for i in range(len(of)) if of[i] == k] for k in (0, 1)]
+        met = [(p[0], *p[2:], *q[2:]) for p in sides[0] for q in sides[1] if p[:2] == q[:2]]
+        candidates = passages.join_intervals(met, 2, span)
+        if not candidates:
+            continue
+        tried += 1
+        a, b = ((passages._shingles([t], 5)[0] >> np.uint64(32)).astype(np.uint32) for t in texts)
+        found = passages.like_passages(a, b, candidates, span, 0.8)
+        # by brute force: each one found is similar, and one of them holds the passage but for the words at its ends that the edit leaves out
+        for i, j, i2, j2, s in found:
+            x, y = set(a[i:j].tolist()), set(b[i2:j2].tolist())
+            assert s == len(x & y) / len(x | y) >= 0.8 and min(j - i, j2 - i2) >= span
+        lost += not any(i <= 300 and 300 + len(one) <= j and i2 <= 300 and 300 + len(two) <= j2 for i, j, i2, j2, _ in found)
+    assert tried >= 110 and lost == 0
+
+
 def test_quality_orders_three_grades(spark, empty):
     rows, grades = [], []
     for k in range(240):
