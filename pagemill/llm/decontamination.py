@@ -9,8 +9,12 @@ a value of the item's slots stands for one value in the document.
 Documents are first passed through a bitmap of the benchmark's hashes, whose size is fixed (2 MB): it only saves rows, as what passes is
 joined in full.
 
-Defined results. Null or empty text: no windows, never contaminated. Repeated rows of a key: their windows count together. An item of fewer
-than five tokens is one window of all its tokens; an item without windows is never found. Empty tables: no rows. A null key is reported like any other.
+An item of fewer than five tokens is one window of all its tokens, with at least one word, and documents are cut into windows of its length as well. An
+item that has no window with so many words is found by its literal values: its windows hold the values instead of placeholders. Documents
+get windows only of the forms (length, literal or not) that the benchmark's items have.
+
+Defined results. Null or empty text: no windows, never contaminated. Repeated rows of a key: their windows count together. An item without
+tokens is never found. Empty tables: no rows. A null key is reported like any other.
 Extra columns are ignored.
 """
 
@@ -80,51 +84,77 @@ def template_tokens(texts: list[bytes | None]) -> tuple[np.ndarray, np.ndarray,
     return owner, kind, value, template
 
 
-def template_windows(texts: list[bytes | None], size: int = 5, words: int = 3) -> tuple[np.ndarray, ...]:
-    """Text, position, hash, kind and value of the first token, for each window. A text of fewer tokens is one window."""
-    owner, kind, value, template = template_tokens(texts)
+def template_windows(texts: list[bytes | None], forms: list[tuple[int, bool]], size: int = 5, words: int = 3) -> Iterator[tuple[np.ndarray, ...]]:
+    """For each form (length, literal) the text, position, hash, kind and value of the first token of each window.
+
+    A window of templates has at least `words` words, or one if it is shorter than size; a literal one holds values, whatever they are.
+    """
+    tokens = template_tokens(texts)
+    for length, literal in forms:
+        yield _windows_of(tokens, len(texts), length, literal, words if length >= size else 1)
+
+
+def _windows_of(tokens: tuple[np.ndarray, ...], n_texts: int, length: int, literal: bool, words: int) -> tuple[np.ndarray, ...]:
+    owner, kind, value, template = tokens
     n = len(owner)
-    counts = np.bincount(owner, minlength=len(texts))
-    first = np.searchsorted(owner, np.arange(len(texts)))
-    at = np.arange(n)
-    left = counts[owner] - (at - first[owner]) if n else at
-    h = np.zeros(n, np.uint64)
-    literal = np.zeros(n, np.int64)
-    for k in range(size):
-        ok = at + k < n
-        ok[ok] = left[ok] > k
-        token = np.where(ok, template[np.minimum(at + k, n - 1)], 0) if n else template
-        h = mix64(h * np.uint64(0x9E3779B97F4A7C15) + token)
-        literal += ok & (kind[np.minimum(at + k, n - 1)] == WORD) if n else 0
-    whole = (left >= size) & (literal >= words) | (at == first[owner]) & (left < size) & (literal >= 1) if n else np.zeros(0, bool)
-    return owner[whole], (at - first[owner])[whole], h[whole], kind[whole], value[whole]
-
-
-_SCHEMA = "key {0}, pos long, hash long, kind int, value long"
-
-
-def windows(rows: DataFrame, key: str, text: str = "text", bitmap: np.ndarray | None = None, size: int = 5) -> DataFrame:
-    """key, pos, hash, kind, value of the windows of whole texts; with a bitmap, of those whose hash is in it."""
+    counts = np.bincount(owner, minlength=n_texts)
+    place = np.arange(n) - np.searchsorted(owner, np.arange(n_texts))[owner] if n else np.zeros(0, np.int64)
+    start = np.flatnonzero(counts[owner] - place >= length) if n else np.zeros(0, np.int64)
+    h = np.full(len(start), np.uint64(literal))
+    n_words = np.zeros(len(start), np.int64)
+    for k in range(length):
+        h = mix64(h * np.uint64(0x9E3779B97F4A7C15) + (value if literal else template)[start + k])
+        n_words += kind[start + k] == WORD
+    whole = start if literal else start[n_words >= words]
+    return owner[whole], place[whole], h if literal else h[n_words >= words], kind[whole], value[whole]
+
+
+def item_windows(texts: list[bytes | None], size: int = 5) -> tuple[np.ndarray, ...]:
+    """Text, position, hash, kind, value, length and whether literal, of the windows of items: one form for each item."""
+    n_tokens = np.bincount(template_tokens(texts)[0], minlength=len(texts))
+    parts, done = [], np.zeros(len(texts), bool)
+    for literal in (False, True):
+        new = done.copy()
+        for length in range(1, size + 1):
+            ws = next(template_windows(texts, [(length, literal)], size))
+            mine = (np.minimum(n_tokens, size) == length)[ws[0]] & ~done[ws[0]]
+            ws = tuple(x[mine] for x in ws)
+            new[ws[0]] = True
+            parts.append((*ws, np.full(len(ws[0]), length), np.full(len(ws[0]), literal)))
+        done = new
+    return tuple(np.concatenate(x) for x in zip(*parts, strict=True))
+
+
+_SCHEMA = "key {0}, pos long, hash long, kind int, value long, length int, literal boolean"
+
+
+def windows(rows: DataFrame, key: str, text: str = "text", bitmap: np.ndarray | None = None, size: int = 5, forms: list[tuple[int, bool]] | None = None) -> DataFrame:
+    """key, pos, hash, kind, value (and of items length and literal) of the windows of whole texts; with a bitmap, those of documents whose hash is in it."""
     from pyspark.sql.pandas.types import to_arrow_type
 
     spark = rows.sparkSession
     key_type = rows.schema[key].dataType
     arrow = to_arrow_type(key_type)
     shared = spark.sparkContext.broadcast(bitmap) if bitmap is not None else None  # 2^_BITS bits
+    schema = _SCHEMA if forms is None else _SCHEMA.partition(", length")[0]
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = batch.column(1).cast(pa.large_binary()).to_pylist()
             for a, b in in_slices(texts):
-                owner, pos, h, kind, value = template_windows(texts[a:b], size)
-                if shared is not None:
-                    slot = h >> np.uint64(64 - _BITS)
-                    hit = (shared.value[(slot >> np.uint64(3)).astype(np.int64)] >> (slot & np.uint64(7)).astype(np.uint8)) & 1 == 1
-                    owner, pos, h, kind, value = owner[hit], pos[hit], h[hit], kind[hit], value[hit]
-                keys = batch.column(0).slice(a, b - a).take(pa.array(owner)).cast(arrow)
-                yield pa.RecordBatch.from_arrays([keys, pa.array(pos), pa.array(h.view(np.int64)), pa.array(kind.astype(np.int32)), pa.array(value.view(np.int64))], names=["key", "pos", "hash", "kind", "value"])
+                for found in [item_windows(texts[a:b], size)] if forms is None else template_windows(texts[a:b], forms, size):
+                    if shared is not None:
+                        slot = found[2] >> np.uint64(64 - _BITS)
+                        hit = (shared.value[(slot >> np.uint64(3)).astype(np.int64)] >> (slot & np.uint64(7)).astype(np.uint8)) & 1 == 1
+                        found = tuple(x[hit] for x in found)
+                    owner, pos, h, kind, value, *form = found
+                    keys = batch.column(0).slice(a, b - a).take(pa.array(owner)).cast(arrow)
+                    columns = {"key": keys, "pos": pos, "hash": h.view(np.int64), "kind": kind.astype(np.int32), "value": value.view(np.int64)}
+                    if form:
+                        columns |= {"length": form[0].astype(np.int32), "literal": form[1].astype(bool)}
+                    yield pa.RecordBatch.from_arrays([pa.array(x) if isinstance(x, np.ndarray) else x for x in columns.values()], names=list(columns))
 
-    return rows.select(F.col(key).alias("key"), F.col(text).cast("string").alias("text")).mapInArrow(run, _SCHEMA.format(key_type.simpleString()))
+    return rows.select(F.col(key).alias("key"), F.col(text).cast("string").alias("text")).mapInArrow(run, schema.format(key_type.simpleString()))
 
 
 def bitmap_of(hashes: DataFrame) -> np.ndarray:
@@ -139,9 +169,12 @@ def bitmap_of(hashes: DataFrame) -> np.ndarray:
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", item: str = "item_id", text: str = "text", containment: float = 0.8, consistency: float = 0.8, size: int = 5) -> DataFrame:
     """key, item, containment, n_slots, consistency: a row for each document and item that it holds."""
-    items = windows(benchmark, item, text, size=size).select(F.col("key").alias("item"), F.col("pos").alias("q"), "hash", F.col("value").alias("item_value"))
+    each = windows(benchmark, item, text, size=size)
+    # 2 * size forms at most; without an item there is none, and one that finds nothing stands for it
+    forms = sorted((r.length, r.literal) for r in each.select("length", "literal").distinct().collect()) or [(size, False)]
+    items = each.select(F.col("key").alias("item"), F.col("pos").alias("q"), "hash", F.col("value").alias("item_value"))
     total = items.groupBy("item").agg(F.countDistinct("hash").alias("n"))
-    found = stored(windows(docs, key, text, bitmap_of(items), size).join(items, "hash"), "found")
+    found = stored(windows(docs, key, text, bitmap_of(items), size, forms).join(items, "hash"), "found")
     share = found.groupBy("key", "item").agg(F.countDistinct("hash").alias("found")).join(total, "item").withColumn("containment", F.col("found") / F.col("n")).filter(F.col("containment") >= containment)
     # slots along an alignment: how many values of the item stand for one value of the document
     slots = found.filter(F.col("kind") != WORD).join(share.select("key", "item"), ["key", "item"], "left_semi")

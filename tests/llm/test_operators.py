@@ -208,6 +208,14 @@ def test_decontamination_finds_changed_parameters(spark, empty):
     assert decontamination.contaminated(docs, items.limit(0)).count() == 0
 
 
+def test_decontamination_finds_short_items_and_items_without_words(spark):
+    items = ["3 + 5 equals what", "photosynthesis", "12", "1 2 3 4 5 6 7 8", "Rome Paris 14 Berlin Madrid 15 London Oslo 16", "", "how many apples are left over"]
+    texts = ["Well, 9 + 1 equals what in all?", "It is called photosynthesis by most.", "Take 12 of them.", "so: 1, 2, 3, 4, 5, 6, 7, 8 and on", "from Rome Paris 14 Berlin Madrid 15 London Oslo 16 on", "3 + 5 equals", "8 7 6 5 4 3 2 1", "3 + 5 equals what", "and how many apples are left over now"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = decontamination.contaminated(docs, spark.createDataFrame(list(enumerate(items)), "item_id long, text string")).collect()
+    assert sorted((r.doc_id, r.item_id) for r in got) == [(0, 0), (1, 1), (2, 2), (3, 3), (4, 4), (7, 0), (8, 6)]
+
+
 def test_line_templates(spark, empty):
     body = [" ".join(prose(100 + k, 9)).translate(str.maketrans("0123456789", "abcdefghij")) for k in range(40)]
     rows = [(k, f"{body[k]}\nPage {k} of 40 printed on 2024-01-{k:02d}\n{body[-k - 1]} again\nvisit our site {'abcdefghij'[k % 10]}x{'abcdefghij'[k // 10]} for more offers now", k) for k in range(20)]
