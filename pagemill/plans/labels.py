@@ -145,9 +145,12 @@ def degradation_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _rasters(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A raster of 32 by 32 made of the bytes of each text, as a stand-in for a page."""
-    data = F.substring(F.encode(F.concat(F.repeat("text", 4), F.repeat(F.lit(" "), 1024)), "UTF-8"), 1, 1024)
-    return table(spark, sf_dir, "documents").select("doc_id", F.struct(F.lit(32).alias("height"), F.lit(32).alias("width"), data.alias("data")).alias("raster"))
+    """A raster of 32 columns made of the bytes of each whole text, as a stand-in for a page; texts of up to 1,024 bytes are repeated and padded to 32 rows."""
+    size = F.octet_length("text")
+    height = F.greatest(F.lit(32), F.ceil(size / 32)).cast("int")
+    filled = F.when(size > 1024, F.concat(F.col("text"), F.repeat(F.lit(" "), 31))).otherwise(F.concat(F.repeat("text", 4), F.repeat(F.lit(" "), 1024)))
+    data = F.encode(filled, "UTF-8").substr(F.lit(1), height * 32)
+    return table(spark, sf_dir, "documents").select("doc_id", F.struct(height.alias("height"), F.lit(32).alias("width"), data.alias("data")).alias("raster"))
 
 
 @query()

@@ -67,3 +67,16 @@ def test_raster_kernels():
     x = np.full((60, 60), 255.0)
     x[::10] = 0
     assert raster.skew(x) == 0.0 and raster.edges(x) > 0.1
+
+
+def test_rasters_hold_whole_texts(spark, monkeypatch):
+    from pagemill.plans import labels
+
+    texts = ["short text", "", None, "a" * 1024, "b" * 1025, "é" * 3000 + "end"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    monkeypatch.setattr(labels, "table", lambda *_: docs)
+    got = {r.doc_id: r.raster for r in labels._rasters(spark, "").collect()}
+    assert [got[k].height for k in (0, 1, 3, 4, 5)] == [32, 32, 32, 33, 188] and got[2].data is None
+    assert all(len(got[k].data) == got[k].height * 32 for k in (0, 1, 3, 4, 5))
+    assert all(bytes(got[k].data).rstrip() == texts[k].encode() for k in (3, 4, 5))
+    assert {r.doc_id for r in labels.raster_laplacian(spark, "").collect()} == set(range(6))
