@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -15,12 +16,14 @@ WORD_PATTERN = r"[^\x20\x09-\x0D]+"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, set here only where the session has none."""
+    """The folder that driver and executors share: spark.checkpoint.dir. Where it is unset, a session of one machine gets one of its own; a cluster has to name it."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
         current = spark.sparkContext._jsc.sc().getCheckpointDir()
         folder = current.get() if current.isDefined() else None
     if not folder:
+        if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir has to name a folder that the driver and all executors share")
         folder = "file://" + tempfile.mkdtemp(prefix="pagemill-")
         spark.sparkContext.setCheckpointDir(folder)
         spark.conf.set("spark.checkpoint.dir", folder)
@@ -34,11 +37,15 @@ def new_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
-def stored(df: DataFrame, name: str = "stage") -> DataFrame:
-    """Write df as a table in the shared folder and read it again: its lineage ends there, and lost executors lose nothing."""
+def store(df: DataFrame, name: str = "stage") -> tuple[DataFrame, str]:
+    """Write df as a table in the shared folder and read it again: its lineage ends there, and lost executors lose nothing. The table and its path."""
     path = new_path(df.sparkSession, name)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path), path
+
+
+def stored(df: DataFrame, name: str = "stage") -> DataFrame:
+    return store(df, name)[0]
 
 
 def drop_path(spark: SparkSession, path: str) -> None:
@@ -47,6 +54,17 @@ def drop_path(spark: SparkSession, path: str) -> None:
     jpath.getFileSystem(spark._jsc.hadoopConfiguration()).delete(jpath, True)
 
 
+#: Rows of an Arrow batch of texts: the default of 10,000 can be hundreds of MB in each Python worker.
+TEXT_ROWS = 1000
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Let Arrow batches hold at most TEXT_ROWS rows in this session; a smaller setting stays."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(name)) <= TEXT_ROWS:
+        spark.conf.set(name, str(TEXT_ROWS))
+
+
 def file_system(path: str) -> tuple[pafs.FileSystem, str]:
     """The Arrow file system of a URI and the path in it; a path without scheme is local."""
     return pafs.FileSystem.from_uri(path if "://" in path else "file://" + path if not path.startswith("file:") else "file://" + path[5:])
@@ -76,30 +94,23 @@ def mix64(x: np.ndarray) -> np.ndarray:
     return x
 
 
-_POWERS: list[np.ndarray] = [np.ones(1, np.uint64)]
-
-
-def _powers(n: int) -> np.ndarray:
-    """Powers of an odd constant modulo 2^64, at least n of them."""
-    have = _POWERS[0]
-    while len(have) < n:
-        top = have[-1:] * _MIX
-        have = np.concatenate([have, have * top])
-    _POWERS[0] = have
-    return have
-
-
+#: Bytes that are hashed at a time, unless one span is longer; the tables of powers are as long.
+_BLOCK = 1 << 18
 _INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
-_INVERSES: list[np.ndarray] = [np.ones(1, np.uint64)]
-
-
-def _inverse_powers(n: int) -> np.ndarray:
-    have = _INVERSES[0]
-    while len(have) < n:
-        top = have[-1:] * _INVERSE
-        have = np.concatenate([have, have * top])
-    _INVERSES[0] = have
-    return have
+_TABLES: dict[int, np.ndarray] = {}
+
+
+def _powers(base: np.uint64, n: int) -> np.ndarray:
+    """The first n powers of an odd constant modulo 2^64; a table of the usual size is kept."""
+    size = max(n, _BLOCK + 1)
+    if (have := _TABLES.get(int(base))) is not None and len(have) >= size:
+        return have
+    out = np.ones(1, np.uint64)
+    while len(out) < size:
+        out = np.concatenate([out, out * (out[-1:] * base)])
+    if n <= _BLOCK + 1:
+        _TABLES[int(base)] = out
+    return out
 
 
 def lower_ascii(data: np.ndarray) -> np.ndarray:
@@ -115,16 +126,24 @@ def word_spans(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """64-bit hash of data[starts[i]:ends[i]], the same wherever the bytes stand.
+    """64-bit hash of data[starts[i]:ends[i]], the same wherever the bytes stand. Spans are in order and disjoint.
 
-    A prefix sum of byte * power turns each span into a difference; the inverse power moves it to position 0.
+    A prefix sum of byte * power turns each span into a difference; the inverse power moves it to position 0. Works through blocks, so memory is that of
+    a block or of the longest span.
     """
-    if not len(starts):
-        return np.zeros(0, np.uint64)
-    terms = (data.astype(np.uint64) + np.uint64(1)) * _powers(len(data))[: len(data)]
-    total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(terms, dtype=np.uint64)])
-    raw = (total[ends] - total[starts]) * _inverse_powers(len(data) + 1)[starts]
-    return mix64(raw ^ mix64((ends - starts).astype(np.uint64) + _MIX))
+    out = np.zeros(len(starts), np.uint64)
+    i = 0
+    while i < len(starts):
+        low = int(starts[i])
+        j = max(i + 1, int(np.searchsorted(ends, low + _BLOCK, "right")))
+        some = data[low : int(ends[j - 1])]
+        total = np.zeros(len(some) + 1, np.uint64)
+        np.cumsum((some.astype(np.uint64) + np.uint64(1)) * _powers(_MIX, len(some))[: len(some)], out=total[1:])
+        a, b = starts[i:j] - low, ends[i:j] - low
+        raw = (total[b] - total[a]) * _powers(_INVERSE, len(some) + 1)[a]
+        out[i:j] = mix64(raw ^ mix64((b - a).astype(np.uint64) + _MIX))
+        i = j
+    return out
 
 
 def shingle_hashes(words: np.ndarray, size: int = 5) -> np.ndarray:
@@ -180,7 +199,7 @@ def batch_shingles(texts: list[bytes | None], size: int = 5) -> tuple[np.ndarray
     return owner[new].astype(np.int64), h[new]
 
 
-def in_slices(texts: list[bytes | None], most: int = 1 << 22):
+def in_slices(texts: list[bytes | None], most: int = 1 << 19):
     """Ranges (begin, end) of texts of about most bytes together; a longer text stands alone."""
     begin, size = 0, 0
     for k, t in enumerate(texts):
@@ -193,6 +212,25 @@ def in_slices(texts: list[bytes | None], most: int = 1 << 22):
         yield begin, len(texts)
 
 
+def in_pieces(texts: list[bytes | None], overlap: int, most: int = 1 << 19):
+    """Groups of pieces of about most bytes together: texts' numbers, offsets in the texts, bytes. A longer text is cut, and each piece ends with the overlap bytes
+    that the next one begins with."""
+    of, offset, parts, size = [], [], [], 0
+    for k, t in enumerate(texts):
+        n = len(t or b"")
+        for at in range(0, max(1, n - overlap), most):
+            piece = (t or b"")[at : at + most + overlap]
+            if size and size + len(piece) > most:
+                yield np.array(of), np.array(offset), parts
+                of, offset, parts, size = [], [], [], 0
+            of.append(k)
+            offset.append(at)
+            parts.append(piece)
+            size += len(piece)
+    if of:
+        yield np.array(of), np.array(offset), parts
+
+
 # ---------------------------------------------------------------- components
 
 
@@ -215,10 +253,12 @@ def components(edges: DataFrame, a: str = "a", b: str = "b", rounds: int = 40) -
             out = down.join(least, "u").select(F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e")).select("e.*")
         return out.filter("u <> v").distinct()
 
-    links = stored(edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).filter("u <> v").distinct(), "links")
+    links, path = store(edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).filter("u <> v").distinct(), "links")
     mark = None
     for _ in range(rounds):
-        links = stored(stars(stars(links, True), False), "links")
+        before = path
+        links, path = store(stars(stars(links, True), False), "links")
+        drop_path(spark, before)
         now = links.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if now == mark:
             break

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import in_slices, lower_ascii, mix64, span_hashes, stored
+from .common import in_slices, lower_ascii, mix64, small_batches, span_hashes, stored
 
 WORD, NUMBER, NAME, UNIT = 0, 1, 2, 3
 #: Units of measure, in small letters (fixed values).
@@ -133,6 +133,7 @@ def windows(rows: DataFrame, key: str, text: str = "text", bitmap: np.ndarray |
     from pyspark.sql.pandas.types import to_arrow_type
 
     spark = rows.sparkSession
+    small_batches(spark)
     key_type = rows.schema[key].dataType
     arrow = to_arrow_type(key_type)
     shared = spark.sparkContext.broadcast(bitmap) if bitmap is not None else None  # 2^_BITS bits

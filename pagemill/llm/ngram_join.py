@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import batch_shingles, components, in_slices, mix64, stored
+from .common import batch_shingles, components, in_slices, mix64, small_batches, stored
 
 
 def bands(similarity_pct: int, up_to: int = 1 << 40) -> list[int]:
@@ -101,6 +101,7 @@ def sketch_bands(owner: np.ndarray, hashes: np.ndarray, size: np.ndarray, simila
 
 def shingle_sets(docs: DataFrame, key: str = "doc_id", text: str = "text", size: int = 5, similarity_pct: int = 80) -> DataFrame:
     """key, n_shingles, node (name of the set), bands (of min-hashes)."""
+    small_batches(docs.sparkSession)
     rows = docs.select(F.col(key).cast("long").alias("key"), F.col(text).cast("string").alias("text"))
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import in_slices, span_hashes, word_spans
+from .common import in_slices, small_batches, span_hashes, word_spans
 
 LOG2_SHAPES = 14
 #: Slots after the shapes: words equal to the 1st, 2nd, 3rd before, share of distinct words, log length, no words.
@@ -114,7 +114,7 @@ def fit(text: np.ndarray, slot: np.ndarray, value: np.ndarray, grade: np.ndarray
 
 def train(docs: DataFrame, labels: DataFrame, grade: str = "quality", key: str = "doc_id", text: str = "text", sample: int = 8000) -> OrdinalModel | None:
     """Fit on at most sample labelled rows, chosen by a hash of the key; None if they don't hold two grades."""
-    spark = docs.sparkSession
+    small_batches(docs.sparkSession)
     chosen = labels.select(F.col(key).alias("key"), F.col(grade).cast("int").alias("grade")).dropna().groupBy("key").agg(F.max("grade").alias("grade")).orderBy(F.xxhash64("key"), "key").limit(sample)
     # at most sample rows of 12 bytes
     rows = docs.select(F.col(key).alias("key"), F.col(text).cast("string").alias("text")).join(F.broadcast(chosen), "key").select("text", "grade")
@@ -145,6 +145,7 @@ def train(docs: DataFrame, labels: DataFrame, grade: str = "quality", key: str =
 
 def score(docs: DataFrame, model: OrdinalModel | None, target: int | None = None, keep_at: float = 0.5, text: str = "text") -> DataFrame:
     """docs with expected_grade, tail_prob and keep; columns of docs of these names are replaced."""
+    small_batches(docs.sparkSession)
     own = ("expected_grade", "tail_prob", "keep")
     rows = docs.drop(*own)
     if model is None:

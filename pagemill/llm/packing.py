@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import stored
+from .common import small_batches, stored
 from .tokens import encoder
 
 #: Rows of 16 bytes.
@@ -32,6 +32,7 @@ def token_streams(docs: DataFrame, tokenizer: str, end_id: int = 0, key: str = "
     """First pass, written as a table: part, local_start, key, doc_tokens, ids (uint32, little-endian, with the end id)."""
     from pyspark.sql.pandas.types import to_arrow_schema
 
+    small_batches(docs.sparkSession)
     long = T.LongType()
     schema = T.StructType([T.StructField("part", long), T.StructField("local_start", long), T.StructField(key, docs.schema[key].dataType), T.StructField("doc_tokens", long), T.StructField("ids", T.BinaryType())])
     arrow = to_arrow_schema(schema)

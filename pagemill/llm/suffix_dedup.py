@@ -6,19 +6,21 @@ those are found without sorting all suffixes of the corpus:
 1. Each window of `length` bytes has an anchor, its 32-byte string of smallest hash, the leftmost of several. Equal windows have equal anchors
    at the same place, and about 3 positions in 100 are anchors. Their hashes are counted with pre-aggregation, and a bitmap of
    fixed size (8 MB, two probes) takes the hashes that occur more than once. What passes by chance is sorted out below.
-2. The context of an anchor is the text of all windows that have it. Of equal contexts (by 128 bits of hashes: the anchor's and the text's) all but the
-   earliest repeat it whole. Where an anchor has several contexts, their earliest copies go to one partition by the anchor, and where there are several, the suffix array over them is built: sampled
-   triples are sorted and named, the string of names is sorted by recursion while names repeat, the remaining suffixes are sorted
-   by a byte and the rank behind it, and merged. Neighbours in the array are then compared over `length` bytes, byte by byte: runs of equal prefixes are
-   the occurrences of a string, and all but the earliest are repeats.
+2. The context of an anchor is the text of all windows that have it. Of equal contexts all but the earliest repeat it whole. Where an anchor has several
+   contexts, their earliest copies are cut to the windows that another one may hold too, and suffix arrays over them are built: sampled triples are
+   sorted and named, the string of names is sorted by recursion while names repeat, the remaining suffixes are sorted by a byte and the rank behind it, and
+   merged. Neighbours in the array are then compared over `length` bytes, byte by byte: runs of equal prefixes are the occurrences of a string, and all
+   but the earliest are repeats. Anchors of up to 1 MB of contexts meet by their hash in a task, which sorts a bounded number of them at a time; larger
+   ones, which very common strings have, go to one suffix array that the cluster sorts by ranges (suffix_array.py).
 3. The repeated windows of a document, as intervals, meet its text, and the bytes they cover are cut out.
 
-The reduction is exact: it drops only windows whose anchor occurs once, and a suffix array over the rest decides. The bitmap holds any number
-of hashes; a full one lets everything pass to step 2.
+The reduction drops only windows whose anchor occurs once, and a suffix array over the rest decides. The bitmap holds any number of hashes; a full one
+lets everything pass to step 2. Equal contexts are told by 128 bits: the anchor's hash and one of all their bytes. Two unlike contexts that agree
+in both would count as one, so a string that isn't repeated could be cut; for 10^12 contexts of one corpus the probability of one such pair is about 10^-15.
 
 Defined results. Null or empty text, or one shorter than `length`: nothing removed. Earlier means smaller key, then start; rows of one key with different texts are
-ordered by a hash of the text, and equal rows are one document with one result each. A null key is the smallest. Texts of any length.
-Empty table: no rows. Extra columns are ignored.
+ordered by a hash of the text, and equal rows are one document with one result each. A null key is the smallest. Texts of any length: long ones are worked
+through in pieces that overlap. Empty table: no rows. Extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -30,93 +32,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import in_slices, mix64, stored
+from .common import drop_path, in_pieces, in_slices, mix64, small_batches, span_hashes, store, stored
+from .suffix_array import equal_prefixes, prefix_classes
 
 ANCHOR = 32
 _BITS = 26
 _LOW = np.uint64((1 << 28) - 1)
 
 
-# ---------------------------------------------------------------- suffix array
-
-
-def _dense(*columns: np.ndarray) -> np.ndarray:
-    """Rank (from 1) of each row by the columns, equal for equal rows."""
-    widths = [int(c.max()).bit_length() if len(c) else 0 for c in columns]
-    if sum(widths) <= 63:
-        key = np.zeros(len(columns[0]), np.int64)
-        for c, w in zip(columns, widths, strict=True):
-            key = (key << w) | c
-        order = np.argsort(key, kind="stable")
-        new = np.diff(key[order], prepend=key[order[:1]] - 1) != 0
-    else:
-        order = np.lexsort(columns[::-1])
-        new = np.zeros(len(order), bool)
-        new[:1] = True
-        for c in columns:
-            new[1:] |= c[order][1:] != c[order][:-1]
-    rank = np.empty(len(order), np.int64)
-    rank[order] = np.cumsum(new)
-    return rank
-
-
-def suffix_array(s: np.ndarray) -> np.ndarray:
-    """Starts of the suffixes of s (positive integers) in order, by the difference cover {1, 2} modulo 3."""
-    n = len(s)
-    if n < 3:
-        return np.array(sorted(range(n), key=lambda i: s[i:].tolist()), np.int64)
-    t = np.concatenate([s.astype(np.int64), np.zeros(3, np.int64)])
-    # sample: positions 1 and 2 modulo 3; the one beyond the end, if n is 1 modulo 3, marks the end of the first part of the names
-    one = np.arange(1, n + (n % 3 == 1), 3)
-    two = np.arange(2, n, 3)
-    sample = np.concatenate([one, two])
-    names = _dense(t[sample], t[sample + 1], t[sample + 2])
-    if names.max() < len(names):
-        order = suffix_array(names)
-        names = np.empty(len(order), np.int64)
-        names[order] = np.arange(1, len(order) + 1)
-    rank = np.zeros(n + 3, np.int64)
-    rank[sample] = names
-    in_order = sample[np.argsort(names)]
-    in_order = in_order[in_order < n]
-    zero = np.arange(0, n, 3)
-    zero = zero[np.lexsort((rank[zero + 1], t[zero]))]
-    # how many sampled suffixes of either kind stand before each of the others
-    before = np.arange(len(zero))
-    for r in (1, 2):
-        mine = in_order[in_order % 3 == r]
-        both = np.concatenate([mine, zero])
-        columns = (t[both], rank[both + 1]) if r == 1 else (t[both], t[both + 1], rank[both + 2])
-        key = _dense(*columns)
-        before = before + np.searchsorted(key[: len(mine)], key[len(mine) :])
-    out = np.empty(n, np.int64)
-    rest = np.ones(n, bool)
-    rest[before] = False
-    out[before] = zero
-    out[rest] = in_order
-    return out
-
-
-def equal_prefixes(segments: list[bytes], length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Segment, offset and class of each string of `length` bytes in the segments; equal strings have one class."""
-    data = np.frombuffer(b"".join(x + b"\0" for x in segments), np.uint8)
-    sizes = np.array([len(x) for x in segments])
-    base = np.cumsum(sizes + 1) - sizes - 1
-    inside = np.ones(len(data), bool)
-    inside[base + sizes] = False
-    order = suffix_array(np.where(inside, data.astype(np.int64) + 2, 1))
-    of = np.searchsorted(base, order, side="right") - 1
-    fits = order - base[of] + length <= sizes[of]
-    order, of = order[fits], of[fits]
-    same = np.zeros(len(order), bool)
-    view = np.lib.stride_tricks.sliding_window_view(data, length) if len(data) >= length else None
-    for a in range(0, len(order) - 1, 1 << 15):  # neighbours, a bounded number at a time
-        at = order[a : a + (1 << 15) + 1]
-        rows = view[at]
-        same[a + 1 : a + len(at)] = (rows[1:] == rows[:-1]).all(1)
-    return of, order - base[of], np.cumsum(~same)
-
-
 # ---------------------------------------------------------------- anchors
 
 
@@ -128,11 +51,19 @@ def _joined(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 
 def anchors(texts: list[bytes | None], length: int) -> tuple[np.ndarray, ...]:
-    """Runs of windows with one anchor: text, first window, last window (in the text), hash of the anchor."""
-    sizes = np.array([len(t or b"") for t in texts], np.int64)
-    data = np.frombuffer(b"".join(t or b"" for t in texts), np.uint8)
-    none = (np.zeros(0, np.int64),) * 3 + (np.zeros(0, np.uint64),)
-    if len(data) < length:
+    """Runs of windows with one anchor: text, first window, last window (in the text), hash of the anchor, its place, two hashes of the run's bytes.
+
+    A long text is cut into pieces that overlap by a window less a byte, which only splits runs.
+    """
+    found = [_anchors(of, offset, parts, length) for of, offset, parts in in_pieces(texts, overlap=length - 1)]
+    return tuple(np.concatenate(x) for x in zip(*found, strict=True)) if found else (np.zeros(0, np.int64),) * 3 + (np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.uint64))
+
+
+def _anchors(of: np.ndarray, offset: np.ndarray, parts: list[bytes], length: int) -> tuple[np.ndarray, ...]:
+    sizes = np.array([len(t) for t in parts], np.int64)
+    data = np.frombuffer(b"".join(parts), np.uint8)
+    none = (np.zeros(0, np.int64),) * 3 + (np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.uint64))
+    if len(data) < length or sizes.max() < length:
         return none
     h = data.astype(np.uint64) + np.uint64(1)
     width = 1
@@ -148,17 +79,18 @@ def anchors(texts: list[bytes | None], length: int) -> tuple[np.ndarray, ...]:
     low = np.minimum(low[: len(data) - length + 1], low[span - width :][: len(data) - length + 1])
     at = (low & _LOW).astype(np.int64)
     base = np.cumsum(sizes) - sizes
-    owner = np.repeat(np.arange(len(texts)), np.maximum(0, sizes - length + 1))
-    if not len(owner):
-        return none
-    start = np.concatenate([np.arange(b, b + n - length + 1) for b, n in zip(base.tolist(), sizes.tolist(), strict=True) if n >= length])
+    owner = np.repeat(np.arange(len(parts)), np.maximum(0, sizes - length + 1))
+    runs = np.maximum(0, sizes - length + 1)
+    start = np.arange(len(owner)) - np.repeat(np.cumsum(runs) - runs, runs) + base[owner]
     at = at[start]
     new = np.ones(len(start), bool)
     new[1:] = (at[1:] != at[:-1]) | (owner[1:] != owner[:-1])
     first = np.flatnonzero(new)
     last = np.append(first[1:], len(start)) - 1
-    text = owner[first]
-    return text, start[first] - base[text], start[last] - base[text], h[at[first]]
+    part = owner[first]
+    back = offset[part] - base[part]
+    context = span_hashes(data, start[first], start[last] + length)
+    return of[part], start[first] + back, start[last] + back, h[at[first]], at[first] + back, context
 
 
 def _probes(h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -172,7 +104,7 @@ def repeated_anchors(rows: DataFrame, length: int) -> np.ndarray:
         for batch in batches:
             texts = batch.column(0).cast(pa.large_binary()).to_pylist()
             for a, b in in_slices(texts):
-                h, n = np.unique(anchors(texts[a:b], length)[3], return_counts=True)
+                h, n = np.unique(anchors(texts[a:b], length)[3], return_counts=True)  # sums within the slice
                 yield pa.RecordBatch.from_pydict({"h": h.view(np.int64), "n": n.astype(np.int32)})
 
     counted = rows.select("text").mapInArrow(run, "h long, n int").groupBy("h").agg(F.sum("n").alias("n")).filter("n > 1")
@@ -202,30 +134,43 @@ def _passes(marks: np.ndarray, h: np.ndarray) -> np.ndarray:
     return hit
 
 
-def _place(key: np.ndarray, lo: np.ndarray) -> np.ndarray:
-    return mix64(mix64(key.view(np.uint64)) + lo.astype(np.uint64))
+def _place(key: np.ndarray, lo: np.ndarray, h: np.ndarray) -> np.ndarray:
+    return mix64(mix64(key.view(np.uint64)) + lo.astype(np.uint64)) ^ mix64(h.view(np.uint64))
+
+
+def _contexts(rows: DataFrame, repeated: np.ndarray, length: int) -> DataFrame:
+    """key, row, lo, hi (windows), h, context (hash of their bytes) of the anchors that the bitmap lets pass."""
+    shared = rows.sparkSession.sparkContext.broadcast(repeated)  # 2^_BITS bits
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = batch.column(2).cast(pa.large_binary()).to_pylist()
+            for a, b in in_slices(texts):
+                text, lo, hi, h, _, context = anchors(texts[a:b], length)
+                hit = _passes(shared.value, h)
+                of = pa.array(text[hit])
+                yield pa.RecordBatch.from_pydict({"key": batch.column(0).slice(a, b - a).take(of), "row": batch.column(1).slice(a, b - a).take(of), "lo": lo[hit], "hi": hi[hit], "h": h[hit].view(np.int64), "context": context[hit].view(np.int64)})
+
+    return rows.select("key", "row", "text").mapInArrow(run, "key long, row long, lo long, hi long, h long, context long")
 
 
-def _contexts(rows: DataFrame, repeated: np.ndarray, length: int, places: np.ndarray | None = None) -> DataFrame:
-    """key, row, lo, hi (windows), h, bytes of the anchors that the bitmaps let pass: their hashes, and where they stand."""
-    shared = rows.sparkSession.sparkContext.broadcast((repeated, places))  # 2^_BITS bits each
+def _context_bytes(rows: DataFrame, places: np.ndarray, length: int) -> DataFrame:
+    """key, row, lo, h, at (the anchor's place in the bytes), bytes of the contexts whose places the bitmap lets pass."""
+    shared = rows.sparkSession.sparkContext.broadcast(places)  # 2^_BITS bits
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        anchors_, places_ = shared.value
         for batch in batches:
             texts = batch.column(2).cast(pa.large_binary()).to_pylist()
             keys = batch.column(0).to_numpy()
             for a, b in in_slices(texts):
-                text, lo, hi, h = anchors(texts[a:b], length)
-                hit = _passes(anchors_, h)
-                if places_ is not None:
-                    hit &= _passes(places_, _place(keys[a:b][text], lo))
-                text, lo, hi, h = text[hit], lo[hit], hi[hit], h[hit]
+                text, lo, hi, h, at, _ = anchors(texts[a:b], length)
+                hit = _passes(shared.value, _place(keys[a:b][text], lo, h))
+                text, lo, hi, h, at = text[hit], lo[hit], hi[hit], h[hit], at[hit]
                 parts = [texts[a + t][i : j + length] for t, i, j in zip(text.tolist(), lo.tolist(), hi.tolist(), strict=True)]
                 of = pa.array(text)
-                yield pa.RecordBatch.from_pydict({"key": batch.column(0).slice(a, b - a).take(of), "row": batch.column(1).slice(a, b - a).take(of), "lo": lo, "hi": hi, "h": h.view(np.int64), "bytes": pa.array(parts, pa.binary())})
+                yield pa.RecordBatch.from_pydict({"key": batch.column(0).slice(a, b - a).take(of), "row": batch.column(1).slice(a, b - a).take(of), "lo": lo, "h": h.view(np.int64), "at": (at - lo).astype(np.int32), "bytes": pa.array(parts, pa.binary())})
 
-    return rows.select("key", "row", "text").mapInArrow(run, "key long, row long, lo long, hi long, h long, bytes binary")
+    return rows.select("key", "row", "text").mapInArrow(run, "key long, row long, lo long, h long, at int, bytes binary")
 
 
 def _places(firsts: DataFrame) -> DataFrame:
@@ -233,16 +178,45 @@ def _places(firsts: DataFrame) -> DataFrame:
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield pa.RecordBatch.from_pydict({"place": _place(batch.column(0).to_numpy(), batch.column(1).to_numpy()).view(np.int64)})
+            yield pa.RecordBatch.from_pydict({"place": _place(*(batch.column(k).to_numpy() for k in range(3))).view(np.int64)})
+
+    return firsts.select("key", "lo", "h").mapInArrow(run, "place long")
+
+
+#: Windows of this many neighbouring extents share a probe.
+_STEP = 18
+
 
-    return firsts.select("key", "lo").mapInArrow(run, "place long")
+def _trimmed(contexts: DataFrame, length: int) -> DataFrame:
+    """Contexts without the windows that can't be in another context of the anchor: h, key, row, lo, bytes.
 
+    A window that begins l bytes before the anchor, with l from q to q + _STEP - 1, holds the probe of q: the length - _STEP + 1 bytes that begin q before the
+    anchor. A window that stands in two contexts of an anchor stands at one place beside it, so its probe is in both of them.
+    """
+    n = F.length("bytes") - length + 1
+    probes = []
+    for q in range(0, length - ANCHOR + 1, _STEP):
+        least, most = F.greatest(F.lit(q), F.col("at") - n + 1), F.least(F.lit(min(q + _STEP - 1, length - ANCHOR)), F.col("at"))
+        probe = F.xxhash64(F.call_function("substring", F.col("bytes"), F.col("at") - q + 1, F.lit(length - _STEP + 1)))
+        probes.append(F.when(least <= most, F.struct(F.lit(q).alias("q"), least.alias("least"), most.alias("most"), probe.alias("probe"))))
+    each = contexts.select("h", "key", "row", "lo", F.inline(F.filter(F.array(*probes), lambda x: x.isNotNull())))
+    here = F.struct("key", "row", "lo")
+    shared = each.groupBy("h", "q", "probe").agg(F.min(here).alias("a"), F.max(here).alias("b")).filter("a <> b").select("h", "q", "probe")
+    wanted = each.join(shared, ["h", "q", "probe"]).groupBy("h", "key", "row", "lo").agg(F.min("least").alias("least"), F.max("most").alias("most"))
+    cut = F.call_function("substring", F.col("bytes"), F.col("at") - F.col("most") + 1, F.col("most") - F.col("least") + length)
+    return contexts.join(wanted, ["h", "key", "row", "lo"]).select("h", "key", "row", (F.col("lo") + F.col("at") - F.col("most")).alias("lo"), cut.alias("bytes"))
 
-def _decide(contexts: DataFrame, length: int, most: int = 1 << 21) -> DataFrame:
-    """key, row, lo, from, to: the windows of the earliest copies of contexts that repeat a window of another context."""
+
+def _decide(contexts: DataFrame, length: int, most: int = 1 << 19) -> DataFrame:
+    """key, row, from, to: the windows of contexts that repeat a window of another context of their anchor. An anchor's contexts are bounded."""
 
     def some(part: pa.RecordBatch) -> pa.RecordBatch:
-        key, row, lo = (part.column(k).to_numpy() for k in (1, 2, 3))
+        h, key, row, lo = (part.column(k).to_numpy() for k in range(4))
+        order = np.lexsort((lo, row, key, h))
+        new = np.ones(len(order), bool)  # equal rows are one document
+        new[1:] = np.any([x[order][1:] != x[order][:-1] for x in (h, key, row, lo)], axis=0)
+        order = order[new]
+        part, key, row, lo = part.take(pa.array(order)), key[order], row[order], lo[order]
         of, offset, group = equal_prefixes(part.column(4).to_pylist(), length)
         pos = lo[of] + offset
         order = np.lexsort((pos, row[of], key[of], group))
@@ -257,7 +231,7 @@ def _decide(contexts: DataFrame, length: int, most: int = 1 << 21) -> DataFrame:
         new[1:] = (of[1:] != of[:-1]) | (pos[1:] != pos[:-1] + 1)
         first = np.flatnonzero(new)
         last = np.append(first[1:], len(of))[: len(first)] - 1
-        return pa.RecordBatch.from_pydict({"key": key[of[first]], "row": row[of[first]], "lo": lo[of[first]], "from": pos[first], "to": pos[last]})
+        return pa.RecordBatch.from_pydict({"key": key[of[first]], "row": row[of[first]], "from": pos[first], "to": pos[last]})
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
@@ -287,28 +261,47 @@ def _decide(contexts: DataFrame, length: int, most: int = 1 << 21) -> DataFrame:
             yield from flush(False)
 
     rows = contexts.repartition(int(contexts.sparkSession.conf.get("spark.sql.shuffle.partitions")), "h").sortWithinPartitions("h").select("h", "key", "row", "lo", "bytes")
-    return rows.mapInArrow(run, "key long, row long, lo long, from long, to long")
+    return rows.mapInArrow(run, "key long, row long, from long, to long")
+
+
+def _decide_sorted(contexts: DataFrame, length: int, small: int) -> DataFrame:
+    """Like _decide, for contexts of any number, by one suffix array over all of them, sorted by the cluster."""
+    classes = prefix_classes(contexts.select("h", "key", "row", "lo", "bytes").dropDuplicates(["h", "key", "row", "lo"]), length, small)
+    each = classes.select("class", "key", "row", (F.col("lo") + F.col("offset")).alias("from"))
+    first = each.groupBy("class").agg(F.min(F.struct("key", "row", "from")).alias("first"), F.count("*").alias("n")).filter("n > 1").select("class", "first")
+    return each.join(first, "class").filter(F.struct("key", "row", "from") != F.col("first")).select("key", "row", "from", F.col("from").alias("to"))
 
 
-def repeated_windows(docs: DataFrame, length: int = 100, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """key, row (hash of the text), from, to: starts of the strings of `length` bytes that also start earlier, as intervals."""
+def repeated_windows(docs: DataFrame, length: int = 100, key: str = "doc_id", text: str = "text", task_bytes: int = 1 << 20, small: int = 1 << 18) -> DataFrame:
+    """key, row (hash of the text), from, to: starts of the strings of `length` bytes that also start earlier, as intervals.
+
+    An anchor whose contexts hold more than task_bytes goes to the suffix array that the cluster sorts; the others fit into a task.
+    """
+    spark = docs.sparkSession
+    small_batches(spark)
     plain = F.col(text).cast("string")
     rows = docs.select(F.coalesce(F.col(key).cast("long"), F.lit(-(1 << 63))).alias("key"), F.xxhash64(plain).alias("row"), F.encode(plain, "UTF-8").alias("text"))
-    repeated = repeated_anchors(rows, length)
-    found = stored(_contexts(rows, repeated, length).withColumn("context", F.xxhash64("bytes")).drop("bytes"), "contexts")
-    earliest = found.groupBy("h", "context").agg(F.min(F.struct("key", "row", "lo")).alias("at"))
-    marked = stored(found.join(earliest, ["h", "context"]).withColumn("first", F.struct("key", "row", "lo") == F.col("at")).select("key", "row", "lo", "hi", "h", "first"), "marked")
-    later = marked.filter(~F.col("first")).select("key", "row", F.col("lo").alias("from"), F.col("hi").alias("to"))
+    found = stored(_contexts(rows, repeated_anchors(rows, length), length), "contexts")
+    here = F.struct("key", "row", "lo")
+    earliest, path = store(found.groupBy("h", "context").agg(F.min(here).alias("at")), "earliest")
+    later = found.join(earliest, ["h", "context"]).filter(here != F.col("at")).select("key", "row", F.col("lo").alias("from"), F.col("hi").alias("to"))
     # anchors with several contexts: the text of the earliest copy of each is looked at again
-    several = marked.filter("first").groupBy("h").agg(F.count("*").alias("n")).filter("n > 1").select("h")
-    places = _bits_of(_places(marked.filter("first").join(several, "h")))
-    return _decide(_contexts(rows, repeated, length, places), length).select("key", "row", "from", "to").unionByName(later)
-
-
-def cut(docs: DataFrame, length: int = 100, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """key, kept (bytes that are left), n_bytes, n_removed, n_spans."""
+    several = earliest.groupBy("h").agg(F.count("*").alias("n")).filter("n > 1").select("h")
+    places = _bits_of(_places(earliest.join(several, "h").select("at.key", "at.lo", "h")))
+    looked, seen = store(_context_bytes(rows, places, length), "texts")
+    held = stored(_trimmed(looked, length), "trimmed")
+    drop_path(spark, seen)
+    large = held.groupBy("h").agg(F.sum(F.length("bytes")).alias("n")).filter(F.col("n") > task_bytes).select("h")
+    repeats = _decide(held.join(large, "h", "left_anti"), length)
+    if not large.isEmpty():
+        repeats = repeats.unionByName(_decide_sorted(held.join(large, "h", "left_semi"), length, small))
+    return repeats.unionByName(later)
+
+
+def cut(docs: DataFrame, length: int = 100, key: str = "doc_id", text: str = "text", **limits) -> DataFrame:
+    """key, kept (bytes that are left), n_bytes, n_removed, n_spans. limits: those of repeated_windows."""
     plain = F.col(text).cast("string")
-    spans = repeated_windows(docs, length, key, text).groupBy("key", "row").agg(F.collect_list(F.struct("from", "to")).alias("spans"))
+    spans = repeated_windows(docs, length, key, text, **limits).groupBy("key", "row").agg(F.collect_list(F.struct("from", "to")).alias("spans"))
     rows = docs.select(F.col(key).alias("id"), F.coalesce(F.col(key).cast("long"), F.lit(-(1 << 63))).alias("key"), F.xxhash64(plain).alias("row"), F.encode(F.coalesce(plain, F.lit("")), "UTF-8").alias("text"))
     joined = rows.join(spans, ["key", "row"], "left").select("id", "text", F.col("spans.from").alias("begins"), F.col("spans.to").alias("ends"))
 

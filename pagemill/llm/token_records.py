@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import file_system, new_path
+from .common import file_system, new_path, small_batches
 from .tokens import encoder
 
 #: Fixed values of the format: the CRC-32C polynomial (reversed) and the constant of the mask.
@@ -127,6 +127,7 @@ def write_records(docs: DataFrame, out_dir: str, tokenizer: str, end_id: int = 1
     that Spark committed: a lost or repeated attempt leaves a file that nothing refers to.
     """
     spark = docs.sparkSession
+    small_batches(spark)
     key_type = docs.schema[key].dataType
     rows = docs.select(F.col(key).alias("key"), F.col(text).cast("string").alias("text"))
     rows = rows.withColumn("tie", F.xxhash64("text"))

@@ -19,20 +19,24 @@ MARK = "\x01"
 class ChunkEncoder:
     """ids(text) gives the ids as little-endian bytes of dtype.
 
-    Special tokens' strings in a text are ordinary text. A missing or empty text has no ids.
+    They are those of the plain call encode(text, add_special_tokens=False): a text that may hold the string of an added token is encoded whole.
+    A missing or empty text has no ids.
     """
 
-    def __init__(self, path: str, dtype: str = "<u4", cache_entries: int = 1_200_000):
+    def __init__(self, path: str, dtype: str = "<u4", cache_entries: int = 600_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
         self.dtype, self.limit = np.dtype(dtype), cache_entries
         if self.tokenizer.get_vocab_size() > np.iinfo(self.dtype).max + 1:
             raise ValueError(f"ids of {path} don't fit into {dtype}")
         self.cache: dict[str, bytes | None] = {}
+        self.again: set[str] = set()
         self.tails: dict[str, bytes] = {}
+        # the first characters of the added tokens' strings, in small letters, as a normalizer may change a text's
+        self.special = sorted({t.content[:2].lower() for t in self.tokenizer.get_added_tokens_decoder().values()})
+        self.cased = any(x.upper() != x for x in self.special)
         self.mark = self.tokenizer.encode(" " + MARK, add_special_tokens=False).ids
 
     def _encode(self, texts: list[str]) -> list[bytes]:
@@ -73,7 +77,18 @@ class ChunkEncoder:
             tails[tail] = self._encode([tail])[0]
         cache.update([(c, cache[core] + tails[tail]) for c, core, tail in split])
 
-    def batch(self, texts: list[str | None], chars: int = 1 << 22) -> list[bytes]:
+    def _bounded(self) -> dict[str, bytes | None]:
+        """The cache; when it's full, only chunks stay that were met again since it last was."""
+        if len(self.cache) > self.limit:
+            some = {c: self.cache[c] for c in self.again if c in self.cache} if len(self.again) <= self.limit * 3 // 4 else {}
+            self.cache, self.again = some, set()
+        return self.cache
+
+    def _may_hold_special(self, text: str) -> bool:
+        text = text.lower() if self.cased else text
+        return any(x in text for x in self.special)
+
+    def batch(self, texts: list[str | None], chars: int = 1 << 20) -> list[bytes]:
         """ids of each text; works through about chars characters at a time, so that memory is bounded."""
         out: list[bytes] = []
         start, size = 0, 0
@@ -85,11 +100,18 @@ class ChunkEncoder:
         return out + self._some(texts[start:])
 
     def _some(self, texts: list[str | None]) -> list[bytes]:
-        if len(self.cache) > self.limit:
-            self.cache.clear()
+        whole = [k for k, text in enumerate(texts) if text and self._may_hold_special(text)]
+        if whole:
+            held = set(whole)
+            out = self._some([None if k in held else text for k, text in enumerate(texts)])
+            for k, ids in zip(whole, self._encode([texts[k] for k in whole]), strict=True):
+                out[k] = ids
+            return out
         parts = [text.split(" ") if text else [] for text in texts]
-        cache = self.cache
-        missing = set().union(*parts).difference(cache)
+        chunks = set().union(*parts)
+        cache = self._bounded()
+        missing = chunks.difference(cache)
+        self.again |= chunks.difference(missing)
         if missing:
             # what ends in white space, and so what is empty too, can't be followed by a cut: None sends the text to the slow way
             cache.update(dict.fromkeys(c for c in missing if not c or c[-1].isspace()))

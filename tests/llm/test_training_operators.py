@@ -12,7 +12,7 @@ pytest.importorskip("pagemill.llm")
 
 from pyspark.sql import functions as F  # noqa: E402
 
-from pagemill.llm import decontamination, line_templates, ngram_join, ordinal_quality, packing, passages, suffix_dedup, token_records, topk_search, toxicity  # noqa: E402
+from pagemill.llm import decontamination, line_templates, ngram_join, ordinal_quality, packing, passages, suffix_array, suffix_dedup, token_records, topk_search, toxicity  # noqa: E402
 from pagemill.llm.tokens import ChunkEncoder, public_tokenizer  # noqa: E402
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, score double, row long, key string"
@@ -42,18 +42,24 @@ def empty(spark):
 def ids(path, text):
     from tokenizers import Tokenizer
 
-    t = Tokenizer.from_file(path)
-    t.encode_special_tokens = True
-    return t.encode(text or "", add_special_tokens=False).ids
+    return Tokenizer.from_file(path).encode(text or "", add_special_tokens=False).ids
+
+
+def ids_of(path, texts):
+    from tokenizers import Tokenizer
+
+    plain = Tokenizer.from_file(path)
+    return [plain.encode(t, add_special_tokens=False).ids for t in texts]
 
 
 def test_chunked_ids_are_the_tokenizers():
     rng = np.random.default_rng(0)
-    parts = ["a", "B.", "don't", " ", "  ", "\n", "\t", "\x1c", "\x85", "é", "́", "ΑΣ", "12", ",", "<|endoftext|>", "漢", "\x01", "　"]
+    parts = ["a", "B.", "don't", " ", "  ", "\n", "\t", "\x1c", "\x85", "é", "́", "ΑΣ", "12", ",", "<|endoftext|>", "<|EndOfText|>", "<|", "漢", "\x01", "　"]
     for path, dtype in ((WORD, "<u2"), (BYTE, "<u4")):
         texts = ["".join(rng.choice(parts, rng.integers(0, 9))) for _ in range(400)]
-        encode = ChunkEncoder(path, dtype)
-        assert [np.frombuffer(x, dtype).tolist() for x in encode.batch(texts)] == [ids(path, t) for t in texts]
+        encode = ChunkEncoder(path, dtype, cache_entries=60)
+        texts += ["hi <|endoftext|> there", "<|startoftext|>a"]
+        assert [np.frombuffer(x, dtype).tolist() for x in [*encode.batch(texts[:200]), *encode.batch(texts[200:])]] == ids_of(path, texts)
 
 
 def test_checksums_and_framing():
@@ -164,26 +170,65 @@ def test_suffix_array():
     rng = np.random.default_rng(3)
     for _ in range(200):
         s = rng.integers(1, rng.choice([2, 3, 6]), rng.integers(0, 50))
-        assert suffix_dedup.suffix_array(s).tolist() == sorted(range(len(s)), key=lambda i: s[i:].tolist())
+        assert suffix_array.suffix_array(s).tolist() == sorted(range(len(s)), key=lambda i: s[i:].tolist())
 
 
-def test_suffix_dedup_is_exact(docs, empty):
-    seen, want = set(), {}
-    rows = {r.doc_id: (r.text or "").encode() for r in docs.collect()}
+@pytest.mark.parametrize("n", [31, 32, 33])
+def test_suffix_array_sorted_by_the_cluster(spark, n):
+    s = np.random.default_rng(n).integers(1, 3, n)
+    text = spark.createDataFrame([(int(i), int(x)) for i, x in enumerate(s)], "pos long, sym long")
+    got = [r.pos for r in suffix_array.ranks(text, n, small=20).orderBy("rank").collect()]
+    assert got == suffix_array.suffix_array(s).tolist()
+
+
+def without_repeats(rows, length=100):
+    """By force: what is left of the texts of distinct keys, in order."""
+    seen, out = set(), {}
     for k in sorted(rows, key=lambda k: -1 if k is None else k):
         x = rows[k]
         gone = np.zeros(len(x), bool)
-        for p in range(len(x) - 99):
-            if x[p : p + 100] in seen:
-                gone[p : p + 100] = True
-            seen.add(x[p : p + 100])
+        for p in range(len(x) - length + 1):
+            if x[p : p + length] in seen:
+                gone[p : p + length] = True
+            seen.add(x[p : p + length])
         kept = np.frombuffer(x, np.uint8)[~gone].tobytes()
-        want[k] = (len(x), int(gone.sum()), int((np.diff(gone.astype(int), prepend=0) == 1).sum()), hashlib.sha256(kept).hexdigest())
-    got = [(r.doc_id, (r.n_bytes, r.n_removed, r.n_spans, hashlib.sha256(r.kept).hexdigest())) for r in suffix_dedup.cut(docs).collect()]
+        out[k] = (len(x), int(gone.sum()), int((np.diff(gone.astype(int), prepend=0) == 1).sum()), hashlib.sha256(kept).hexdigest())
+    return out
+
+
+def left(docs, **how):
+    return [(r.doc_id, (r.n_bytes, r.n_removed, r.n_spans, hashlib.sha256(r.kept).hexdigest())) for r in suffix_dedup.cut(docs, **how).collect()]
+
+
+def test_suffix_dedup_is_exact(docs, empty):
+    want = without_repeats({r.doc_id: (r.text or "").encode() for r in docs.collect()})
+    got = left(docs)
     assert len(got) == 18 and dict(got) == want
     assert suffix_dedup.cut(empty).count() == 0
 
 
+@pytest.mark.parametrize("task_bytes", [1 << 20, 300])
+def test_suffix_dedup_of_contexts_that_overlap_in_part(spark, task_bytes):
+    # a common line among unlike words, cut off at either side, three times in one text, and in rows that stand twice
+    line = " ".join(prose(50, 40))
+    texts = [" ".join(prose(60 + k, 12)) + " " + line[k % 7 : len(line) - k % 5] + " " + " ".join(prose(90 + k, 12)) for k in range(14)] + [line * 3, "é" * 130, "é" * 90 + "x" + "é" * 60]
+    rows = [(k, t) for k, t in enumerate(texts)]
+    docs = spark.createDataFrame([*rows, rows[3], rows[3], rows[14]], "doc_id long, text string")
+    got = left(docs, task_bytes=task_bytes, small=100)
+    assert len(got) == 20 and dict(got) == without_repeats({k: t.encode() for k, t in rows})
+
+
+def test_suffix_dedup_cuts_long_texts_into_pieces(monkeypatch):
+    from pagemill.llm import common
+
+    text = " ".join(prose(5, 900)).encode()
+    whole = suffix_dedup.anchors([b"x" * 300, text], 100)
+    monkeypatch.setattr(suffix_dedup, "in_pieces", lambda texts, overlap: common.in_pieces(texts, overlap, 700))
+    cut = suffix_dedup.anchors([b"x" * 300, text], 100)
+    each = [{(t, w): (h, at) for t, lo, hi, h, at, _ in zip(*(x.tolist() for x in found), strict=True) for w in range(lo, hi + 1)} for found in (whole, cut)]
+    assert each[0] == each[1]
+
+
 def test_topk_is_exact(spark):
     rng = np.random.default_rng(5)
     rows = [(k, [float(x) for x in rng.normal(size=8)], k % 3) for k in range(300)]
