@@ -3,8 +3,9 @@
 Tokens are runs of letters and digits, in small letters. Numbers, names (a capitalised word inside a sentence) and units (after a number)
 become typed placeholders, so a question and its re-parameterised copies have one template. Windows of five template tokens
 with at least three words are hashed; windows of documents join those of benchmark items on the hash. A document is
-contaminated by an item if the windows found cover enough of the item's, and if along each alignment the slots are consistent:
-a value of the item's slots stands for one value in the document.
+contaminated by an item if a stretch of it, of twice the item's length, has enough of the item's windows, and if the slots of that stretch are
+consistent: along an alignment each value of the item's slots stands for one value in the document, and no other value of the item does.
+All slots of the windows found count, wherever in a window they stand. Stretches overlap by half, so an item's copy lies whole in one.
 
 Documents are first passed through a bitmap of the benchmark's hashes, whose size is fixed (2 MB): it only saves rows, as what passes is
 joined in full.
@@ -13,9 +14,9 @@ An item of fewer than five tokens is one window of all its tokens, with at least
 item that has no window with so many words is found by its literal values: its windows hold the values instead of placeholders. Documents
 get windows only of the forms (length, literal or not) that the benchmark's items have.
 
-Defined results. Null or empty text: no windows, never contaminated. Repeated rows of a key: their windows count together. An item without
-tokens is never found. Empty tables: no rows. A null key is reported like any other.
-Extra columns are ignored.
+Defined results. Null or empty text: no windows, never contaminated. Repeated rows of a key: each text is looked at by itself, and the key is reported once
+for an item, with the best of them. An item without tokens is never found. Empty tables: no rows. A null key is reported like any other.
+Extra columns are ignored, whatever their names. A text of any length is read whole.
 """
 
 from __future__ import annotations
@@ -84,17 +85,11 @@ def template_tokens(texts: list[bytes | None]) -> tuple[np.ndarray, np.ndarray,
     return owner, kind, value, template
 
 
-def template_windows(texts: list[bytes | None], forms: list[tuple[int, bool]], size: int = 5, words: int = 3) -> Iterator[tuple[np.ndarray, ...]]:
-    """For each form (length, literal) the text, position, hash, kind and value of the first token of each window.
+def _windows_of(tokens: tuple[np.ndarray, ...], n_texts: int, length: int, literal: bool, size: int = 5, words: int = 3) -> tuple[np.ndarray, ...]:
+    """Text, position, hash and first token's index of each window of a form (length, literal).
 
     A window of templates has at least `words` words, or one if it is shorter than size; a literal one holds values, whatever they are.
     """
-    tokens = template_tokens(texts)
-    for length, literal in forms:
-        yield _windows_of(tokens, len(texts), length, literal, words if length >= size else 1)
-
-
-def _windows_of(tokens: tuple[np.ndarray, ...], n_texts: int, length: int, literal: bool, words: int) -> tuple[np.ndarray, ...]:
     owner, kind, value, template = tokens
     n = len(owner)
     counts = np.bincount(owner, minlength=n_texts)
@@ -105,57 +100,70 @@ def _windows_of(tokens: tuple[np.ndarray, ...], n_texts: int, length: int, liter
     for k in range(length):
         h = mix64(h * np.uint64(0x9E3779B97F4A7C15) + (value if literal else template)[start + k])
         n_words += kind[start + k] == WORD
-    whole = start if literal else start[n_words >= words]
-    return owner[whole], place[whole], h if literal else h[n_words >= words], kind[whole], value[whole]
-
-
-def item_windows(texts: list[bytes | None], size: int = 5) -> tuple[np.ndarray, ...]:
-    """Text, position, hash, kind, value, length and whether literal, of the windows of items: one form for each item."""
-    n_tokens = np.bincount(template_tokens(texts)[0], minlength=len(texts))
-    parts, done = [], np.zeros(len(texts), bool)
-    for literal in (False, True):
-        new = done.copy()
-        for length in range(1, size + 1):
-            ws = next(template_windows(texts, [(length, literal)], size))
-            mine = (np.minimum(n_tokens, size) == length)[ws[0]] & ~done[ws[0]]
-            ws = tuple(x[mine] for x in ws)
-            new[ws[0]] = True
-            parts.append((*ws, np.full(len(ws[0]), length), np.full(len(ws[0]), literal)))
-        done = new
-    return tuple(np.concatenate(x) for x in zip(*parts, strict=True))
+    if not literal:
+        keep = n_words >= (words if length >= size else 1)
+        start, h = start[keep], h[keep]
+    return owner[start], place[start], h, start
 
 
-_SCHEMA = "key {0}, pos long, hash long, kind int, value long, length int, literal boolean"
+def _lists(values: np.ndarray, start: np.ndarray, length: int) -> pa.Array:
+    """values[start[i] : start[i] + length] as lists."""
+    flat = values[start[:, None] + np.arange(length)[None, :]].ravel()
+    return pa.ListArray.from_arrays(pa.array(np.arange(len(start) + 1, dtype=np.int32) * length), pa.array(flat))
 
 
-def windows(rows: DataFrame, key: str, text: str = "text", bitmap: np.ndarray | None = None, size: int = 5, forms: list[tuple[int, bool]] | None = None) -> DataFrame:
-    """key, pos, hash, kind, value (and of items length and literal) of the windows of whole texts; with a bitmap, those of documents whose hash is in it."""
+def document_windows(rows: DataFrame, bitmap: np.ndarray, forms: list[tuple[int, bool]], size: int = 5) -> DataFrame:
+    """key, row, pos, hash, values of the windows of whole texts whose hash is in the bitmap. rows: key, row, text."""
     from pyspark.sql.pandas.types import to_arrow_type
 
     spark = rows.sparkSession
     small_batches(spark)
-    key_type = rows.schema[key].dataType
+    key_type = rows.schema["key"].dataType
     arrow = to_arrow_type(key_type)
-    shared = spark.sparkContext.broadcast(bitmap) if bitmap is not None else None  # 2^_BITS bits
-    schema = _SCHEMA if forms is None else _SCHEMA.partition(", length")[0]
+    shared = spark.sparkContext.broadcast(bitmap)  # 2^_BITS bits
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        marks = shared.value
         for batch in batches:
-            texts = batch.column(1).cast(pa.large_binary()).to_pylist()
+            texts = batch.column(2).cast(pa.large_binary()).to_pylist()
             for a, b in in_slices(texts):
-                for found in [item_windows(texts[a:b], size)] if forms is None else template_windows(texts[a:b], forms, size):
-                    if shared is not None:
-                        slot = found[2] >> np.uint64(64 - _BITS)
-                        hit = (shared.value[(slot >> np.uint64(3)).astype(np.int64)] >> (slot & np.uint64(7)).astype(np.uint8)) & 1 == 1
-                        found = tuple(x[hit] for x in found)
-                    owner, pos, h, kind, value, *form = found
-                    keys = batch.column(0).slice(a, b - a).take(pa.array(owner)).cast(arrow)
-                    columns = {"key": keys, "pos": pos, "hash": h.view(np.int64), "kind": kind.astype(np.int32), "value": value.view(np.int64)}
-                    if form:
-                        columns |= {"length": form[0].astype(np.int32), "literal": form[1].astype(bool)}
-                    yield pa.RecordBatch.from_arrays([pa.array(x) if isinstance(x, np.ndarray) else x for x in columns.values()], names=list(columns))
+                tokens = template_tokens(texts[a:b])
+                for length, literal in forms:
+                    owner, pos, h, start = _windows_of(tokens, b - a, length, literal, size)
+                    slot = h >> np.uint64(64 - _BITS)
+                    hit = (marks[(slot >> np.uint64(3)).astype(np.int64)] >> (slot & np.uint64(7)).astype(np.uint8)) & 1 == 1
+                    of = pa.array(owner[hit])
+                    yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a).take(of).cast(arrow), batch.column(1).slice(a, b - a).take(of), pa.array(pos[hit]), pa.array(h[hit].view(np.int64)), _lists(tokens[2].view(np.int64), start[hit], length)], names=["key", "row", "pos", "hash", "values"])
+
+    return rows.select("key", "row", "text").mapInArrow(run, f"key {key_type.simpleString()}, row long, pos long, hash long, values array<long>")
+
 
-    return rows.select(F.col(key).alias("key"), F.col(text).cast("string").alias("text")).mapInArrow(run, schema.format(key_type.simpleString()))
+def item_windows(benchmark: DataFrame, item: str, text: str, size: int = 5) -> DataFrame:
+    """item, q, hash, item_values, kinds, n_tokens, length, literal: the windows of items, one form for each."""
+    from pyspark.sql.pandas.types import to_arrow_type
+
+    item_type = benchmark.schema[item].dataType
+    arrow = to_arrow_type(item_type)
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = batch.column(1).cast(pa.large_binary()).to_pylist()
+            for a, b in in_slices(texts):
+                tokens = template_tokens(texts[a:b])
+                n_tokens = np.bincount(tokens[0], minlength=b - a)
+                done = np.zeros(b - a, bool)
+                for literal in (False, True):
+                    new = done.copy()
+                    for length in range(1, size + 1):
+                        owner, q, h, start = _windows_of(tokens, b - a, length, literal, size)
+                        mine = (np.minimum(n_tokens, size) == length)[owner] & ~done[owner]
+                        owner, q, h, start = owner[mine], q[mine], h[mine], start[mine]
+                        new[owner] = True
+                        n = len(owner)
+                        yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a).take(pa.array(owner)).cast(arrow), pa.array(q), pa.array(h.view(np.int64)), _lists(tokens[2].view(np.int64), start, length), _lists(tokens[1].astype(np.int32), start, length), pa.array(n_tokens[owner]), pa.array(np.full(n, length, np.int32)), pa.array(np.full(n, literal))], names=["item", "q", "hash", "item_values", "kinds", "n_tokens", "length", "literal"])
+                    done = new
+
+    return benchmark.select(F.col(item).alias("item"), F.col(text).cast("string").alias("text")).mapInArrow(run, f"item {item_type.simpleString()}, q long, hash long, item_values array<long>, kinds array<int>, n_tokens long, length int, literal boolean")
 
 
 def bitmap_of(hashes: DataFrame) -> np.ndarray:
@@ -170,17 +178,31 @@ def bitmap_of(hashes: DataFrame) -> np.ndarray:
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", item: str = "item_id", text: str = "text", containment: float = 0.8, consistency: float = 0.8, size: int = 5) -> DataFrame:
     """key, item, containment, n_slots, consistency: a row for each document and item that it holds."""
-    each = windows(benchmark, item, text, size=size)
+    items = stored(item_windows(benchmark, item, text, size), "items")
     # 2 * size forms at most; without an item there is none, and one that finds nothing stands for it
-    forms = sorted((r.length, r.literal) for r in each.select("length", "literal").distinct().collect()) or [(size, False)]
-    items = each.select(F.col("key").alias("item"), F.col("pos").alias("q"), "hash", F.col("value").alias("item_value"))
+    forms = sorted((r.length, r.literal) for r in items.select("length", "literal").distinct().collect()) or [(size, False)]
     total = items.groupBy("item").agg(F.countDistinct("hash").alias("n"))
-    found = stored(windows(docs, key, text, bitmap_of(items), size, forms).join(items, "hash"), "found")
-    share = found.groupBy("key", "item").agg(F.countDistinct("hash").alias("found")).join(total, "item").withColumn("containment", F.col("found") / F.col("n")).filter(F.col("containment") >= containment)
-    # slots along an alignment: how many values of the item stand for one value of the document
-    slots = found.filter(F.col("kind") != WORD).join(share.select("key", "item"), ["key", "item"], "left_semi")
-    values = slots.groupBy("key", "item", (F.col("pos") - F.col("q")).alias("shift"), "item_value").agg((F.min("value") == F.max("value")).cast("int").alias("one"))
-    fits = values.groupBy("key", "item").agg(F.count("*").alias("n_slots"), F.avg("one").alias("consistency"))
-    joined = share.alias("s").join(fits.alias("f"), F.col("s.key").eqNullSafe(F.col("f.key")) & (F.col("s.item") == F.col("f.item")), "left")
-    out = joined.select(F.col("s.key").alias(key), F.col("s.item").alias(item), F.col("s.containment"), F.coalesce("f.n_slots", F.lit(0)).alias("n_slots"), F.coalesce("f.consistency", F.lit(1.0)).alias("consistency"))
-    return out.filter(F.col("consistency") >= consistency)
+    plain = F.col(text).cast("string")
+    rows = docs.select(F.col(key).alias("key"), F.xxhash64(plain).alias("row"), plain.alias("text"))
+    found = document_windows(rows, bitmap_of(items), forms, size).join(items.drop("length", "literal"), "hash")
+    # stretches of twice the item's tokens, which begin at each multiple of them
+    stretch = F.floor(F.col("pos") / F.col("n_tokens"))
+    found = stored(found.withColumn("stretch", F.explode(F.array(stretch, stretch - 1))), "found")
+    place = ["key", "row", "item", "stretch"]
+    share = found.groupBy(*place).agg(F.countDistinct("hash").alias("found")).join(total, "item").withColumn("containment", F.col("found") / F.col("n")).filter(F.col("containment") >= containment).select(*place, "containment")
+
+    def same(*columns: str):
+        return [F.col(f"a.{c}").eqNullSafe(F.col(f"b.{c}")) for c in columns]
+
+    # slots along an alignment: which values of the document stand for a value of the item, and the other way round
+    kept = found.alias("a").join(share.alias("b"), same(*place), "left_semi").select("a.*")
+    slot = F.transform("kinds", lambda kind, i: F.struct(kind.alias("kind"), F.get("item_values", i).alias("mine"), F.get("values", i).alias("theirs")))
+    pairs = kept.select(*place, (F.col("pos") - F.col("q")).alias("shift"), F.inline(F.filter(slot, lambda x: x["kind"] != WORD))).distinct()
+    along = [*place, "shift", "kind"]
+    forth = pairs.groupBy(*along, "mine").agg(F.count("*").alias("n"), F.min("theirs").alias("theirs"))
+    back = pairs.groupBy(*along, "theirs").agg(F.count("*").alias("n"))
+    checked = forth.alias("a").join(back.alias("b"), same(*along, "theirs"), "left").select(*(F.col(f"a.{c}") for c in place), ((F.col("a.n") == 1) & (F.col("b.n") == 1)).cast("int").alias("one"))
+    fits = checked.groupBy(*place).agg(F.count("*").alias("n_slots"), F.avg("one").alias("consistency"))
+    joined = share.alias("a").join(fits.alias("b"), same(*place), "left").select("a.key", "a.item", "a.containment", F.coalesce("b.n_slots", F.lit(0)).alias("n_slots"), F.coalesce("b.consistency", F.lit(1.0)).alias("consistency"))
+    best = joined.filter(F.col("consistency") >= consistency).groupBy("key", "item").agg(F.max(F.struct("containment", "consistency", "n_slots")).alias("best"))
+    return best.select(F.col("key").alias(key), F.col("item").alias(item), "best.containment", "best.n_slots", "best.consistency")
