@@ -1,18 +1,22 @@
 """Line dedup by a log-template tree of fixed depth, in DataFrame functions only.
 
 A line's tokens are its parts between white space; one with a digit is a variable field, <*>. The tree's leaves are keyed by the number of
-tokens and the first DEPTH tokens. A line recurs if it stands between different neighbours: copies of a document share a line's
-neighbours, so they don't make its lines recur, but a notice pasted into many documents does.
-Templates are (a) masked lines that recur in at least min_contexts neighbourhoods, and (b) in each leaf whose lines recur together, the
-tokens that at least half of them have at a place, other places being variable too, if enough places are fixed and
-the lines that fit recur often enough. Lines that fit a template are dropped, all but the first (smallest key, then place).
+tokens and the first DEPTH tokens. A line recurs if unlike documents hold it. Likeness is told by a line of the document that is away from
+the line itself: of all lines that aren't blank and stand more than NEAR lines off, the one with the smallest MD5 (for documents of few lines the
+whole text). Copies and near copies of a document mostly agree in it, so they don't make their lines recur, but a notice of one or a few lines does that was
+pasted into many documents, whatever stands beside it, blank lines too. These lines are counted as contexts; contexts have to be at least half
+of the distinct texts that hold the line.
+
+Templates are (a) masked lines with at least min_contexts contexts, or long_contexts from long_tokens tokens on, and (b) in each leaf whose lines recur
+together, the tokens that at least half of them have at a place, other places being variable too, if enough places are fixed and
+the lines that fit have min_contexts contexts. Lines that fit a template are dropped, all but the first (smallest key, then place).
 
 All statistics are over all lines. They're sums by a hash, pre-aggregated before each shuffle; texts are shuffled once, beside the list of the
 lines to drop.
 
 Defined results. Null text stays null, with no lines; empty text and blank lines stay as they are. Repeated rows (same key and text)
 lose the same lines; rows that share a key but not the text are told apart by a hash of the text. Lines of any length. A null key: its lines
-count, and go like others. Empty table: no rows. Extra columns pass through; columns named n_lines or n_dropped are replaced.
+count, and go like others. Empty table: no rows. Extra columns pass through, whatever their names; columns named n_lines or n_dropped are replaced.
 """
 
 from __future__ import annotations
@@ -32,32 +36,56 @@ def masked(line):
     return F.when(plain.rlike("[0-9]"), F.regexp_replace(plain, r"[^ ]*[0-9][^ ]*", VARIABLE)).otherwise(plain)
 
 
+#: A context stands more than this many lines off.
+NEAR = 2
+
+
 def lines(docs: DataFrame, key: str, text: str) -> DataFrame:
-    """key, row (hash of the text), pos, m (masked line), h (its hash), context (hash of both neighbours), for lines that aren't blank."""
-    each = F.transform(F.split(F.col("text"), "\n"), masked)
-    rows = docs.select(F.col(key).alias("key"), F.col(text).cast("string").alias("text")).filter("text is not null").select("key", F.xxhash64("text").alias("row"), each.alias("m"))
-    rows = rows.withColumn("h", F.transform("m", lambda x: F.xxhash64(x)))
-    around = F.transform("m", lambda m, i: F.struct(i.alias("pos"), m.alias("m"), F.get("h", i).alias("h"), F.xxhash64(F.get("h", i - 1), F.get("h", i + 1)).alias("context")))
-    return rows.select("key", "row", F.inline(F.filter(around, lambda x: x["m"] != "")))
+    """key, row (hash of the text), pos, m (masked line), h (its hash), context (hash), for lines that aren't blank."""
+    each = F.transform(F.split(F.col("text"), "\n"), lambda line, i: F.struct(i.alias("pos"), masked(line).alias("m")))
+    rows = docs.select(F.col(key).alias("key"), F.col(text).cast("string").alias("text")).filter("text is not null").select("key", F.xxhash64("text").alias("row"), F.filter(each, lambda x: x["m"] != "").alias("ls"))
+    # of so many lines one at least is more than NEAR lines off
+    few = 2 * NEAR + 2
+    by_digest = F.transform("ls", lambda x, i: F.struct(F.md5(F.encode(x["m"], "UTF-8")).alias("digest"), i.alias("i"), F.xxhash64(x["m"]).alias("h")))
+    rows = rows.withColumn("least", F.when(F.size("ls") > few, F.slice(F.sort_array(by_digest), 1, few)))
+
+    def line(x, i):
+        off = F.get(F.filter("least", lambda y: F.abs(y["i"] - i) > NEAR), F.lit(0))["h"]
+        return F.struct(x["pos"].alias("pos"), x["m"].alias("m"), F.xxhash64(x["m"]).alias("h"), F.coalesce(off, F.col("row")).alias("context"))
+
+    return rows.select("key", "row", F.inline(F.transform("ls", line)))
+
+
+def recurrence(found: DataFrame, by: str, *more) -> DataFrame:
+    """by, w (contexts), texts (distinct ones) and more aggregates over rows of (by, row, pos, context, and what they need), each step pre-aggregated.
+
+    A text counts once, with the context of its first such line.
+    """
+    names = [f"more{k}" for k in range(len(more))]
+    each = found.groupBy(by, "row").agg(F.min(F.struct("pos", "context"))["context"].alias("context"), *(f(c).alias(n) for n, (f, c) in zip(names, more, strict=True)))
+    some = each.groupBy(by, "context").agg(F.count("*").alias("texts"), *(f(n).alias(n) for n, (f, _) in zip(names, more, strict=True)))
+    return some.groupBy(by).agg(F.count("*").alias("w"), F.sum("texts").alias("texts"), *(f(n).alias(n) for n, (f, _) in zip(names, more, strict=True)))
 
 
 #: Leaves of 8 bytes that may be broadcast; more of them are joined by a shuffle.
 BROADCAST_LEAVES = 1_000_000
 
 
-def dropped_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", min_contexts: int = 10, min_tokens: int = 5, fixed_share: float = 0.6) -> DataFrame:
+def dropped_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", min_contexts: int = 10, long_contexts: int = 3, long_tokens: int = 8, min_tokens: int = 5, fixed_share: float = 0.6) -> DataFrame:
     """key, row, pos of the lines to drop.
 
     Lines are kept as hashes; the text of a line is looked at again only in leaves whose lines recur.
     """
     tokens = F.split("m", " ")
     leafed = lines(docs, key, text).withColumn("n", F.size(tokens)).withColumn("leaf", F.when(F.col("n") >= min_tokens, F.xxhash64("n", F.slice(tokens, 1, DEPTH))))
-    all_lines = stored(leafed.select("key", "row", "pos", "h", "context", "leaf"), "lines")
-    recurring = all_lines.groupBy("h").agg(F.count_distinct("context").alias("w"), F.min(F.struct("key", "row", "pos")).alias("first")).filter(F.col("w") >= min_contexts)
+    all_lines = stored(leafed.select("key", "row", "pos", "h", "context", "leaf", (F.col("n") >= long_tokens).alias("long")), "lines")
+    varied = F.col("w") * 2 >= F.col("texts")
+    counted = recurrence(all_lines.withColumn("at", F.struct("key", "row", "pos")), "h", (F.min, "at"), (F.max, "long"))
+    recurring = counted.filter(varied & (F.col("w") >= F.when(F.col("more1"), long_contexts).otherwise(min_contexts))).select("h", F.col("more0").alias("first"))
 
     # leaves: what differs from line to line beyond the masked fields
-    grown = all_lines.filter("leaf is not null").groupBy("leaf").agg(F.count_distinct("context").alias("w"), (F.min("h") < F.max("h")).alias("several"))
-    leaves = stored(grown.filter((F.col("w") >= min_contexts) & F.col("several")).select("leaf"), "leaves")
+    grown = recurrence(all_lines.filter("leaf is not null"), "leaf", (F.min, "h"), (F.max, "h"))
+    leaves = stored(grown.filter(varied & (F.col("w") >= min_contexts) & (F.col("more0") < F.col("more1"))).select("leaf"), "leaves")
     few = F.broadcast(leaves) if leaves.count() <= BROADCAST_LEAVES else leaves
     weights = all_lines.join(few, "leaf").groupBy("leaf", "h").agg(F.count_distinct("context").alias("w"))
     texts = leafed.select("leaf", "n", "h", "m").filter("leaf is not null").join(few, "leaf").groupBy("leaf", "n", "h").agg(F.first("m").alias("m"))
@@ -80,29 +108,38 @@ def dropped_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", min_
 
 def drop_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", **limits) -> DataFrame:
     """docs with the lines dropped, n_lines (before) and n_dropped."""
+    own = ("n_lines", "n_dropped")
     gone = dropped_lines(docs, key, text, **limits).groupBy("key", "row").agg(F.collect_set("pos").alias("gone"))
-    rows = docs.drop("n_lines", "n_dropped").withColumn("_row", F.xxhash64(F.col(text).cast("string")))
-    joined = rows.alias("d").join(gone.alias("g"), F.col(f"d.{key}").eqNullSafe(F.col("g.key")) & (F.col("d._row") == F.col("g.row")), "left")
-    parts = F.split(F.col(f"d.{text}"), "\n")
+    rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns if c not in own)).alias("doc"), F.col(key).alias("key"), F.xxhash64(F.col(text).cast("string")).alias("row"), F.col(text).cast("string").alias("plain"))
+    joined = rows.alias("d").join(gone.alias("g"), F.col("d.key").eqNullSafe(F.col("g.key")) & (F.col("d.row") == F.col("g.row")), "left")
+    parts = F.split("d.plain", "\n")
     kept = F.array_join(F.filter(parts, lambda x, i: ~F.array_contains(F.col("g.gone"), i)), "\n")
-    new = F.when(F.col("g.gone").isNull(), F.col(f"d.{text}")).otherwise(kept)
-    columns = [new.alias(c) if c == text else F.col(f"d.`{c}`") for c in docs.columns if c not in ("n_lines", "n_dropped")]
-    return joined.select(*columns, F.when(F.col(f"d.{text}").isNull(), 0).otherwise(F.size(parts)).alias("n_lines"), F.when(F.col("g.gone").isNull(), 0).otherwise(F.size("g.gone")).alias("n_dropped"))
+    new = F.when(F.col("g.gone").isNull(), F.col("d.plain")).otherwise(kept)
+    columns = [new.alias(c) if c == text else F.col(f"d.doc.`{c}`").alias(c) for c in docs.columns if c not in own]
+    return joined.select(*columns, F.when(F.col("d.plain").isNull(), 0).otherwise(F.size(parts)).alias("n_lines"), F.when(F.col("g.gone").isNull(), 0).otherwise(F.size("g.gone")).alias("n_dropped"))
 
 
 #: The same in DuckDB, over documents with unique keys: strings stand for the hashes.
 ORACLE = r"""
 WITH split_docs AS (
-  SELECT doc_id, list_transform(string_split(text, chr(10)), lambda x: regexp_replace(trim(regexp_replace(x, '[\t\x0B\f\r ]+', ' ', 'g'), ' '), '[^ ]*[0-9][^ ]*', '<*>', 'g')) AS m
+  SELECT doc_id, text, list_filter(list_transform(list_zip(range(0, len(string_split(text, chr(10)))), string_split(text, chr(10))),
+    lambda x: {'pos': x[1], 'm': regexp_replace(trim(regexp_replace(x[2], '[\t\x0B\f\r ]+', ' ', 'g'), ' '), '[^ ]*[0-9][^ ]*', '<*>', 'g')}), lambda x: x.m <> '') AS ls
   FROM documents WHERE text IS NOT NULL),
+with_least AS (
+  SELECT *, CASE WHEN len(ls) > 6 THEN list_sort(list_transform(range(1, len(ls) + 1), lambda i: {'digest': md5(ls[i].m), 'i': i, 'm': ls[i].m}))[1:6] END AS least FROM split_docs),
 all_lines AS (
-  SELECT doc_id, i - 1 AS pos, m[i] AS m, concat(coalesce(m[i - 1], '<none>'), chr(10), coalesce(m[i + 1], '<none>')) AS context
-  FROM (SELECT doc_id, m, unnest(range(1, len(m) + 1)) AS i FROM split_docs) WHERE m[i] <> ''),
-recurring AS (SELECT m, min((doc_id, pos)) AS first FROM all_lines GROUP BY m HAVING count(DISTINCT context) >= 10),
+  SELECT doc_id, text, ls[i].pos AS pos, ls[i].m AS m, len(string_split(ls[i].m, ' ')) AS n,
+    CASE WHEN least IS NULL THEN concat('text', text) ELSE concat('line', list_filter(least, lambda y: abs(y.i - i) > 2)[1].m) END AS context
+  FROM (SELECT *, unnest(range(1, len(ls) + 1)) AS i FROM with_least)),
+by_text AS (SELECT m, n, text, arg_min(context, pos) AS context, min((doc_id, pos)) AS first FROM all_lines GROUP BY ALL),
+recurring AS (
+  SELECT m, min(first) AS first FROM by_text GROUP BY m, n
+  HAVING count(DISTINCT context) >= CASE WHEN n >= 8 THEN 3 ELSE 10 END AND count(DISTINCT context) * 2 >= count(*)),
 leafed AS (
-  SELECT *, len(string_split(m, ' ')) AS n, concat(len(string_split(m, ' ')), ' ', array_to_string(string_split(m, ' ')[1:3], ' ')) AS leaf
-  FROM all_lines WHERE len(string_split(m, ' ')) >= 5),
-leaves AS (SELECT leaf FROM leafed GROUP BY leaf HAVING count(DISTINCT context) >= 10 AND min(m) < max(m)),
+  SELECT *, concat(n, ' ', array_to_string(string_split(m, ' ')[1:3], ' ')) AS leaf
+  FROM all_lines WHERE n >= 5),
+leaf_texts AS (SELECT leaf, text, arg_min(context, pos) AS context, min(m) AS a, max(m) AS b FROM leafed GROUP BY leaf, text),
+leaves AS (SELECT leaf FROM leaf_texts GROUP BY leaf HAVING count(DISTINCT context) >= 10 AND count(DISTINCT context) * 2 >= count(*) AND min(a) < max(b)),
 lines_of AS (SELECT leaf, n, m, count(DISTINCT context) AS w FROM leafed WHERE leaf IN (SELECT leaf FROM leaves) GROUP BY ALL),
 places AS (SELECT leaf, n, w, i AS place, string_split(m, ' ')[i] AS token FROM (SELECT *, unnest(range(1, n + 1)) AS i FROM lines_of)),
 mass AS (SELECT leaf, n, place, token, sum(w) AS w FROM places GROUP BY ALL),
