@@ -9,7 +9,8 @@ expected_grade is the mean grade; tail_prob is P(grade >= target); a document is
 
 Defined results. Null or empty text, or one without words: its features are zero but for the intercept slots; it's scored as such.
 Repeated rows: scored each. Null grades are left out of the fit. No labelled row, or a single grade: every document is kept with tail_prob 1.
-Ties don't matter: scores depend on the text alone. Empty table: no rows. Extra columns of documents pass through.
+Ties don't matter: scores depend on the text alone. Empty table: no rows. A text of any length is read whole. Extra columns of documents
+pass through, whatever their names; those named expected_grade, tail_prob or keep are replaced.
 """
 
 from __future__ import annotations
@@ -164,5 +165,8 @@ def score(docs: DataFrame, model: OrdinalModel | None, target: int | None = None
         tails = m.tail(s)
         return pd.DataFrame({"expected_grade": m.grades[0] + tails @ steps, "tail_prob": tails[:, goal] if goal >= 0 else np.ones(len(s))})
 
-    rated = rows.withColumn("_rated", rate(F.col(text).cast("string")))
-    return rated.withColumns({"expected_grade": F.col("_rated.expected_grade"), "tail_prob": F.col("_rated.tail_prob"), "keep": F.col("_rated.tail_prob") >= keep_at}).drop("_rated")
+    held = "rated"
+    while held in docs.columns:
+        held += "_"
+    rated = rows.withColumn(held, rate(F.col(text).cast("string")))
+    return rated.withColumns({"expected_grade": F.col(f"{held}.expected_grade"), "tail_prob": F.col(f"{held}.tail_prob"), "keep": F.col(f"{held}.tail_prob") >= keep_at}).drop(held)

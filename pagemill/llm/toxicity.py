@@ -1,23 +1,29 @@
 """Toxicity by weak supervision: many voters, a generative label model, and a linear classifier on its posterior labels.
 
-Voters look for words and for byte sequences inside words. Their lists are mined from labelled rows: what stands in toxic documents
-at least a few times and hardly elsewhere. Each list is dealt over several voters, whose votes then tell about each other's accuracy.
-The label model is fitted by EM: a class prior and, for each voter, the rate of votes in either class. Voters that still agree given
-the class are correlated; each one's evidence is divided by one plus its correlations with the others, so what many voters
-repeat isn't counted many times. A known label is one more voter, of estimated accuracy. The classifier is logistic regression over hashed
-words and byte sequences, trained on the posterior of labelled and unlabelled rows alike, and a monotone calibration on rows that the
-fit left out gives the score.
+Voters are of several kinds, and each of them is right only so often:
 
-Everything is fitted on bounded samples (labelled, unlabelled: the rows with the smallest hash of their key); every whole text is scored.
-Rows for which held_out holds are never used in a fit. Language, source and key aren't inputs of a score.
+* lexicon: each of the words that toxic rows hold far more often than others is a voter, and so are two or three such words in one text;
+* byte patterns: lists of byte sequences inside words, dealt by their order of strength;
+* obfuscation: a word that becomes one of the lexicon once digits and signs are read as letters and repeated letters once;
+* manner: words in capitals, repeated exclamation marks;
+* clean: a text without a word of the lexicon, and one without a pattern of any list, vote for the other class.
+
+The label model sees the votes alone, never a label: a class prior and each voter's rate of votes in either class, by EM from the share of votes. A voter's
+direction is given, its accuracy is estimated. Voters that still agree given the class are correlated, pair by pair; each one's evidence is divided by one
+plus its correlations with the others, so what many voters repeat isn't counted many times. The classifier is logistic regression over hashed words and byte
+sequences on the posterior labels, and a monotone calibration on labelled rows that neither voters nor fit have seen gives the score.
+
+The lexicon is mined, and all is fitted, on a bounded sample of labelled rows (labelled: the rows with the smallest hash of their key); every whole text
+is scored. Rows for which held_out holds are never used in a fit. Language, source and key aren't inputs of a score.
 
 Defined results. Null or empty text, or one without words: the score of the intercept. Repeated rows: scored each. Null labels are left
 out. No labelled row, or labels of one class: the score is the share of the known positives, 0 if none. Empty table: no rows.
-Extra columns of documents pass through.
+Extra columns of documents pass through; columns named score or predicted are replaced. A text of any length is read whole.
 """
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
@@ -26,11 +32,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import in_slices, mix64, span_hashes, word_spans
+from .common import in_slices, mix64, small_batches, span_hashes, word_spans
 
 LOG2 = 20
 GRAM = 6
-VOTERS = 6
+#: Voters of one word each, and voters of byte patterns.
+LEXICON, PATTERNS = 60, 6
+#: Digits and signs that are written for letters (fixed values).
+LOOKS_LIKE = str.maketrans("013457@$!", "oieastasi")
 
 _CLEAN = bytes(c if c >= 128 or chr(c).isalnum() else 32 for c in range(256))
 
@@ -90,33 +99,57 @@ class ToxicModel:
         return 1 / (1 + np.exp(-np.clip(self.slope * s + self.shift, -40, 40)))
 
 
-def mine_voters(rows: np.ndarray, slots: np.ndarray, label: np.ndarray, least: int = 4, precision: float = 0.8) -> list[np.ndarray]:
-    """Lists of slots, dealt over VOTERS voters: in at least `least` toxic rows, with this share of toxic rows at equal class sizes."""
+def plain_words(text: str) -> str:
+    """Words that hold digits, signs or a letter three times in a row, as they would be without: digits and signs read as letters, letters once."""
+    odd = [w for w in text.lower().split() if not w.strip(".,;:!?").isalpha() or _RUN.search(w)]
+    return " ".join(_RUN.sub(r"\1", _OTHER.sub("", w.strip(".,;:!?").translate(LOOKS_LIKE))) for w in odd)
+
+
+_RUN, _OTHER = re.compile(r"(.)\1\1+"), re.compile(r"[^a-z\u00e0-\u024f]+")
+
+
+def manners(text: str) -> tuple[bool, bool]:
+    """Words in capitals, at least three of four letters and more; exclamation marks in a row."""
+    return sum(len(w) >= 4 and w.isupper() for w in text.split()) >= 3, "!!" in text
+
+
+def telling(rows: np.ndarray, slots: np.ndarray, label: np.ndarray, least: int = 4, precision: float = 0.8) -> np.ndarray:
+    """Slots in at least `least` toxic rows, with this share of toxic rows at equal class sizes and as they are; the strongest first."""
     toxic = label == 1
     pos = np.bincount(slots[toxic[rows]], minlength=1 << LOG2)
     neg = np.bincount(slots[~toxic[rows]], minlength=1 << LOG2)
     a, b = (pos + 0.2) / (toxic.sum() + 1), (neg + 0.2) / ((~toxic).sum() + 1)
     good = np.flatnonzero((pos >= least) & (a / (a + b) >= precision) & (pos >= precision * (pos + neg)))
-    good = good[np.argsort(-(a / b)[good], kind="stable")]
-    return [good[k::VOTERS] for k in range(VOTERS)]
+    return good[np.lexsort((good, -(a / b)[good], -(a - b)[good]))]
 
 
-def label_model(votes: np.ndarray, prior: float, rounds: int = 50) -> tuple[np.ndarray, np.ndarray]:
-    """Posterior of the positive class, and the weight of each voter. votes: 1, 0, or -1 for no vote."""
-    seen = votes >= 0
-    on = votes == 1
-    post = np.clip(np.where(seen, votes, 0).sum(1) / np.maximum(seen.sum(1), 1), 0.02, 0.98)
+def holds(n: int, rows: np.ndarray, slots: np.ndarray, wanted: np.ndarray) -> np.ndarray:
+    """How many of the wanted slots each of n rows holds."""
+    mark = np.zeros(1 << LOG2, bool)
+    mark[wanted] = True
+    return np.bincount(rows[mark[slots]], minlength=n)
+
+
+def label_model(votes: np.ndarray, toward: np.ndarray, prior: float, rounds: int = 40) -> tuple[np.ndarray, np.ndarray]:
+    """Posterior of the positive class, and the weight of each voter. votes: whether each voter votes for a row; toward: the class that it votes for.
+
+    Without a vote for either class a row starts at the prior. Rates are kept in the given direction, so the classes can't change places.
+    """
+    on = votes.astype(float)
+    for_, against = on[:, toward == 1].sum(1), on[:, toward == 0].sum(1)
+    post = np.clip((for_ + prior) / (for_ + against + 1), 0.02, 0.98)
     weight = np.ones(votes.shape[1])
     for r in range(rounds):
-        rates = [((on * p[:, None]).sum(0) + 0.5) / ((seen * p[:, None]).sum(0) + 1) for p in (post, 1 - post)]
-        evidence = np.where(on, np.log(rates[0] / rates[1]), np.log((1 - rates[0]) / (1 - rates[1]))) * seen
-        if r in (10, 25):  # correlations given the class
-            left = np.where(seen, on - (post[:, None] * rates[0] + (1 - post[:, None]) * rates[1]), 0)
-            scale = np.sqrt((left**2).sum(0)) + 1e-9
-            c = np.abs(left.T @ left) / np.outer(scale, scale)
+        yes, no = ((on.T @ p + 0.5) / (p.sum() + 1) for p in (post, 1 - post))
+        yes, no = np.where(toward == 1, np.maximum(yes, no), np.minimum(yes, no)), np.where(toward == 1, no, np.maximum(yes, no))
+        if r in (10, 25):  # correlations of pairs, given the class
+            rest = on - (post[:, None] * yes + (1 - post[:, None]) * no)
+            scale = np.sqrt((rest**2).sum(0)) + 1e-9
+            c = np.abs(rest.T @ rest) / np.outer(scale, scale)
             np.fill_diagonal(c, 0)
             weight = 1 / (1 + np.where(c > 0.1, c, 0).sum(0))
-        post = 1 / (1 + np.exp(-np.clip(np.log(prior / (1 - prior)) + (evidence * weight).sum(1), -30, 30)))
+        evidence = on * np.log(yes / no) + (1 - on) * np.log((1 - yes) / (1 - no))
+        post = 1 / (1 + np.exp(-np.clip(np.log(prior / (1 - prior)) + evidence @ weight, -30, 30)))
         prior = float(np.clip(post.mean(), 1e-3, 0.999))
     return post, weight
 
@@ -152,71 +185,85 @@ def _calibration(s: np.ndarray, y: np.ndarray) -> tuple[float, float]:
     return (float(p[0]), float(p[1])) if np.isfinite(p).all() and p[0] > 0 else (1.0, 0.0)
 
 
-def train(docs: DataFrame, labels: DataFrame, held_out, key: str = "doc_id", text: str = "text", label: str = "toxic", labelled: int = 6000, unlabelled: int = 1500) -> ToxicModel:
-    """held_out: column over the key; rows for which it holds aren't used. At most labelled and unlabelled rows are."""
-    spark = docs.sparkSession
+def train(docs: DataFrame, labels: DataFrame, held_out, key: str = "doc_id", text: str = "text", label: str = "toxic", labelled: int = 8000) -> ToxicModel:
+    """held_out: column over the key; rows for which it holds aren't used. At most labelled rows are."""
+    small_batches(docs.sparkSession)
     known = labels.filter(~held_out).select(F.col(key).alias("key"), F.col(label).cast("int").alias("label")).dropna().groupBy("key").agg(F.max("label").alias("label"))
     chosen = known.orderBy(F.xxhash64("key"), "key").limit(labelled)
-    ids = docs.filter(~held_out).select(F.col(key).alias("key")).dropna()
-    other = ids.join(known, "key", "left_anti").distinct().orderBy(F.xxhash64("key"), "key").limit(unlabelled).select("key", F.lit(-1).alias("label"))
-    # at most labelled + unlabelled rows of 12 bytes
-    rows = docs.select(F.col(key).alias("key"), F.col(text).cast("string").alias("text")).join(F.broadcast(chosen.unionByName(other)), "key").select("text", "label", F.xxhash64("key").alias("order"))
+    # at most labelled rows of 12 bytes
+    rows = docs.select(F.col(key).alias("key"), F.col(text).cast("string").alias("text")).join(F.broadcast(chosen), "key").select("text", "label", F.xxhash64("key").alias("order"))
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = batch.column(0).to_pylist()
             for a, b in in_slices(texts):
-                doc, word, data, starts, ends = distinct_words(texts[a:b])
-                owner, slot = word_features(data, starts, ends)
+                found = distinct_words(texts[a:b])
+                doc, word, _, starts, _ = found
+                owner, slot = word_features(*found[2:])
                 order = np.argsort(owner, kind="stable")
                 cut = np.searchsorted(owner[order], np.arange(len(starts) + 1))
-                slot = slot[order]
-                out = []
+                own, slot = slot[: len(starts)], slot[order]  # the first ones are the words themselves
+                plain = [plain_words(t or "") for t in texts[a:b]]
+                doc2, word2, *rest = distinct_words(plain)
+                own2 = word_features(*rest)[1][: len(rest[1])]
+                out: dict[str, list] = {k: [] for k in ("slots", "words", "plain", "capitals", "marks")}
                 for d in range(b - a):
                     mine = word[np.searchsorted(doc, d) : np.searchsorted(doc, d, "right")]
-                    out.append(np.unique(np.concatenate([slot[cut[k] : cut[k + 1]] for k in mine] or [slot[:0]])).astype(np.int32).tobytes())
-                yield pa.RecordBatch.from_pydict({"label": batch.column(1).slice(a, b - a), "order": batch.column(2).slice(a, b - a), "slots": out})
-
-    got = rows.mapInArrow(run, "label int, order long, slots binary").toArrow()
-    got = got.take(pa.array(np.argsort(got.column("order").to_numpy(), kind="stable")))
+                    out["slots"].append(np.unique(np.concatenate([slot[cut[k] : cut[k + 1]] for k in mine] or [slot[:0]])).astype(np.int32).tobytes())
+                    out["words"].append(np.unique(own[mine]).astype(np.int32).tobytes())
+                    out["plain"].append(np.unique(own2[word2[np.searchsorted(doc2, d) : np.searchsorted(doc2, d, "right")]]).astype(np.int32).tobytes())
+                    capitals, marks = manners(texts[a + d] or "")
+                    out["capitals"].append(capitals)
+                    out["marks"].append(marks)
+                yield pa.RecordBatch.from_pydict({"label": batch.column(1).slice(a, b - a), "order": batch.column(2).slice(a, b - a)} | out)
+
+    got = rows.mapInArrow(run, "label int, order long, slots binary, words binary, plain binary, capitals boolean, marks boolean").toArrow()
+    got = got.take(pa.array(np.lexsort((got.column("label").to_numpy(), got.column("order").to_numpy()))))
     y = got.column("label").to_numpy()
-    share = float((y == 1).sum() / max(1, (y >= 0).sum()))
+    n = len(y)
+    share = float((y == 1).sum() / max(1, n))
     if share in (0.0, 1.0):
         bound = float(np.log((share + 1e-9) / (1 - share + 1e-9)))
         return ToxicModel(np.zeros(1 << LOG2), bound, 1.0, 0.0)
-    each = [np.frombuffer(x, np.int32) for x in got.column("slots").to_pylist()]
-    rows_, slots = np.repeat(np.arange(len(each)), [len(x) for x in each]), np.concatenate(each).astype(np.int64)
-
-    fitted = (np.arange(len(y)) % 5 != 0) | (y < 0)  # a fifth of the labelled rows is left for the calibration
-    gold = fitted & (y >= 0)
-    remap = np.cumsum(gold) - 1
-    voters = mine_voters(remap[rows_[gold[rows_]]], slots[gold[rows_]], y[gold])
-    votes = np.full((len(y), len(voters) + 1), -1)
-    for k, slots_k in enumerate(voters):
-        mark = np.zeros(1 << LOG2, bool)
-        mark[slots_k] = True
-        votes[:, k] = np.bincount(rows_[mark[slots]], minlength=len(y)) > 0
-    votes[:, -1] = np.where(gold, y, -1)
-    post, _ = label_model(np.where(votes[fitted] < 0, -1, votes[fitted]), share)
+
+    def pairs(column: str) -> tuple[np.ndarray, np.ndarray]:
+        each = [np.frombuffer(x, np.int32) for x in got.column(column).to_pylist()]
+        return np.repeat(np.arange(n), [len(x) for x in each]), np.concatenate(each).astype(np.int64)
+
+    fitted = np.arange(n) % 5 != 0  # a fifth of the rows is left for the calibration
+    (rows_, slots), (of_word, words), (of_plain, plain) = pairs("slots"), pairs("words"), pairs("plain")
+    index = np.cumsum(fitted) - 1
+
+    def mined(of: np.ndarray, what: np.ndarray) -> np.ndarray:
+        return telling(index[of[fitted[of]]], what[fitted[of]], y[fitted])
+
+    lexicon, patterns = mined(of_word, words)[:LEXICON], mined(rows_, slots)
+    hits, in_pattern = holds(n, of_word, words, lexicon), holds(n, rows_, slots, patterns)
+    for_ = [holds(n, of_word, words, lexicon[k : k + 1]) > 0 for k in range(len(lexicon))] + [hits >= 2, hits >= 3]
+    for_ += [holds(n, rows_, slots, patterns[k::PATTERNS]) > 0 for k in range(PATTERNS)]
+    for_ += [holds(n, of_plain, plain, lexicon) > 0, *(got.column(c).to_numpy(zero_copy_only=False).astype(bool) for c in ("capitals", "marks"))]
+    against = [hits == 0, in_pattern == 0]
+    votes, toward = np.stack([*for_, *against], 1), np.array([1] * len(for_) + [0] * len(against))
+    post, _ = label_model(votes[fitted], toward, min(0.5, max(0.01, float(((hits > 0) & fitted).sum() / fitted.sum()))))
 
     # slots that tell the classes apart by the posterior, and aren't in a row or two only
     at = fitted[rows_]
-    row, slot = (np.cumsum(fitted) - 1)[rows_[at]], slots[at]
+    row, slot = index[rows_[at]], slots[at]
     total = np.bincount(slot, minlength=1 << LOG2)
     mass = np.bincount(slot, post[row], minlength=1 << LOG2)
     z = np.abs(mass - total * post.mean()) / np.sqrt(np.maximum(total, 1) * post.mean() * (1 - post.mean()))
-    keep = (total >= 3) & (z >= 2.5)
-    use = keep[slot]
-    weights, intercept = logistic(row[use], slot[use], post)
+    use = ((total >= 3) & (z >= 2.5))[slot]
+    weights, intercept = logistic(row[use], slot[use], post) if use.any() else (np.zeros(1 << LOG2), 0.0)
 
     rest = ~fitted
-    s = np.bincount(rows_, weights[slots], minlength=len(y))[rest] + intercept
+    s = np.bincount(rows_, weights[slots], minlength=n)[rest] + intercept
     slope, shift = _calibration(s, y[rest].astype(float)) if len(set(y[rest].tolist())) == 2 else (1.0, 0.0)
     return ToxicModel(weights, intercept, slope, shift)
 
 
 def score(docs: DataFrame, model: ToxicModel, threshold: float = 0.3, text: str = "text") -> DataFrame:
     """docs with score and predicted; columns of docs of these names are replaced."""
+    small_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)  # 2^LOG2 doubles
 
     @F.pandas_udf("double")
