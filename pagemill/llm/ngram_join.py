@@ -13,9 +13,9 @@ permutation, 120 bins, 60 bands of two for sets of up to 500 shingles, 40 bands
 similar to one of 64 or more have bands too, so that the larger one finds them. A similar pair fails to with a
 probability below 1e-12, less than that of two 64-bit hashes of the corpus being equal; what passes costs time only.
 
-Candidates are verified by their whole sets. In each signature's group every set is compared with the first and the one before it. Groups
-that hold several components then are joined to clusters, and clusters are compared completely, in blocks of bounded size and of sizes that can be
-similar; pairs that are linked already through others are left out. So no link between components is lost, and no pairs are listed.
+Candidates are verified by their whole sets. In each signature's group every set is compared with the first of its salt, and those with the first of
+all. Groups that hold several components then are joined to clusters, and clusters are compared completely, in blocks of bounded size and of sizes that can
+be similar; pairs of blocks that are linked already through others are left out. So no link between components is lost, and no pairs are listed.
 
 Documents of equal sets count as one node (a 64-bit hash of the set names it), so copies make no pairs.
 
@@ -233,13 +233,24 @@ def signatures(sets: DataFrame, similarity_pct: int) -> DataFrame:
 
 
 def candidate_groups(sigs: DataFrame) -> DataFrame:
-    """sig, node of the signatures that count: shared ones, and of each set without its most frequent ones."""
-    shared = sigs.withColumn("n", F.count("*").over(Window.partitionBy("sig"))).filter("n > 1")
-    mine = Window.partitionBy("node", "scheme")
-    ranked = shared.withColumn("rank", F.row_number().over(mine.orderBy("spare", "n", "sig"))).withColumn("all", F.count("*").over(mine))
+    """sig, node of the signatures that count: shared ones, and of each set without its most frequent ones. A signature's sets never meet in a task: they're counted
+    with partial sums, and the counts are joined."""
+    counts = sigs.groupBy("sig").agg(F.count("*").alias("n")).filter("n > 1")
+    mine = Window.partitionBy("node", "scheme")  # a set has k + 1 + slack signatures at most
+    ranked = sigs.join(counts, "sig").withColumn("rank", F.row_number().over(mine.orderBy("spare", "n", "sig"))).withColumn("all", F.count("*").over(mine))
     return ranked.filter(F.col("rank") <= F.col("all") - F.col("spare")).select("sig", "node").distinct()
 
 
+def seed_pairs(groups: DataFrame, salts: int = 64) -> DataFrame:
+    """Pairs (a, b) of nodes of a group: each with the first of its salt, and that with the first of all; both firsts are partial minima."""
+    salted = groups.withColumn("salt", F.pmod(F.xxhash64("node", "sig"), F.lit(salts)))
+    near = salted.groupBy("sig", "salt").agg(F.min("node").alias("a"))
+    far = near.groupBy("sig").agg(F.min("a").alias("first"))
+    local = salted.join(near, ["sig", "salt"]).select("a", F.col("node").alias("b"))
+    heads = near.join(far, "sig").select(F.col("first").alias("a"), F.col("a").alias("b"))
+    return local.unionByName(heads).filter("a < b").distinct()
+
+
 def verified(pairs: DataFrame, sets: DataFrame, similarity_pct: int) -> DataFrame:
     """The pairs (a, b) of nodes whose sets are similar: 100 * intersection >= pct * union."""
     left = sets.select(F.col("node").alias("a"), F.col("shingles").alias("sa"))
@@ -272,12 +283,14 @@ def cluster_links(groups: DataFrame, found: DataFrame, sets: DataFrame, similari
     members = stored(labelled.join(mixed, "sig").select("node", "component", "head"), "mixed")
     cluster = components(members.select("node", "head"), "node", "head").select("node", F.col("component").alias("cluster"))
     named = members.select("node", "component").distinct().join(cluster, "node").join(sets, "node").withColumn("n", F.size("shingles"))
-    order = Window.partitionBy("cluster").orderBy("n", "node")
-    placed = named.withColumn("block", F.floor(F.sum("n").over(order) / block))
-    blocks = stored(placed.groupBy("cluster", "block").agg(F.collect_list(F.struct("node", "component", "shingles")).alias("sets"), F.min("n").alias("small"), F.max("n").alias("large"), F.min("component").alias("least"), F.max("component").alias("most")), "blocks")
-    one, two = (blocks.select("cluster", *(F.col(c).alias(f"{c}{k}") for c in ("block", "sets", "small", "large", "least", "most"))) for k in (1, 2))
-    able = (F.col("block1") <= F.col("block2")) & (F.col("large1") * 100 >= F.col("small2") * similarity_pct) & ~((F.col("least1") == F.col("most2")) & (F.col("most1") == F.col("least2")))
-    pairs = one.join(two, "cluster").filter(able).select("sets1", "sets2")
+    # blocks of a cluster: bands of sizes, in which hashes deal the sets by the band's total; similar sets are in one band or in neighbouring ones
+    banded = named.withColumn("band", F.floor(F.log("n") / float(np.log(100 / similarity_pct)) + 1e-9).cast("int"))
+    many = banded.groupBy("cluster", "band").agg(F.ceil(F.sum("n") / block).alias("many"))
+    placed = banded.join(many, ["cluster", "band"]).withColumn("block", F.pmod(F.xxhash64("node"), F.col("many")))
+    blocks = stored(placed.groupBy("cluster", "band", "block").agg(F.collect_list(F.struct("node", "component", "shingles")).alias("sets"), F.min("component").alias("least"), F.max("component").alias("most")), "blocks")
+    one, two = (blocks.select("cluster", *(F.col(c).alias(f"{c}{k}") for c in ("band", "block", "sets", "least", "most"))) for k in (1, 2))
+    able = ((F.col("band1") < F.col("band2")) | (F.col("block1") <= F.col("block2"))) & ~((F.col("least1") == F.col("most2")) & (F.col("most1") == F.col("least2")))
+    pairs = one.withColumn("band2", F.explode(F.array(F.col("band1"), F.col("band1") + 1))).join(two, ["cluster", "band2"]).filter(able).select("sets1", "sets2")
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -297,10 +310,7 @@ def linked_nodes(docs: DataFrame, keyed: DataFrame, similarity_pct: int, key: st
     chosen = stored(possible_nodes(keyed, key), "chosen")
     sets = stored(whole_sets(docs, chosen, key, text, size), "sets")
     groups = stored(candidate_groups(signatures(sets, similarity_pct)), "groups")
-    by_sig = Window.partitionBy("sig").orderBy("node")
-    seeds = groups.withColumn("a", F.first("node").over(by_sig)).withColumn("c", F.lag("node").over(by_sig))
-    pairs = seeds.select(F.explode(F.array_distinct(F.array("a", "c"))).alias("a"), F.col("node").alias("b")).filter("a < b").distinct()
-    links = stored(verified(pairs, sets, similarity_pct), "verified")
+    links = stored(verified(seed_pairs(groups), sets, similarity_pct), "verified")
     found = components(links)
     more = stored(cluster_links(groups, found, sets, similarity_pct), "verified")
     if more.isEmpty():
@@ -319,3 +329,21 @@ def jaccard_components(docs: DataFrame, similarity_pct: int = 80, key: str = "do
     out = named.filter("component is not null").join(smallest, "component").select(key, "n_shingles", "node", "component_id")
     rest = named.filter("component is null").select(key, "n_shingles", "node", F.col(key).alias("component_id"))
     return out.unionByName(rest)
+
+
+#: The query over documents in DuckDB, by all pairs that share a shingle.
+ORACLE = r"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+s AS (
+  SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) < 5 THEN [array_to_string(w, ' ')] ELSE list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' ')) END) AS s
+  FROM w WHERE len(w) > 0),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+pairs AS (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS n FROM s x JOIN s y ON x.s = y.s AND x.doc_id < y.doc_id GROUP BY ALL),
+links AS (SELECT a, b FROM pairs p JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * p.n >= 80 * (x.n + y.n - p.n)),
+reach(doc_id, other) AS (
+  SELECT doc_id, doc_id FROM documents
+  UNION
+  SELECT r.doc_id, CASE WHEN l.a = r.other THEN l.b ELSE l.a END FROM reach r JOIN links l ON r.other IN (l.a, l.b))
+SELECT r.doc_id, coalesce(any_value(n.n), 0) AS n_shingles, min(other) AS component_id FROM reach r LEFT JOIN n USING (doc_id) GROUP BY r.doc_id
+"""

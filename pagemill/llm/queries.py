@@ -73,4 +73,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op8_line_templates": line_templates.ORACLE}
+    return {"op6_topk_search": topk_search.ORACLE, "op8_line_templates": line_templates.ORACLE, "op10_ngram_join": ngram_join.ORACLE}

@@ -240,10 +240,23 @@ def test_topk_is_exact(spark):
         s = x @ x[q]
         order = [j for j in np.lexsort((np.arange(300), -s)) if j != q][:5]
         want |= {(q, r + 1, int(j), float(s[j])) for r, j in enumerate(order)}
-    assert {tuple(r) for r in topk_search.topk(df, F.col("id") % 50 == 0, vector_block=64).collect()} == want
+    extra = df.withColumns({"id": F.lit(7), "rank": F.lit("x"), "score": F.lit(0), "v": F.lit(1)})
+    for rows_, how in ((df, {}), (extra, {"queries": 2, "block": 64, "first": 2})):
+        assert {tuple(r) for r in topk_search.topk(rows_, F.col("id") % 50 == 0, **how).collect()} == want
     assert topk_search.topk(df.limit(0), F.col("id") % 50 == 0).count() == 0
 
 
+def test_topk_with_ties_and_many_queries(spark):
+    x = np.random.default_rng(6).integers(-2, 3, (1500, 4)) / 256
+    df = spark.createDataFrame([(k, row) for k, row in enumerate(x.tolist())], "vec_id long, embedding array<double>")
+    got = {(r.query_id, r["rank"]): (r.vec_id, r.score) for r in topk_search.topk(df, F.col("id") % 1 == 0, queries=400, block=200).collect()}
+    s = np.floor(256 * x) @ np.floor(256 * x).T
+    np.fill_diagonal(s, -np.inf)
+    for q in range(1500):
+        best = np.lexsort((np.arange(1500), -s[q]))[:5]
+        assert [got[q, r + 1] for r in range(5)] == [(int(j), float(s[q, j])) for j in best]
+
+
 def test_decontamination_finds_changed_parameters(spark, empty):
     items = spark.createDataFrame([(1, "So Maria has 12 apples and gives 5 kg of them to Peter in the old market. How many apples does Maria have left after 3 days?"), (2, None), (3, "")], "item_id long, text string")
     texts = ["Well. So Anna has 40 apples and gives 7 miles of them to Karl in the old market. How many apples does Anna have left after 9 weeks? Bye.", "So Anna has 40 apples and gives 7 kg of them to Karl in the old market. How many apples does Otto have left after 9 days?", None, "", " ".join(prose(8, 200))]
