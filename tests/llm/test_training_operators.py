@@ -303,10 +303,10 @@ def test_passages_with_words_inserted_or_deleted():
         texts = [" ".join(prose(8000 + 2 * seed + k, 300, 1 << 40) + p + prose(9000 + 2 * seed + k, 300, 1 << 40)).encode() for k, p in enumerate((passage, changed))]
         one, two = (shingles(" ".join(p)) for p in (passage, changed))
         assert len(one & two) >= 0.8 * len(one | two) and min(len(one), len(two)) >= span
-        of, f, h, low, c, high = (x.tolist() for x in passages.compact_windows(texts, 50, 4, 5))
-        sides = [[(f[i], h[i], low[i], c[i], high[i]) for i in range(len(of)) if of[i] == k] for k in (0, 1)]
-        met = [(p[0], *p[2:], *q[2:]) for p in sides[0] for q in sides[1] if p[:2] == q[:2]]
-        candidates = passages.join_intervals(met, 2, span)
+        of, f, _, low, c, high, before, after = (x.tolist() for x in passages.compact_windows(texts, 50, 6, 5))
+        sides = [[(f[i], low[i], c[i], high[i], {before[i], after[i]} - {0}) for i in range(len(of)) if of[i] == k] for k in (0, 1)]
+        met = [(*p[:4], *q[1:4]) for p in sides[0] for q in sides[1] if p[4] & q[4]]
+        candidates = passages.join_intervals(np.array(met).reshape(-1, 7), 2, span)
         if not candidates:
             continue
         tried += 1
@@ -320,6 +320,53 @@ def test_passages_with_words_inserted_or_deleted():
     assert tried >= 110 and lost == 0
 
 
+def best_passage(x, y, span=46):
+    """By force: whether some stretches of span shingles or a little more are similar, along any shift of words."""
+    a, b = ([" ".join(t[i : i + 5]) for i in range(len(t) - 4)] for t in (x, y))
+    place = {}
+    for j, t in enumerate(b):
+        place.setdefault(t, []).append(j)
+    for shift in {j - i for i, t in enumerate(a) for j in place.get(t, ())}:
+        lo, hi = max(0, -shift), min(len(a), len(b) - shift)
+        same = np.cumsum([0] + [a[i] == b[i + shift] for i in range(lo, hi)])
+        for n in (span, 60, 90):
+            if hi - lo >= n and ((same[n:] - same[:-n]) >= 0.9 * n).any():
+                return True
+    return False
+
+
+def test_passages_recall_beside_decoys(spark):
+    """Families of a passage with substituted words in unlike documents, after documents that hold parts of it: links join what is alike for all pairs."""
+    rng = np.random.default_rng(77)
+    texts = []
+    for family in range(8):
+        passage = prose(500 + family, 100, 1 << 40)
+        texts += [prose(10000 + 100 * family + k, 40, 1 << 40) + passage[k * 3 : k * 3 + (8, 24, 40)[k % 3]] + prose(20000 + 100 * family + k, 40, 1 << 40) for k in range(30)]
+        for k in range(12):
+            words = list(passage)
+            for x in rng.choice(100, k % 3, replace=False):
+                words[x] = f"n{family}x{k}x{x}"
+            texts.append(prose(30000 + 100 * family + k, int(rng.integers(10, 120)), 1 << 40) + words[int(rng.integers(0, 20)) :] + prose(40000 + 100 * family + k, int(rng.integers(10, 120)), 1 << 40))
+    order = np.concatenate([np.flatnonzero(np.arange(len(texts)) % 42 < 30), np.flatnonzero(np.arange(len(texts)) % 42 >= 30)])
+    texts = [texts[k] for k in order]
+    want = {(i, j) for i, j in combinations(range(len(texts)), 2) if set(texts[i]) & set(texts[j]) and best_passage(texts[i], texts[j])}
+    got = passages.near_duplicate_passages(spark.createDataFrame([(k, " ".join(t)) for k, t in enumerate(texts)], "doc_id long, text string")).collect()
+    root = {k: k for k in range(len(texts))}
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for r in got:
+        a, b = texts[r.doc_id][r.begin : r.end], texts[r.other][r.other_begin : r.other_end]
+        x, y = ({tuple(t[i : i + 5]) for i in range(len(t) - 4)} for t in (a, b))
+        assert len(x & y) >= 0.8 * len(x | y) and min(len(a), len(b)) >= 50  # each row is right
+        i, j = sorted((find(r.doc_id), find(r.other)))
+        root[j] = i
+    assert len(want) > 300 and sum(find(i) == find(j) for i, j in want) >= 0.95 * len(want)
+
+
 def test_quality_orders_three_grades(spark, empty):
     rows, grades = [], []
     for k in range(240):
