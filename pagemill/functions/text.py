@@ -31,8 +31,43 @@ def completeness(count: Column, regions: Column, per_region: int = 50) -> Column
     return F.when(regions > 0, F.least(F.lit(1.0), count / regions / per_region)).otherwise(F.when(count > 0, 1.0).otherwise(0.0))
 
 
-def layout_agreement(count: Column, expected: Column) -> Column:
-    return F.exp(-F.abs(F.log(F.greatest(count / F.greatest(expected, F.lit(1.0)), F.lit(0.01)))))
+def ink(text: Column) -> Column:
+    """Characters without blanks, newlines and tabs."""
+    return F.length(F.translate(text, " \n\t", ""))
+
+
+def layout_agreement(count: Column, regions: Column, area_ratio: Column) -> Column:
+    """How well the characters fit the regions, of 100 characters each times their share of the area; without regions 1 if there is no text either, else 0.5."""
+    expected = regions * 100.0 * F.greatest(F.lit(0.1), area_ratio * 10)
+    fits = F.exp(-F.abs(F.log(F.greatest(count / expected, F.lit(0.01)))))
+    return F.when((regions == 0) & (count == 0), 1.0).when(regions == 0, 0.5).otherwise(fits)
+
+
+def yield_delta(after: Column, before: Column) -> Column:
+    """Relative change of a text yield; the base is 1 at least."""
+    return (after - before) / F.greatest(before, F.lit(1.0))
+
+
+def score_agreement(score: Column, value: Column, most: Column) -> Column:
+    """1 less the distance of a score from a value's share of the largest one; 0.5 if that isn't positive."""
+    return F.when(most <= 0, 0.5).otherwise(1 - F.abs(score - F.least(F.lit(1.0), value / most)))
+
+
+def ocr_proxies(text: Column, width: Column, height: Column, regions: Column, area: Column, area_ratio: Column, original_yield: Column | None = None, score: Column | None = None, most: Column | None = None) -> Column:
+    """The nine measures of a text as one struct; those without an input are null."""
+    y = text_yield(text, width, height)
+    nothing = F.lit(None).cast("double")
+    return F.struct(
+        y.alias("text_yield"),
+        word_density(text, area).alias("word_density"),
+        completeness(ink(text), regions).alias("ocr_completeness"),
+        block_entropy(text).alias("cjk_latin_consistency"),
+        line_regularity(text).alias("line_regularity"),
+        valid_char_rate(text).alias("valid_char_rate"),
+        layout_agreement(ink(text), regions, area_ratio).alias("layout_text_agreement"),
+        (nothing if original_yield is None else yield_delta(y, original_yield)).alias("ori_res_text_delta"),
+        (nothing if score is None or most is None else score_agreement(score, y, most)).alias("score_agreement"),
+    )
 
 
 def line_regularity(text: Column) -> Column:
@@ -67,19 +102,37 @@ def pieces(text: Column, pattern: str) -> Column:
     return F.size(F.filter(F.split(text, pattern), lambda x: F.trim(x) != ""))
 
 
-#: Characters, words and square inches below which a scope holds.
-SCOPES = ("empty", "character", "word", "line", "paragraph", "section", "page", "document")
-CHAR_STEPS = (1, 1.5, 20, 50, 200, 1000, 5000)
+#: Scopes in order, and the most characters and words of each; the last scope has no bound.
+SCOPES = ("character", "word", "phrase", "sentence", "paragraph", "page", "document")
+CHARS_OF_SCOPE = (1, 20, 50, 200, 1000, 5000)
+WORDS_OF_SCOPE = (0, 1, 5, 30, 200, 1000)
+#: Order of all scopes; mixed and unknown can't be compared.
+SCOPE_ORDER = ("character", "word", "phrase", "sentence", "line", "paragraph", "page", "document")
 
 
-def ladder(x: Column, steps: tuple, names: tuple) -> Column:
-    """names[i] for the first step that x is below, the last name above all."""
+def ladder(x: Column, most: tuple, names: tuple) -> Column:
+    """names[i] for the first bound that x doesn't exceed, the last name above all."""
     out = F.lit(names[-1])
-    for step, name in reversed(tuple(zip(steps, names, strict=False))):
-        out = F.when(x < step, name).otherwise(out)
+    for bound, name in reversed(tuple(zip(most, names, strict=False))):
+        out = F.when(x <= bound, name).otherwise(out)
     return out
 
 
+def scope_of_chars(n: Column) -> Column:
+    return ladder(n, CHARS_OF_SCOPE, SCOPES)
+
+
+def scope_of_words(n: Column) -> Column:
+    return ladder(n, WORDS_OF_SCOPE, SCOPES)
+
+
+def compare_scopes(a: Column, b: Column) -> Column:
+    """-1, 0 or 1 by the order of scopes; 0 if either is none of them."""
+    order = F.array(*(F.lit(s) for s in SCOPE_ORDER))
+    x, y = F.array_position(order, a), F.array_position(order, b)
+    return F.when((x > 0) & (y > 0), F.signum(x - y)).otherwise(0).cast("int")
+
+
 def density_bucket(n: Column) -> Column:
     """Half-open ranges of characters; below 5 and from 5000 there is no bucket."""
     return F.when((n >= 5) & (n < 30), "minimal").when((n >= 30) & (n < 150), "short").when((n >= 150) & (n < 500), "medium").when((n >= 500) & (n < 1500), "long").when((n >= 1500) & (n < 5000), "dense")

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import numpy as np
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, WindowSpec
 from pyspark.sql import functions as F
 
 from ..config import DEFAULT, Drift
@@ -69,3 +69,10 @@ def mahalanobis(vector: Column, mean: np.ndarray, precision: np.ndarray) -> Colu
     rows = F.array(*(F.lit(r.tolist()).cast("array<double>") for r in half))
     dots = F.transform(rows, lambda r: F.aggregate(F.zip_with(r, d, lambda a, b: a * b), F.lit(0.0), lambda a, x: a + x))
     return F.sqrt(F.aggregate(dots, F.lit(0.0), lambda a, x: a + x * x))
+
+
+def score_trend(score: Column, by: WindowSpec, window: int = 3, threshold: float = 2.0) -> Column:
+    """How the score of each row stands to the first of the last `window` ones; by: partition and order of a history."""
+    near = by.rowsBetween(1 - window, 0)
+    delta = score - F.first(score).over(near)
+    return F.when(F.count(score).over(near) < 2, "insufficient_data").when(delta > threshold, "improving").when(delta < -threshold, "degrading").otherwise("stable")

@@ -77,3 +77,8 @@ def discrepancies(model: str, classical: str, d: Discrepancy = DEFAULT.discrepan
     head = F.coalesce(*(F.when(diff[h] == largest, h) for h, _, _ in d.heads))
     over = F.array_compact(F.array(*(F.when(diff[h] >= t, h) for h, t, _ in d.heads)))
     return {"aggregate": mean, "largest": largest, "largest_head": head, "heads": over, "escalate": (F.size(over) >= 1) | (mean >= d.aggregate)}
+
+
+def capture_method(score: Column, high: float = 0.6, middle: float = 0.4, camera: float = 0.3) -> Column:
+    """How a page was captured, by how likely a scanner is."""
+    return F.when(score > high, "scanner_flatbed").when(score > middle, "scanner_adf").when(score < camera, "camera_smartphone").otherwise("unknown")

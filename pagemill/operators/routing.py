@@ -68,3 +68,32 @@ def escalation_reasons(r: Routing = DEFAULT.routing) -> Column:
             F.when((F.col("n_pages") >= 2) & (F.col("n_angles") > 1), "mixed_orientation"),
         )
     )
+
+
+def teacher_device(of_document: Column, of_batch: Column, hours: Column, local: Column, remote: Column, cpu: Column, per_document: int = 10, per_batch: int = 100, per_month: float = 10.0) -> Column:
+    """Device of the large model: a budget that is used up blocks it, then come the local one, the remote one, and the CPU where it's allowed."""
+    spent = F.when(of_document >= per_document, "blocked: document").when(of_batch >= per_batch, "blocked: batch").when(hours >= per_month, "blocked: month")
+    return spent.when(local, "cuda").when(remote, "modal").when(cpu, "cpu").otherwise("blocked: no device")
+
+
+def student_device(local: Column, forced: Column | None = None) -> Column:
+    """Device of the small model: the forced one, unless it's remote, else the local one, else the CPU."""
+    plain = F.when(local, "cuda").otherwise("cpu")
+    return plain if forced is None else F.when(forced == "modal", "blocked: local only").otherwise(F.coalesce(forced, plain))
+
+
+def pdf_type(n_chars: Column, n_images: Column, least: int = 100, most: int = 500) -> Column:
+    return F.when((n_chars > most) & (n_images == 0), "born_digital").when((n_chars < least) & (n_images > 0), "image_only").otherwise("hybrid")
+
+
+def detector_confidence(votes: Column) -> Column:
+    """point, lower, upper, variance, agreement, reason of the votes (language, confidence) of a text's detectors; votes of no confidence count for the language only."""
+    sure = F.filter(F.transform(votes, lambda v: v["confidence"]), lambda c: c > 0)
+    n = F.size(sure)
+    total = F.aggregate(sure, F.lit(0.0), lambda a, c: a + c)
+    mean = total / n
+    var = F.aggregate(sure, F.lit(0.0), lambda a, c: a + (c - mean) * (c - mean)) / n
+    agree = F.size(F.array_distinct(F.filter(F.transform(votes, lambda v: v["language"]), lambda x: x != "und"))) <= 1
+    reason = F.when(F.size(votes) == 0, "no_detector_votes").when(n == 0, "zero_confidence_votes").when(mean < 0.6, "low_confidence").when(var > 0.3, "high_variance").when(~agree, "detector_disagreement")
+    known = n > 0
+    return F.struct(F.when(known, mean).alias("point"), F.when(known, F.array_min(sure)).otherwise(0.0).alias("lower"), F.when(known, F.array_max(sure)).alias("upper"), F.when(known, var).otherwise(1.0).alias("variance"), (known & agree).alias("agreement"), reason.alias("reason"))

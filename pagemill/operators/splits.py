@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from itertools import combinations
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -49,11 +51,25 @@ def sample_per_stratum(df: DataFrame, takes: DataFrame, stratum: str, order: Col
     return df.withColumn("_k", k).join(takes.select(stratum, "take"), stratum).filter("_k <= take").drop("_k", "take")
 
 
-def near_pairs(df: DataFrame, key: str, code: str, most: int = 5) -> DataFrame:
-    """Pairs (a, b) of 64-bit codes that differ in at most `most` bits: of most + 1 groups of bits, one must be equal."""
-    width = -(-64 // (most + 1))
-    groups = F.array(*(F.struct(F.lit(g).alias("g"), F.shiftrightunsigned(F.col(code), g * width).bitwiseAND((1 << width) - 1 if g < most else (1 << (64 - most * width)) - 1).alias("v")) for g in range(most + 1)))
-    rows = df.select(F.col(key).alias("k"), F.col(code).alias("c"), F.inline(groups))
-    a, b = (rows.select(F.col("k").alias(x), F.col("c").alias(f"c{x}"), "g", "v") for x in "ab")
-    close = F.bit_count(F.col("ca").bitwiseXOR(F.col("cb"))) <= most
-    return a.join(b, ["g", "v"]).filter((F.col("a") < F.col("b")) & close).select("a", "b", F.bit_count(F.col("ca").bitwiseXOR(F.col("cb"))).alias("distance")).distinct()
+def near_pairs(df: DataFrame, key: str, code: str, most: int = 5, groups: int = 8, block: str | None = None) -> DataFrame:
+    """Pairs (a, b, distance) of 64-bit codes that differ in at most `most` bits, within a block if one is named.
+
+    Bits that are the same in all codes are left out, the others are dealt over groups. Codes of a pair agree in at least groups - most of the groups, so rows
+    meet by each choice of so many groups, and a pair is given where the choice is that of its first equal groups.
+    """
+    ones = df.agg(F.count("*").alias("n"), *(F.sum(F.shiftrightunsigned(F.col(code), i).bitwiseAND(1)).alias(f"b{i}") for i in range(64))).first()  # 65 numbers
+    varied = [i for i in range(64) if 0 < (ones[f"b{i}"] or 0) < ones["n"]]
+    signed = lambda m: m - (1 << 64) if m >> 63 else m
+    masks = [signed(sum(1 << i for i in varied[g::groups])) for g in range(groups)]
+    choices = list(combinations(range(groups), groups - most))
+    within = [F.col(block)] if block else []
+    keys = F.array(*(F.struct(F.lit(k).alias("choice"), F.xxhash64(F.lit(k), *within, F.col(code).bitwiseAND(signed(sum(masks[g] & ((1 << 64) - 1) for g in c)))).alias("v")) for k, c in enumerate(choices)))
+    rows = df.select(F.col(key).alias("k"), F.col(code).alias("c"), *(c.alias("g") for c in within), F.inline(keys))
+    a, b = (rows.select(F.col("k").alias(x), F.col("c").alias(f"c{x}"), *(F.col("g").alias(f"g{x}") for _ in within), "choice", "v") for x in "ab")
+    differ = F.col("ca").bitwiseXOR(F.col("cb"))
+    close = (F.col("a") < F.col("b")) & (F.bit_count(differ) <= most)
+    equal = F.filter(F.sequence(F.lit(0), F.lit(groups - 1)), lambda i: differ.bitwiseAND(F.get(F.array(*(F.lit(m) for m in masks)), i)) == 0)
+    mine = F.get(F.array(*(F.array(*(F.lit(g) for g in c)) for c in choices)), F.col("choice"))
+    same = F.col("ga") == F.col("gb") if block else F.lit(True)
+    met = a.join(b, ["choice", "v"]).filter(close & same)
+    return met.filter(F.slice(equal, 1, groups - most) == mine).select(*(F.col("ga").alias(block) for _ in within), "a", "b", F.bit_count(differ).alias("distance"))

@@ -87,17 +87,27 @@ def audit_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
 _CODES = "SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN h ELSE xor(h, 5 << (doc_id % 20)::INT) END AS code FROM (SELECT doc_id, hash_n * 2654435761 % 1000000007 AS h FROM (SELECT doc_id, (doc_id // 3) * 7919 + 17 AS hash_n FROM documents))"
 
 
+def _codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    h = (F.floor(F.col("doc_id") / 3) * 7919 + 17) * 2654435761 % 1000000007
+    code = F.when(F.col("doc_id") % 3 == 0, h).otherwise(h.bitwiseXOR(F.call_function("shiftleft", F.lit(5).cast("long"), (F.col("doc_id") % 20).cast("int"))))
+    return _docs(spark, sf_dir).select("doc_id", "source", "sha", code.alias("code"))
+
+
 @query(f"WITH c AS ({_CODES}) SELECT x.doc_id AS a, y.doc_id AS b, bit_count(xor(x.code, y.code))::INT AS distance FROM c x JOIN c y ON x.doc_id < y.doc_id AND bit_count(xor(x.code, y.code)) <= 5")
 def near_dup_hamming(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All pairs of codes within five bits, through equal groups of bits instead of all pairs."""
-    h = (F.floor(F.col("doc_id") / 3) * 7919 + 17) * 2654435761 % 1000000007
-    code = F.when(F.col("doc_id") % 3 == 0, h).otherwise(h.bitwiseXOR(F.call_function("shiftleft", F.lit(5).cast("long"), (F.col("doc_id") % 20).cast("int"))))
-    return splits.near_pairs(table(spark, sf_dir, "documents").select("doc_id", code.alias("code")), "doc_id", "code")
+    return splits.near_pairs(_codes(spark, sf_dir), "doc_id", "code")
 
 
-@query("SELECT source, sha256(text) AS sha, count(*) AS copies FROM documents GROUP BY ALL HAVING count(*) > 1")
+@query(f"""WITH c AS (SELECT doc_id, code, source FROM ({_CODES}) JOIN documents USING (doc_id))
+SELECT 'exact' AS kind, 'any' AS source, min(doc_id) AS a, max(doc_id) AS b, count(*) AS n FROM documents GROUP BY sha256(text) HAVING count(*) > 1
+UNION ALL SELECT 'near', x.source, x.doc_id, y.doc_id, bit_count(xor(x.code, y.code)) FROM c x JOIN c y ON x.source = y.source AND x.doc_id < y.doc_id AND bit_count(xor(x.code, y.code)) <= 5""")
 def dedup_blocked(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _docs(spark, sf_dir).groupBy("source", "sha").agg(F.count("*").alias("copies")).filter("copies > 1")
+    """Groups of equal texts (first, last and number), and pairs of near codes of one source (distance)."""
+    d = _codes(spark, sf_dir)
+    exact = d.groupBy("sha").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("b"), F.count("*").alias("n")).filter("n > 1")
+    near = splits.near_pairs(d, "doc_id", "code", block="source")
+    return exact.select(F.lit("exact").alias("kind"), F.lit("any").alias("source"), "a", "b", "n").unionByName(near.select(F.lit("near").alias("kind"), "source", "a", "b", F.col("distance").cast("long").alias("n")))
 
 
 _FIELDS = ("quality", "toxic", "n_chars", "lang")
@@ -118,9 +128,9 @@ def value_counts_pct(spark: SparkSession, sf_dir: str) -> DataFrame:
     return audit.value_counts(table(spark, sf_dir, "documents"), ("lang", "source"))
 
 
-@query("SELECT source, n, k FROM (SELECT source, n, row_number() OVER (ORDER BY n DESC, source)::INT AS k FROM (SELECT source, count(*) AS n FROM documents WHERE n_chars > 500 GROUP BY source)) WHERE k <= 5")
+@query("SELECT source, n, k FROM (SELECT source, n, row_number() OVER (ORDER BY n DESC, source)::INT AS k FROM (SELECT source, count(*) AS n FROM documents GROUP BY source)) WHERE k <= 5")
 def topn_values(spark: SparkSession, sf_dir: str) -> DataFrame:
-    top = table(spark, sf_dir, "documents").filter("n_chars > 500").groupBy("source").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "source").limit(5)
+    top = table(spark, sf_dir, "documents").groupBy("source").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "source").limit(5)
     return top.withColumn("k", F.row_number().over(Window.orderBy(F.desc("n"), "source")))
 
 
@@ -168,9 +178,9 @@ def scorecard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.withColumn("o", overall).select("source", F.round("o", 4).alias("overall"), audit.grade(F.col("o")).alias("grade"))
 
 
-@query("WITH c AS (SELECT source, count(*) AS n FROM documents WHERE n_chars > 500 GROUP BY source) SELECT round(sum(pow(n - m, 2) / m), 6) AS chi_square, count(*) AS kinds FROM c, (SELECT avg(n) AS m FROM c)")
+@query("WITH c AS (SELECT source, count(*) AS n FROM documents GROUP BY source) SELECT round(sum(pow(n - m, 2) / m), 6) AS chi_square, count(*) AS kinds FROM c, (SELECT avg(n) AS m FROM c)")
 def chi_square_uniformity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return audit.chi_square(table(spark, sf_dir, "documents").filter("n_chars > 500"), "source")
+    return audit.chi_square(table(spark, sf_dir, "documents"), "source")
 
 
 @query("WITH c AS (SELECT event_type, count(*) AS n FROM events GROUP BY 1) SELECT round(-sum(n / t * ln(n / t)) / ln(count(*)), 6) AS diversity, count(*) AS kinds FROM c, (SELECT sum(n) AS t FROM c)")

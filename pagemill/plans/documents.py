@@ -52,10 +52,29 @@ def block_entropy(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _docs(spark, sf_dir).select("doc_id", F.round(T.block_entropy(F.col("text")), 6).alias("block_entropy"))
 
 
-@query(f"SELECT doc_id, round(exp(-abs(ln(greatest({_CHARS} / greatest((1 + doc_id % 5) * 400.0::DOUBLE, 1.0), 0.01)))), 6) AS layout_text_agreement, round(least(1.0, {_CHARS} / (1 + doc_id % 5) / 50), 6) AS completeness FROM documents")
+_INK = "length(replace(replace(replace(text, ' ', ''), chr(10), ''), chr(9), ''))"
+_AGREE = f"CASE WHEN doc_id % 5 = 0 AND {_INK} = 0 THEN 1.0 WHEN doc_id % 5 = 0 THEN 0.5 ELSE exp(-abs(ln(greatest({_INK} / (doc_id % 5 * 100.0::DOUBLE * greatest(0.1::DOUBLE, doc_id % 30 / 100 * 10)), 0.01::DOUBLE)))) END"
+_COMPLETE = f"CASE WHEN doc_id % 5 > 0 THEN least(1.0, {_INK} / (doc_id % 5) / 50) WHEN {_INK} > 0 THEN 1.0 ELSE 0.0 END"
+
+
+@query(f"SELECT doc_id, round({_AGREE}, 6) AS layout_text_agreement, round({_COMPLETE}, 6) AS completeness FROM documents")
 def layout_text_agreement(spark: SparkSession, sf_dir: str) -> DataFrame:
-    regions = 1 + F.col("doc_id") % 5
-    return _docs(spark, sf_dir).select("doc_id", F.round(T.layout_agreement(T.chars(F.col("text")), regions * 400.0), 6).alias("layout_text_agreement"), F.round(T.completeness(T.chars(F.col("text")), regions), 6).alias("completeness"))
+    """Every fifth document has no region."""
+    regions, n = F.col("doc_id") % 5, T.ink(F.col("text"))
+    return _docs(spark, sf_dir).select("doc_id", F.round(T.layout_agreement(n, regions, F.col("doc_id") % 30 / 100), 6).alias("layout_text_agreement"), F.round(T.completeness(n, regions), 6).alias("completeness"))
+
+
+_YIELD = f"{_CHARS} / ((1000 + doc_id % 10 * 100) * 1500 / 1e6)"
+
+
+@query(f"""SELECT doc_id, round({_YIELD}, 6) AS text_yield, round({_WORDS} / (1000.0::DOUBLE * (1 + doc_id % 7)), 6) AS word_density, round({_COMPLETE}, 6) AS ocr_completeness, round({_AGREE}, 6) AS layout_text_agreement,
+  round(({_YIELD} - doc_id % 900) / greatest(doc_id % 900, 1.0::DOUBLE), 6) AS ori_res_text_delta, round(1 - abs(doc_id % 11 / 10 - least(1.0, {_YIELD} / 5000.0::DOUBLE)), 6) AS score_agreement FROM documents""")
+def ocr_proxy_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The measures of a page's text in one pass; those that have queries of their own are left out."""
+    k = F.col("doc_id")
+    m = T.ocr_proxies(F.col("text"), 1000 + k % 10 * 100, F.lit(1500), k % 5, 1000.0 * (1 + k % 7), k % 30 / 100, (k % 900).cast("double"), k % 11 / 10, F.lit(5000.0))
+    names = ("text_yield", "word_density", "ocr_completeness", "layout_text_agreement", "ori_res_text_delta", "score_agreement")
+    return _docs(spark, sf_dir).select("doc_id", m.alias("m")).select("doc_id", *(F.round(f"m.{n}", 6).alias(n) for n in names))
 
 
 @query(f"""SELECT source, count(*) AS documents, round(avg({_CHARS}), 4) AS mean_chars, round(avg({_WORDS}), 4) AS mean_words, round(avg(length(text) / greatest({_WORDS}, 1)), 4) AS mean_word_length FROM documents GROUP BY source""")
@@ -87,10 +106,23 @@ def text_stats_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("quartile", F.round(((F.col("j") + 1) * 4 - F.col("t")) / 4 * F.col("a") + (F.col("t") - F.col("j") * 4) / 4 * F.col("n_chars"), 4).alias("n_chars"))
 
 
-@query("""SELECT doc_id, CASE WHEN n_chars < 1 THEN 'empty' WHEN n_chars < 1.5 THEN 'character' WHEN n_chars < 20 THEN 'word' WHEN n_chars < 50 THEN 'line' WHEN n_chars < 200 THEN 'paragraph' WHEN n_chars < 1000 THEN 'section'
-  WHEN n_chars < 5000 THEN 'page' ELSE 'document' END AS scope FROM documents""")
+_SCOPE = "CASE WHEN n <= 1 THEN 'character' WHEN n <= 20 THEN 'word' WHEN n <= 50 THEN 'phrase' WHEN n <= 200 THEN 'sentence' WHEN n <= 1000 THEN 'paragraph' WHEN n <= 5000 THEN 'page' ELSE 'document' END"
+_WORD_SCOPE = "CASE WHEN w = 0 THEN 'character' WHEN w = 1 THEN 'word' WHEN w <= 5 THEN 'phrase' WHEN w <= 30 THEN 'sentence' WHEN w <= 200 THEN 'paragraph' WHEN w <= 1000 THEN 'page' ELSE 'document' END"
+
+
+@query(f"SELECT doc_id, {_SCOPE} AS scope FROM (SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN n_chars ELSE n_chars % 61 END AS n FROM documents)")
 def text_scope(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _docs(spark, sf_dir).select("doc_id", T.ladder(F.col("n_chars"), T.CHAR_STEPS, T.SCOPES).alias("scope"))
+    n = F.when(F.col("doc_id") % 3 == 0, F.col("n_chars")).otherwise(F.col("n_chars") % 61)
+    return _docs(spark, sf_dir).select("doc_id", T.scope_of_chars(n).alias("scope"))
+
+
+@query(f"""WITH s AS (SELECT doc_id, {_SCOPE} AS a, {_WORD_SCOPE} AS b FROM (SELECT doc_id, n_chars AS n, {_WORDS} AS w FROM documents)), o AS (SELECT ['character', 'word', 'phrase', 'sentence', 'line', 'paragraph', 'page', 'document'] AS o)
+SELECT doc_id, a AS scope, b AS scope_of_words, CASE WHEN doc_id % 9 = 0 THEN 0 ELSE sign(list_position(o, a) - list_position(o, b)) END::INT AS order FROM s, o""".replace(" AS order", " AS compared"))
+def scope_info(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Scopes by characters and by words, and how they compare; each ninth is of mixed scope, which compares with none."""
+    a, b = T.scope_of_chars(F.col("n_chars")), T.scope_of_words(T.words(F.col("text")))
+    told = F.when(F.col("doc_id") % 9 == 0, "mixed").otherwise(b)
+    return _docs(spark, sf_dir).select("doc_id", a.alias("scope"), b.alias("scope_of_words"), T.compare_scopes(a, told).alias("compared"))
 
 
 @query("""SELECT lang, CASE WHEN n_chars >= 5 AND n_chars < 30 THEN 'minimal' WHEN n_chars >= 30 AND n_chars < 150 THEN 'short' WHEN n_chars >= 150 AND n_chars < 500 THEN 'medium' WHEN n_chars >= 500 AND n_chars < 1500 THEN 'long'

@@ -133,17 +133,22 @@ def merge_soft_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("doc_id")).agg(*(F.round(c, 9).alias(k) for k, c in {"mean": F.avg(x), "median": F.percentile(x, 0.5), "largest": F.max(x), "weighted": F.sum(x * w) / F.sum(w), "variance": F.var_pop(x)}.items()))
 
 
-@query("""WITH a AS (SELECT l_orderkey AS doc_id, avg(l_quantity / 50) AS mean, var_pop(l_quantity / 50) AS var, count(DISTINCT l_returnflag) AS kinds FROM lineitem GROUP BY 1)
-SELECT doc_id, CASE WHEN round(mean, 9) < 0.4 THEN 'low_confidence' WHEN round(var, 9) > 0.08 THEN 'high_variance' WHEN kinds > 2 THEN 'disagreement' ELSE 'none' END AS reason FROM a""")
+@query("""WITH v AS (SELECT l_orderkey AS doc_id, CASE WHEN l_returnflag = 'N' THEN 'und' ELSE lower(l_returnflag) END AS language, CASE WHEN l_orderkey % 5 = 0 THEN 0.0 ELSE round(greatest(0.0, l_quantity / 25 - 0.4713), 6) END AS c FROM lineitem),
+a AS (SELECT doc_id, avg(c) FILTER (c > 0) AS mean, min(c) FILTER (c > 0) AS lower, max(c) FILTER (c > 0) AS upper, var_pop(c) FILTER (c > 0) AS var, count(DISTINCT language) FILTER (language <> 'und') AS kinds FROM v GROUP BY doc_id)
+SELECT doc_id, round(mean, 6) AS point, round(coalesce(lower, 0), 6) AS lower, round(coalesce(var, 1), 6) AS variance, mean IS NOT NULL AND kinds <= 1 AS agreement,
+  CASE WHEN mean IS NULL THEN 'zero_confidence_votes' WHEN round(mean, 9) < 0.6::DOUBLE THEN 'low_confidence' WHEN round(var, 9) > 0.3::DOUBLE THEN 'high_variance' WHEN kinds > 1 THEN 'detector_disagreement' END AS reason FROM a""")
 def detector_escalation(spark: SparkSession, sf_dir: str) -> DataFrame:
-    x = F.col("l_quantity") / 50
-    a = table(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("doc_id")).agg(F.avg(x).alias("mean"), F.var_pop(x).alias("var"), F.count_distinct("l_returnflag").alias("kinds"))
-    return a.select("doc_id", F.when(F.round("mean", 9) < 0.4, "low_confidence").when(F.round("var", 9) > 0.08, "high_variance").when(F.col("kinds") > 2, "disagreement").otherwise("none").alias("reason"))
+    from ..operators.routing import detector_confidence
+
+    sure = F.when(F.col("l_orderkey") % 5 == 0, 0.0).otherwise(F.round(F.greatest(F.lit(0.0), F.col("l_quantity") / 25 - 0.4713), 6))
+    vote = F.struct(F.when(F.col("l_returnflag") == "N", "und").otherwise(F.lower("l_returnflag")).alias("language"), sure.alias("confidence"))
+    c = table(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("doc_id")).agg(F.collect_list(vote).alias("votes")).select("doc_id", detector_confidence(F.col("votes")).alias("c"))
+    return c.select("doc_id", *(F.round(f"c.{k}", 6).alias(k) for k in ("point", "lower", "variance")), "c.agreement", "c.reason")
 
 
 @query()
 def bootstrap_ci(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return E.bootstrap_ci(table(spark, sf_dir, "lineitem").filter("l_linenumber = 1"), "l_quantity", "l_extendedprice")
+    return E.bootstrap_ci(table(spark, sf_dir, "lineitem"), "l_quantity", "l_extendedprice", ["l_orderkey", "l_linenumber", "l_partkey"])
 
 
 def _boxes(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
@@ -158,18 +163,14 @@ def _boxes(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
 @query()
 def detection_ap(spark: SparkSession, sf_dir: str) -> DataFrame:
     p, t = _boxes(spark, sf_dir)
-    return E.average_precision(E.match_detections(p, t, 0.5), t)
+    return E.average_precision(E.match_detections(p, t), t).drop("threshold")
 
 
 @query()
 def detection_map(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Mean over thresholds and classes."""
+    """Mean over ten thresholds, from 0.5 in steps of 0.05, and classes."""
     p, t = _boxes(spark, sf_dir)
-    aps = None
-    for threshold in (0.5, 0.65, 0.8):
-        one = E.average_precision(E.match_detections(p, t, threshold), t).withColumn("threshold", F.lit(threshold))
-        aps = one if aps is None else aps.unionByName(one)
-    return aps.agg(F.avg("ap").alias("map"), F.count("*").alias("n"))
+    return E.mean_average_precision(p, t)
 
 
 @query()

@@ -54,19 +54,24 @@ def weighted_median_height(spark: SparkSession, sf_dir: str) -> DataFrame:
     return r.filter(F.col("upto") >= F.col("total") / 2).groupBy("doc_id").agg(F.min("height").alias("weighted_median"))
 
 
-_SCORE = "CASE " + " ".join(f"WHEN height < {x1} THEN {y0}::DOUBLE + (height - {x0}) / ({x1} - {x0}) * ({y1}::DOUBLE - {y0}::DOUBLE)" for (x0, y0), (x1, y1) in zip(G.KNOTS, G.KNOTS[1:], strict=False)) + " ELSE least(1.0, 0.95 + (height - 96) / 200 * 0.05) END"
+_SCORE = "CASE WHEN height < 0 THEN 0.0 " + " ".join(f"WHEN height < {x1} THEN {y0}::DOUBLE + (height - {x0}) / ({x1} - {x0}) * ({y1}::DOUBLE - {y0}::DOUBLE)" for (x0, y0), (x1, y1) in zip(G.KNOTS, G.KNOTS[1:], strict=False)) + " ELSE least(1.0, 0.95 + (height - 96) / 200 * 0.05) END"
+_REGIONS = f"SELECT doc_id, 2 * height - 4 AS height, area, has_figures AS counted FROM ({PAGES})"
 
 
-@query(f"""SELECT doc_id, round(avg({_SCORE}), 9) AS score, round(quantile_cont(height, 0.25), 9) AS p25, round(quantile_cont(height, 0.75), 9) AS p75, round(stddev_pop(height) / avg(height), 9) AS cv,
-  count(*) < 3 OR round(stddev_pop(height) / avg(height), 9) > 0.5 AS review FROM ({PAGES}) GROUP BY doc_id""")
+@query(f"""WITH p AS ({_REGIONS}), r AS (SELECT doc_id, height, sum(area) OVER (PARTITION BY doc_id ORDER BY height RANGE UNBOUNDED PRECEDING) AS upto, sum(area) OVER (PARTITION BY doc_id) AS total FROM p),
+m AS (SELECT doc_id, min(height) AS height FROM r WHERE upto >= total / 2 GROUP BY doc_id),
+a AS (SELECT doc_id, count(*) AS n, bool_or(counted) AS counted, quantile_cont(height, 0.25) AS p25, quantile_cont(height, 0.75) AS p75, round(CASE WHEN avg(height) > 0 THEN stddev_pop(height) / avg(height) ELSE 0 END, 9) AS cv FROM p GROUP BY doc_id),
+c AS (SELECT *, round(least(1.0::DOUBLE, n / 10) * greatest(0.0::DOUBLE, 1 - cv) * CASE WHEN counted THEN 1.0::DOUBLE ELSE 0.8::DOUBLE END, 4) AS confidence FROM a JOIN m USING (doc_id))
+SELECT doc_id, round({_SCORE}, 9) AS score, height AS char_height, p25, p75, cv, CASE WHEN height < 0 THEN 'oversized' WHEN height < 16 THEN 'needs_major_upscale' WHEN height < 32 THEN 'needs_light_upscale' WHEN height < 48 THEN 'optimal' WHEN height < 96 THEN 'good' ELSE 'oversized' END AS bucket,
+  CASE WHEN counted THEN 'stage_1_2' ELSE 'stage_1_only' END AS method, CASE WHEN n < 3 THEN least(confidence, 0.3::DOUBLE) ELSE confidence END AS confidence, n < 3 OR confidence < 0.4 OR cv > 0.5 AS review FROM c""")
 def resolution_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
-    cv = F.stddev_pop("height") / F.avg("height")
-    return pages(spark, sf_dir).groupBy("doc_id").agg(F.round(F.avg(G.resolution_score(F.col("height"))), 9).alias("score"), F.round(F.percentile("height", 0.25), 9).alias("p25"), F.round(F.percentile("height", 0.75), 9).alias("p75"), F.round(cv, 9).alias("cv"), ((F.count("*") < 3) | (F.round(cv, 9) > 0.5)).alias("review"))
+    p = pages(spark, sf_dir).select("doc_id", (2 * F.col("height") - 4).alias("height"), "area", F.col("has_figures").alias("counted"))
+    return G.resolution(p, "doc_id", "height", "area", "counted").withColumn("score", F.round("score", 9))
 
 
 _NATIVES = list(T.SCHEMAS["docstructbench"]) + ["unknown"]
 _MAP = ", ".join(f"('{s}', '{n}', '{c}')" for s, m in T.SCHEMAS.items() for n, c in m.items())
-_UP = ", ".join([f"('{r}', '{r}', 0)" for r in [*T.ROOTS, "FORM"]] + [f"('{c}', '{p}', 1)" for p, cs in T.CHILDREN.items() for c in cs.split()])
+_UP = ", ".join([f"('{r}', '{r}', 0)" for r in [*T.ROOTS, "FORM"]] + [f"('{c}', '{p}', 1)" for p, cs in T.CHILDREN.items() for c in cs])
 
 
 @query(f"""WITH t(schema, native, canonical) AS (VALUES {_MAP}), a(label, root, depth) AS (VALUES {_UP}), p AS (SELECT p_partkey, ({_NATIVES})[p_partkey % {len(_NATIVES)} + 1] AS native FROM part),
@@ -79,20 +84,48 @@ def taxonomy_convert(spark: SparkSession, sf_dir: str) -> DataFrame:
     return T.convert(p, "native", "docstructbench", "doclaynet").groupBy("native", "converted", "confidence", "lossy").agg(F.count("*").alias("labels"))
 
 
-@query(f"SELECT * FROM (VALUES {_UP}) a(label, root, depth)")
+_PARENTS = "SELECT 's' || s_suppkey AS label, 'n' || s_nationkey AS parent FROM supplier UNION ALL SELECT 'n' || n_nationkey, CASE WHEN n_nationkey % 7 = 3 THEN 'n' || ((n_nationkey + 7) % 21) WHEN n_nationkey = 5 THEN 'lost' ELSE 'r' || n_regionkey END FROM nation UNION ALL SELECT 'r' || r_regionkey, NULL FROM region"
+
+
+@query(f"""WITH RECURSIVE p AS ({_PARENTS}), w(label, place, depth, path) AS (SELECT label, label, 0, [label] FROM p
+  UNION ALL SELECT w.label, p.parent, w.depth + 1, list_append(w.path, p.parent) FROM w JOIN p ON p.label = w.place WHERE p.parent IS NOT NULL AND NOT list_contains(w.path, p.parent)),
+e AS (SELECT label, arg_max(place, depth) AS place, max(depth) AS depth FROM w GROUP BY label)
+SELECT e.label, CASE WHEN p.label IS NOT NULL AND p.parent IS NULL THEN e.place END AS root, e.depth::INT AS depth FROM e LEFT JOIN p ON p.label = e.place""")
 def taxonomy_ancestors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Way of each supplier, nation and region up to a root; some nations stand in a cycle, one has a parent that isn't there."""
+    k = F.col("n_nationkey")
+    named = lambda c, letter: F.concat(F.lit(letter), F.col(c).cast("string"))
+    nations = F.when(k % 7 == 3, F.concat(F.lit("n"), ((k + 7) % 21).cast("string"))).when(k == 5, "lost").otherwise(named("n_regionkey", "r"))
+    parents = table(spark, sf_dir, "supplier").select(named("s_suppkey", "s").alias("label"), named("s_nationkey", "n").alias("parent"))
+    parents = parents.unionByName(table(spark, sf_dir, "nation").select(named("n_nationkey", "n").alias("label"), nations.alias("parent")))
+    return T.walk(parents.unionByName(table(spark, sf_dir, "region").select(named("r_regionkey", "r").alias("label"), F.lit(None).cast("string").alias("parent"))))
+
+
+@query(f"SELECT * FROM (VALUES {_UP}) a(label, root, depth)")
+def taxonomy_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return T.ancestors(spark)
 
 
-_LICENSES = ["MIT License", "LGPL v3", "GNU GPL v2", "CC BY-NC 4.0", "CC BY-SA", "research only", "Public Domain", "proprietary", "CC-BY-ND", "synthetic"]
+_LICENSES = ["MIT", "mit license", "LGPL v3", "GNU GPL v2", "CC BY-NC 4.0", "CC-BY-SA-4.0", "CC BY 4.0", "Apache-2.0", "research only", "Public Domain", "proprietary", "CC-BY-ND-4.0", "generated", "generated, NC only", "Limited use", "permitted with permission", "mixed (see files)", "Unknown", "ODbL", "CC0-1.0", "apache-2.0 with a non-commercial rider"]
+_LICENSE = "CASE " + " ".join(f"WHEN regexp_matches(regexp_replace(lower(trim(raw)), '\\s+', '-', 'g'), '{r}') THEN '{n}'" for n, r in T.LICENSES) + " ELSE 'unspecified' END"
 
 
-@query(f"WITH p AS (SELECT ({_LICENSES})[p_partkey % 10 + 1] AS raw FROM part) SELECT raw, CASE " + " ".join(f"WHEN regexp_matches(lower(raw), '{r}') THEN '{n}'" for n, r in T.LICENSES) + " ELSE 'unspecified' END AS license, count(*) AS parts FROM p GROUP BY ALL")
+@query(f"WITH p AS (SELECT ({_LICENSES})[p_partkey % {len(_LICENSES)} + 1] AS raw FROM part) SELECT raw, {_LICENSE} AS license, count(*) AS parts FROM p GROUP BY ALL")
 def license_class(spark: SparkSession, sf_dir: str) -> DataFrame:
-    raw = F.element_at(F.array(*(F.lit(x) for x in _LICENSES)), (F.col("p_partkey") % 10 + 1).cast("int"))
+    raw = F.element_at(F.array(*(F.lit(x) for x in _LICENSES)), (F.col("p_partkey") % len(_LICENSES) + 1).cast("int"))
     return table(spark, sf_dir, "part").select(raw.alias("raw")).groupBy("raw", T.license_class(F.col("raw")).alias("license")).agg(F.count("*").alias("parts"))
 
 
+@query("""WITH l(dataset, license) AS (VALUES ('src_1', 'MIT'), ('SRC 2', 'CC-BY-NC-4.0'), ('Src-3', 'research only'))
+SELECT coalesce(license, CASE WHEN n LIKE 'synth%' THEN 'generated' END) AS license, CASE license WHEN 'MIT' THEN 'permissive' WHEN 'CC-BY-NC-4.0' THEN 'non_commercial' WHEN 'research only' THEN 'research_only' ELSE CASE WHEN n LIKE 'synth%' THEN 'generated' ELSE 'unspecified' END END AS license_class, count(*) AS documents
+FROM (SELECT CASE WHEN doc_id % 6 = 5 THEN 'synthset' ELSE 'src' || doc_id % 6 END AS n FROM documents) d LEFT JOIN l ON regexp_replace(lower(l.dataset), '[^a-z0-9]', '', 'g') = d.n GROUP BY ALL""")
+def dataset_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    known = spark.createDataFrame([("src_1", "MIT"), ("SRC 2", "CC-BY-NC-4.0"), ("Src-3", "research only")], "dataset string, license string")
+    k = F.col("doc_id") % 6
+    docs = table(spark, sf_dir, "documents").select(F.when(k == 5, "Synth-Set").otherwise(F.concat(F.lit("SRC_"), k.cast("string"))).alias("dataset"))
+    return T.with_license(docs, "dataset", known).groupBy("license", "license_class").agg(F.count("*").alias("documents"))
+
+
 @query("""WITH c AS (SELECT conv_id, role, count(*) AS n, min(turn) AS first, avg(length(text)) AS mean FROM conversations GROUP BY ALL), r AS (SELECT *, sum(n) OVER (PARTITION BY conv_id) AS total, count(*) OVER (PARTITION BY conv_id) AS kinds, row_number() OVER (PARTITION BY conv_id ORDER BY n DESC, first, role) AS k FROM c)
 SELECT conv_id, role AS dominant, round(n / total, 4) AS share, round(mean, 4) AS mean_length, kinds > 1 AS mixed FROM r WHERE k = 1""")
 def script_aggregate(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -103,7 +136,7 @@ def script_aggregate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _SCRIPTS = ["Latn", "Hira", "Mymr", "Zzzz", "Ethi"]
-_CLASS = "CASE " + " ".join(f"WHEN code IN ({', '.join(repr(c) for c in codes.split())}) THEN '{n}'" for n, codes in T.SCRIPT_CLASSES.items()) + " ELSE 'OTHER' END"
+_CLASS = "CASE " + " ".join(f"WHEN code IN ({', '.join(repr(c) for c in codes)}) THEN '{n}'" for n, codes in T.SCRIPT_CLASSES.items()) + " ELSE 'OTHER' END"
 
 
 @query(f"WITH d AS (SELECT doc_id, ({_SCRIPTS})[doc_id % 5 + 1] AS code, (doc_id % 100) / 100 AS confidence FROM documents) SELECT code, {_CLASS} AS class, code IN ('Tibt', 'Ethi', 'Mymr') OR code = 'Zzzz' OR confidence < 0.5 AS escalate, count(*) AS documents FROM d GROUP BY ALL")

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..catalog import query
 from ..operators import alerts, drift
+from ..operators.prefix import percentiles
 from ..streaming import events as S
 from .fixtures import table
 
@@ -79,12 +80,12 @@ def dashboard_panel(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _daily(spark, sf_dir).groupBy("event_type").agg(F.round(F.max_by("mean", "day"), 6).alias("current"), F.round(F.min("mean"), 6).alias("lo"), F.round(F.max("mean"), 6).alias("hi"), F.round(F.avg("mean"), 6).alias("mean"), F.count("*").alias("days"))
 
 
-@query(f"""WITH w AS (SELECT event_type, day, mean - first_value(mean) OVER (PARTITION BY event_type ORDER BY day ROWS BETWEEN 2 PRECEDING AND CURRENT ROW) AS delta FROM ({_DAILY}))
-SELECT event_type, day::VARCHAR AS day, CASE WHEN delta > 2 THEN 'improving' WHEN delta < -2 THEN 'declining' ELSE 'stable' END AS trend FROM w""")
+@query(f"""WITH w AS (SELECT event_type, day, mean - first_value(mean) OVER (PARTITION BY event_type ORDER BY day ROWS BETWEEN 2 PRECEDING AND CURRENT ROW) AS delta, row_number() OVER (PARTITION BY event_type ORDER BY day) AS k FROM ({_DAILY}))
+SELECT event_type, day::VARCHAR AS day, CASE WHEN k < 2 THEN 'insufficient_data' WHEN delta > 2 THEN 'improving' WHEN delta < -2 THEN 'degrading' ELSE 'stable' END AS trend FROM w""")
 def score_trend(spark: SparkSession, sf_dir: str) -> DataFrame:
-    first = F.first("mean").over(Window.partitionBy("event_type").orderBy("day").rowsBetween(-2, 0))
-    delta = F.col("mean") - first
-    return _daily(spark, sf_dir).select("event_type", F.col("day").cast("string").alias("day"), F.when(delta > 2, "improving").when(delta < -2, "declining").otherwise("stable").alias("trend"))
+    """The last score against the first of the last three, as it was known on each day."""
+    by = Window.partitionBy("event_type").orderBy("day")
+    return _daily(spark, sf_dir).select("event_type", F.col("day").cast("string").alias("day"), drift.score_trend(F.col("mean"), by).alias("trend"))
 
 
 @query("""SELECT event_id, CASE WHEN round(spent, 4) >= 30000 THEN 'blocked' WHEN round(spent, 4) >= 24000 THEN 'warning' ELSE 'ok' END AS state FROM (SELECT event_id, sum(value) OVER (PARTITION BY date_trunc('day', ts) ORDER BY ts, event_id) AS spent FROM events)""")
@@ -122,8 +123,10 @@ def latency_buckets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("SELECT event_type, round(avg(value), 6) AS mean, round(quantile_cont(value, 0.5), 6) AS p50, round(quantile_cont(value, 0.95), 6) AS p95, round(quantile_cont(value, 0.99), 6) AS p99, min(value) AS lo, max(value) AS hi FROM events GROUP BY 1")
 def latency_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
-    p = {"p50": 0.5, "p95": 0.95, "p99": 0.99}
-    return table(spark, sf_dir, "events").groupBy("event_type").agg(F.round(F.avg("value"), 6).alias("mean"), *(F.round(F.percentile("value", q), 6).alias(k) for k, q in p.items()), F.min("value").alias("lo"), F.max("value").alias("hi"))
+    e = table(spark, sf_dir, "events")
+    p = percentiles(e, "value", {"p50": 0.5, "p95": 0.95, "p99": 0.99}, ["event_type"])
+    rest = e.groupBy("event_type").agg(F.round(F.avg("value"), 6).alias("mean"), F.min("value").alias("lo"), F.max("value").alias("hi"))
+    return rest.join(p, "event_type").select("event_type", "mean", *(F.round(k, 6).alias(k) for k in ("p50", "p95", "p99")), "lo", "hi")
 
 
 @query("""WITH t AS (SELECT user_id FROM events GROUP BY user_id ORDER BY min((ts, event_id)) LIMIT 20)
@@ -171,7 +174,7 @@ def ood_mahalanobis(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = table(spark, sf_dir, "embeddings")
     mean, precision = drift.shrunk_precision(e, "embedding", 64)
     d = e.select("vec_id", drift.mahalanobis(F.col("embedding"), mean, precision).alias("distance"))
-    bound = d.agg(F.percentile("distance", 0.95)).first()[0]
+    bound = percentiles(d, "distance", {"p": 0.95}).first()[0]
     return d.withColumn("outlier", F.col("distance") > bound)
 
 
@@ -185,7 +188,7 @@ def ood_diagonal(spark: SparkSession, sf_dir: str) -> DataFrame:
     x = [F.col("embedding")[i].cast("double") for i in range(64)]
     row = e.agg(*(F.avg(c) for c in x), *(F.var_pop(c) for c in x)).first()  # 128 numbers
     d = e.select("vec_id", F.sqrt(sum(((c - m) * (c - m) / v for c, m, v in zip(x, row[:64], row[64:], strict=True)), F.lit(0.0))).alias("distance"))
-    bound = d.agg(F.percentile("distance", 0.95)).first()[0]
+    bound = percentiles(d, "distance", {"p": 0.95}).first()[0]
     return d.select("vec_id", F.round("distance", 4).alias("distance"), (F.col("distance") > bound).alias("outlier"))
 
 

@@ -130,15 +130,17 @@ def docling_params(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""
-WITH e AS (SELECT event_id, user_id, ts, value, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS nth,
-  sum(value) OVER (PARTITION BY date_trunc('month', ts) ORDER BY ts, event_id) AS spent FROM events)
-SELECT event_id, CASE WHEN nth > 10 THEN 'cpu_document_budget' WHEN spent > 100000 THEN 'cpu_month_budget' WHEN value > 250 THEN 'gpu_remote' ELSE 'gpu_local' END AS device FROM e""")
+WITH e AS (SELECT event_id, ts, user_id, value, row_number() OVER (PARTITION BY user_id, date_trunc('day', ts) ORDER BY ts, event_id) - 1 AS of_document, count(*) OVER (PARTITION BY date_trunc('day', ts), user_id % 50 ORDER BY ts, event_id) - 1 AS of_batch FROM events)
+SELECT event_id, CASE WHEN of_document >= 2 THEN 'blocked: document' WHEN of_batch >= 6 THEN 'blocked: batch' WHEN user_id % 20 = 7 AND value >= 250 THEN 'blocked: month' WHEN user_id % 3 = 0 THEN 'cuda' WHEN user_id % 5 <> 0 THEN 'modal' WHEN user_id % 2 = 0 THEN 'cpu' ELSE 'blocked: no device' END AS device FROM e""")
 def device_policy(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Ordered device policy with a budget of pages for each document and of cost for each month."""
-    order = ("ts", "event_id")
-    e = table(spark, sf_dir, "events").withColumn("nth", F.row_number().over(Window.partitionBy("user_id").orderBy(*order)))
-    e = e.withColumn("spent", F.sum("value").over(Window.partitionBy(F.date_trunc("month", "ts")).orderBy(*order)))
-    return e.select("event_id", F.when(F.col("nth") > 10, "cpu_document_budget").when(F.col("spent") > 100000, "cpu_month_budget").when(F.col("value") > 250, "gpu_remote").otherwise("gpu_local").alias("device"))
+    """Budgets of pages for a document and a batch and of hours for a month, then the local device, the remote one, and the CPU where that is allowed."""
+    day, order = F.date_trunc("day", "ts"), ("ts", "event_id")
+    of_document = F.row_number().over(Window.partitionBy("user_id", day).orderBy(*order)) - 1
+    of_batch = F.count("*").over(Window.partitionBy(day, F.col("user_id") % 50).orderBy(*order)) - 1
+    e = table(spark, sf_dir, "events").withColumns({"of_document": of_document, "of_batch": of_batch})
+    hours = F.when(F.col("user_id") % 20 == 7, F.col("value") / 25).otherwise(0.0)
+    u = F.col("user_id")
+    return e.select("event_id", routing.teacher_device(F.col("of_document"), F.col("of_batch"), hours, u % 3 == 0, u % 5 != 0, u % 2 == 0, per_document=2, per_batch=6).alias("device"))
 
 
 @query(f"""
@@ -169,18 +171,17 @@ def orientation_vote(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(f"""WITH s AS (SELECT doc_id, page, source_id, greatest(0.0, least(1.0, illumination * 0.25::DOUBLE + blur * 0.20::DOUBLE + artifacts * 0.20::DOUBLE + (1 - least(1.0, warping)) * 0.15::DOUBLE + contrast * 0.20::DOUBLE)) AS score FROM ({PAGES}))
-SELECT doc_id, page, source_id, round(score, 9) AS score, CASE WHEN score >= 0.6 THEN 'scanner' WHEN score >= 0.4 THEN 'scanner_low' WHEN score >= 0.3 THEN 'uncertain' ELSE 'camera' END AS capture FROM s""")
+SELECT doc_id, page, source_id, round(score, 9) AS score, CASE WHEN score > 0.6::DOUBLE THEN 'scanner_flatbed' WHEN score > 0.4::DOUBLE THEN 'scanner_adf' WHEN score < 0.3::DOUBLE THEN 'camera_smartphone' ELSE 'unknown' END AS capture FROM s""")
 def capture_source(spark: SparkSession, sf_dir: str) -> DataFrame:
     score = quality.clip01(F.col("illumination") * 0.25 + F.col("blur") * 0.20 + F.col("artifacts") * 0.20 + (1 - F.least(F.lit(1.0), F.col("warping"))) * 0.15 + F.col("contrast") * 0.20)
     s = pages(spark, sf_dir).select("doc_id", "page", "source_id", score.alias("score"))
-    return s.select("doc_id", "page", "source_id", F.round("score", 9).alias("score"), F.when(F.col("score") >= 0.6, "scanner").when(F.col("score") >= 0.4, "scanner_low").when(F.col("score") >= 0.3, "uncertain").otherwise("camera").alias("capture"))
+    return s.select("doc_id", "page", "source_id", F.round("score", 9).alias("score"), quality.capture_method(F.col("score")).alias("capture"))
 
 
-@query(f"SELECT CASE WHEN total > 250000 AND script_confidence < 0.5 THEN 'born_digital' WHEN total < 50000 AND script_confidence >= 0.5 THEN 'image_only' ELSE 'hybrid' END AS pdf_type, count(*) AS documents FROM ({DOCS}) GROUP BY 1")
+@query("""SELECT CASE WHEN n_chars > 500 AND doc_id % 3 = 0 THEN 'born_digital' WHEN n_chars < 100 AND doc_id % 3 > 0 THEN 'image_only' ELSE 'hybrid' END AS pdf_type, count(*) AS documents FROM documents GROUP BY 1""")
 def classify_pdf_type(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Much text and no images: born digital; little text and images: a scan."""
-    text, images = F.col("total"), F.col("script_confidence") >= 0.5
-    return documents(spark, sf_dir).groupBy(F.when((text > 250000) & ~images, "born_digital").when((text < 50000) & images, "image_only").otherwise("hybrid").alias("pdf_type")).agg(F.count("*").alias("documents"))
+    return table(spark, sf_dir, "documents").groupBy(routing.pdf_type(F.col("n_chars"), F.col("doc_id") % 3).alias("pdf_type")).agg(F.count("*").alias("documents"))
 
 
 @query(f"SELECT doc_id, page, source_id, round(blur * 0.35::DOUBLE + noise * 0.25::DOUBLE + contrast * 0.25::DOUBLE + artifacts * 0.15::DOUBLE, 9) AS text_layer_quality FROM ({PAGES})")

@@ -7,7 +7,7 @@ from pagemill.sources import store
 def test_average_precision_by_hand(spark):
     truth = spark.createDataFrame([(1, 0, [0.0, 0.0, 10.0, 10.0]), (2, 0, [0.0, 0.0, 10.0, 10.0])], "image long, class int, box array<double>")
     found = spark.createDataFrame([(1, 0, 0.9, [0.0, 0.0, 10.0, 10.0]), (1, 0, 0.8, [0.0, 0.0, 10.0, 10.0]), (3, 1, 0.5, [0.0, 0.0, 1.0, 1.0])], "image long, class int, score double, box array<double>")
-    matches = evaluation.match_detections(found, truth)
+    matches = evaluation.match_detections(found, truth)  # at 0.5
     assert {(r.image, r.score): r.hit for r in matches.collect()} == {(1, 0.9): True, (1, 0.8): False, (3, 0.5): False}
     assert abs(evaluation.average_precision(matches, truth).first().ap - 51 / 101) < 1e-9
 
