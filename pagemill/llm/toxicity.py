@@ -6,11 +6,11 @@ Voters are of several kinds, and each of them is right only so often:
 * byte patterns: lists of byte sequences inside words, dealt by their order of strength;
 * obfuscation: a word that becomes one of the lexicon once digits and signs are read as letters and repeated letters once;
 * manner: words in capitals, repeated exclamation marks;
-* clean: a text without a word of the lexicon, and one without a pattern of any list, vote for the other class.
+* clean: a text without a word of the lexicon votes for the other class.
 
-The label model sees the votes alone, never a label: a class prior and each voter's rate of votes in either class, by EM from the share of votes. A voter's
-direction is given, its accuracy is estimated. Voters that still agree given the class are correlated, pair by pair; each one's evidence is divided by one
-plus its correlations with the others, so what many voters repeat isn't counted many times. The classifier is logistic regression over hashed words and byte
+The label model sees the votes and the share of toxic rows, never a row's label: each voter's rate of votes in either class, by EM from the share of votes. A
+voter that is silent says nothing. A voter's direction is given, its accuracy is estimated. Voters that mostly vote alike count as one; those that still agree given
+the class are correlated, pair by pair, and each one's evidence is divided by one plus its correlations with the others. The classifier is logistic regression over hashed words and byte
 sequences on the posterior labels, and a monotone calibration on labelled rows that neither voters nor fit have seen gives the score.
 
 The lexicon is mined, and all is fitted, on a bounded sample of labelled rows (labelled: the rows with the smallest hash of their key); every whole text
@@ -130,27 +130,32 @@ def holds(n: int, rows: np.ndarray, slots: np.ndarray, wanted: np.ndarray) -> np
     return np.bincount(rows[mark[slots]], minlength=n)
 
 
-def label_model(votes: np.ndarray, toward: np.ndarray, prior: float, rounds: int = 40) -> tuple[np.ndarray, np.ndarray]:
+def label_model(votes: np.ndarray, toward: np.ndarray, prior: float, rounds: int = 40, same: float = 0.8, least: float = 4.0) -> tuple[np.ndarray, np.ndarray]:
     """Posterior of the positive class, and the weight of each voter. votes: whether each voter votes for a row; toward: the class that it votes for.
 
-    Without a vote for either class a row starts at the prior. Rates are kept in the given direction, so the classes can't change places.
+    Voters for a class of a correlation above same are one voter from the start, or they'd be taken for the class; a row starts at the prior, and is moved by its
+    votes. Votes are at least `least` times as frequent in their class as in the other one, as mining asks for, so the classes can't change places.
     """
     on = votes.astype(float)
-    for_, against = on[:, toward == 1].sum(1), on[:, toward == 0].sum(1)
-    post = np.clip((for_ + prior) / (for_ + against + 1), 0.02, 0.98)
-    weight = np.ones(votes.shape[1])
+    side = toward[:, None] == toward[None, :]
+
+    def correlations(rest: np.ndarray) -> np.ndarray:
+        scale = np.sqrt((rest**2).sum(0)) + 1e-9
+        c = np.abs(rest.T @ rest) / np.outer(scale, scale)
+        np.fill_diagonal(c, 0)
+        return c
+
+    alike = (correlations(on - on.mean(0)) > same) & side
+    base = 1 / (1 + alike.sum(0))
+    weight, many, against = base, on[:, toward == 1] @ base[toward == 1], on[:, toward == 0] @ base[toward == 0]
+    post = np.clip((many + prior) / (many + against + 1), 0.02, 0.98)
     for r in range(rounds):
         yes, no = ((on.T @ p + 0.5) / (p.sum() + 1) for p in (post, 1 - post))
-        yes, no = np.where(toward == 1, np.maximum(yes, no), np.minimum(yes, no)), np.where(toward == 1, no, np.maximum(yes, no))
+        yes, no = np.where(toward == 1, yes, np.minimum(yes, no / least)), np.where(toward == 1, np.minimum(no, yes / least), no)
         if r in (10, 25):  # correlations of pairs, given the class
-            rest = on - (post[:, None] * yes + (1 - post[:, None]) * no)
-            scale = np.sqrt((rest**2).sum(0)) + 1e-9
-            c = np.abs(rest.T @ rest) / np.outer(scale, scale)
-            np.fill_diagonal(c, 0)
-            weight = 1 / (1 + np.where(c > 0.1, c, 0).sum(0))
-        evidence = on * np.log(yes / no) + (1 - on) * np.log((1 - yes) / (1 - no))
-        post = 1 / (1 + np.exp(-np.clip(np.log(prior / (1 - prior)) + evidence @ weight, -30, 30)))
-        prior = float(np.clip(post.mean(), 1e-3, 0.999))
+            c = np.where(alike | ~side, 0, correlations(on - (post[:, None] * yes + (1 - post[:, None]) * no)))
+            weight = base / (1 + np.where(c > 0.1, c, 0).sum(0))
+        post = 1 / (1 + np.exp(-np.clip(np.log(prior / (1 - prior)) + on @ (np.log(yes / no) * weight), -30, 30)))
     return post, weight
 
 
@@ -238,13 +243,12 @@ def train(docs: DataFrame, labels: DataFrame, held_out, key: str = "doc_id", tex
         return telling(index[of[fitted[of]]], what[fitted[of]], y[fitted])
 
     lexicon, patterns = mined(of_word, words)[:LEXICON], mined(rows_, slots)
-    hits, in_pattern = holds(n, of_word, words, lexicon), holds(n, rows_, slots, patterns)
+    hits = holds(n, of_word, words, lexicon)
     for_ = [holds(n, of_word, words, lexicon[k : k + 1]) > 0 for k in range(len(lexicon))] + [hits >= 2, hits >= 3]
     for_ += [holds(n, rows_, slots, patterns[k::PATTERNS]) > 0 for k in range(PATTERNS)]
     for_ += [holds(n, of_plain, plain, lexicon) > 0, *(got.column(c).to_numpy(zero_copy_only=False).astype(bool) for c in ("capitals", "marks"))]
-    against = [hits == 0, in_pattern == 0]
-    votes, toward = np.stack([*for_, *against], 1), np.array([1] * len(for_) + [0] * len(against))
-    post, _ = label_model(votes[fitted], toward, min(0.5, max(0.01, float(((hits > 0) & fitted).sum() / fitted.sum()))))
+    votes, toward = np.stack([*for_, hits == 0], 1), np.array([1] * len(for_) + [0])
+    post, _ = label_model(votes[fitted], toward, share)
 
     # slots that tell the classes apart by the posterior, and aren't in a row or two only
     at = fitted[rows_]
