@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 SQL: dict[str, str] = {}
-_PLANS = ("routing", "documents", "corpus", "evaluation", "monitoring", "labels", "storage")
+_PLANS = ("routing", "documents", "corpus", "evaluation", "monitoring", "labels", "storage", "records")
 
 
 def query(sql: str | None = None) -> Callable[[Query], Query]:
