@@ -303,10 +303,10 @@ def test_passages_with_words_inserted_or_deleted():
         texts = [" ".join(prose(8000 + 2 * seed + k, 300, 1 << 40) + p + prose(9000 + 2 * seed + k, 300, 1 << 40)).encode() for k, p in enumerate((passage, changed))]
         one, two = (shingles(" ".join(p)) for p in (passage, changed))
         assert len(one & two) >= 0.8 * len(one | two) and min(len(one), len(two)) >= span
-        of, f, _, low, c, high, before, after = (x.tolist() for x in passages.compact_windows(texts, 50, 6, 5))
+        of, f, low, c, high, before, after = (x.tolist() for x in passages.compact_windows(texts, 50, 5, 5))
         sides = [[(f[i], low[i], c[i], high[i], {before[i], after[i]} - {0}) for i in range(len(of)) if of[i] == k] for k in (0, 1)]
-        met = [(*p[:4], *q[1:4]) for p in sides[0] for q in sides[1] if p[4] & q[4]]
-        candidates = passages.join_intervals(np.array(met).reshape(-1, 7), 2, span)
+        met = [(*p[:4], *q[1:4]) for p in sides[0] for q in sides[1] if p[0] == q[0] and p[4] & q[4]]
+        candidates = [c[1:] for c in passages.join_intervals(np.zeros(len(met), int), np.array(met).reshape(-1, 7), 2, span)]
         if not candidates:
             continue
         tried += 1
