@@ -56,6 +56,17 @@ def lines(docs: DataFrame, key: str, text: str) -> DataFrame:
     return rows.select("key", "row", F.inline(F.transform("ls", line)))
 
 
+def plain_lines(docs: DataFrame, text: str) -> DataFrame:
+    """m of the lines that aren't blank. They are masked before the rows are made, or each use of m would mask them again."""
+    return docs.select(F.explode(F.transform(F.split(F.col(text).cast("string"), "\n"), masked)).alias("m")).filter("m <> ''")
+
+
+def leafed(found: DataFrame, min_tokens: int) -> DataFrame:
+    """found with n (tokens) and leaf, null for lines of fewer than min_tokens."""
+    tokens = F.split("m", " ")
+    return found.withColumn("n", F.size(tokens)).withColumn("leaf", F.when(F.col("n") >= min_tokens, F.xxhash64("n", F.slice(tokens, 1, DEPTH))))
+
+
 def recurrence(found: DataFrame, by: str, *more) -> DataFrame:
     """by, w (contexts), texts (distinct ones) and more aggregates over rows of (by, row, pos, context, and what they need), each step pre-aggregated.
 
@@ -71,24 +82,32 @@ def recurrence(found: DataFrame, by: str, *more) -> DataFrame:
 BROADCAST_LEAVES = 1_000_000
 
 
+def _small(keys: DataFrame) -> DataFrame:
+    """A table of keys of 8 bytes, to be broadcast unless they are too many."""
+    return F.broadcast(keys) if keys.count() <= BROADCAST_LEAVES else keys
+
+
 def dropped_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", min_contexts: int = 10, long_contexts: int = 3, long_tokens: int = 8, min_tokens: int = 5, fixed_share: float = 0.6) -> DataFrame:
     """key, row, pos of the lines to drop.
 
     Lines are kept as hashes; the text of a line is looked at again only in leaves whose lines recur.
     """
-    tokens = F.split("m", " ")
-    leafed = lines(docs, key, text).withColumn("n", F.size(tokens)).withColumn("leaf", F.when(F.col("n") >= min_tokens, F.xxhash64("n", F.slice(tokens, 1, DEPTH))))
-    all_lines = stored(leafed.select("key", "row", "pos", "h", "context", "leaf", (F.col("n") >= long_tokens).alias("long")), "lines")
+    all_lines = stored(leafed(lines(docs, key, text), min_tokens).select("key", "row", "pos", "h", "context", "leaf", (F.col("n") >= long_tokens).alias("long")), "lines")
     varied = F.col("w") * 2 >= F.col("texts")
-    counted = recurrence(all_lines.withColumn("at", F.struct("key", "row", "pos")), "h", (F.min, "at"), (F.max, "long"))
-    recurring = counted.filter(varied & (F.col("w") >= F.when(F.col("more1"), long_contexts).otherwise(min_contexts))).select("h", F.col("more0").alias("first"))
+    least = lambda c: F.when(F.col(c), long_contexts).otherwise(min_contexts)
+    # plain counts first: most lines stand in one text, and what can't recur isn't sorted by its contexts
+    often = all_lines.groupBy("h").agg(F.count("*").alias("n"), F.min("row").alias("a"), F.max("row").alias("b"), F.max("long").alias("long")).filter((F.col("a") < F.col("b")) & (F.col("n") >= least("long")))
+    some = all_lines.join(_small(stored(often.select("h"), "often")), "h", "left_semi")
+    counted = recurrence(some.withColumn("at", F.struct("key", "row", "pos")), "h", (F.min, "at"), (F.max, "long"))
+    recurring = counted.filter(varied & (F.col("w") >= least("more1"))).select("h", F.col("more0").alias("first"))
 
     # leaves: what differs from line to line beyond the masked fields
-    grown = recurrence(all_lines.filter("leaf is not null"), "leaf", (F.min, "h"), (F.max, "h"))
-    leaves = stored(grown.filter(varied & (F.col("w") >= min_contexts) & (F.col("more0") < F.col("more1"))).select("leaf"), "leaves")
-    few = F.broadcast(leaves) if leaves.count() <= BROADCAST_LEAVES else leaves
+    wide = all_lines.filter("leaf is not null").groupBy("leaf").agg(F.count("*").alias("n"), F.min("row").alias("a"), F.max("row").alias("b"), F.min("h").alias("c"), F.max("h").alias("d")).filter((F.col("a") < F.col("b")) & (F.col("c") < F.col("d")) & (F.col("n") >= min_contexts))
+    grown = recurrence(all_lines.join(_small(stored(wide.select("leaf"), "wide")), "leaf", "left_semi"), "leaf")
+    leaves = stored(grown.filter(varied & (F.col("w") >= min_contexts)).select("leaf"), "leaves")
+    few = _small(leaves)
     weights = all_lines.join(few, "leaf").groupBy("leaf", "h").agg(F.count_distinct("context").alias("w"))
-    texts = leafed.select("leaf", "n", "h", "m").filter("leaf is not null").join(few, "leaf").groupBy("leaf", "n", "h").agg(F.first("m").alias("m"))
+    texts = leafed(plain_lines(docs, text), min_tokens).withColumn("h", F.xxhash64("m")).filter("leaf is not null").join(few, "leaf").groupBy("leaf", "n", "h").agg(F.first("m").alias("m"))
     distinct = stored(texts.join(weights, ["leaf", "h"]), "leafed")
     places = distinct.select("leaf", "n", "w", F.posexplode(F.split("m", " ")).alias("place", "token"))
     mass = places.groupBy("leaf", "n", "place", "token").agg(F.sum("w").alias("w"))
