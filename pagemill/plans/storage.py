@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..catalog import query
+from ..sources.shared import shared_dir
+from ..sources.store import SampleStore
 from .fixtures import table
 
 
@@ -35,3 +39,29 @@ def json_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = table(spark, sf_dir, "events").select(F.to_json(F.struct("event_type", F.struct("value").alias("m"))).alias("j"))
     back = e.select(F.from_json("j", "event_type string, m struct<value: double>").alias("r"))
     return back.groupBy("r.event_type").agg(F.count("*").alias("n"), F.round(F.sum("r.m.value"), 4).alias("total"))
+
+
+def _stored(spark: SparkSession, sf_dir: str) -> tuple[SampleStore, str]:
+    """A store of the documents by source, and the name of its first dataset."""
+    store = SampleStore(spark, f"{shared_dir(spark)}/samples-{uuid.uuid4().hex}")
+    docs = table(spark, sf_dir, "documents").select("doc_id", "lang", "n_chars", "source")
+    store.write_all(docs, "source")
+    return store, docs.agg(F.min("source")).first()[0]
+
+
+@query("SELECT doc_id, lang FROM documents WHERE source = (SELECT min(source) FROM documents)")
+def partition_prune(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One dataset of a partitioned store; no other folder is read."""
+    store, name = _stored(spark, sf_dir)
+    return store.read(name).select("doc_id", "lang")
+
+
+@query("SELECT min(source) AS dataset, 1::BIGINT AS files, 2 * count(*) FILTER (source = (SELECT min(source) FROM documents)) AS rows FROM documents")
+def compact_partition(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A dataset that was appended to, in one file."""
+    store, name = _stored(spark, sf_dir)
+    more = table(spark, sf_dir, "documents").filter(F.col("source") == name).select("doc_id", "lang", "n_chars", "source")
+    store.append(name, more)
+    store.compact(name)
+    spark.catalog.clearCache()
+    return store.stats().filter(F.col("dataset_name") == name).select(F.col("dataset_name").alias("dataset"), "files", "rows")

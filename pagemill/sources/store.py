@@ -51,13 +51,26 @@ class SampleStore:
         fs, p = self._fs(self._part(dataset))
         return fs.delete(p, True)
 
-    def compact(self, dataset: str, files: int = 1) -> None:
-        """Rewrite a dataset into few files: written beside it, then put in its place."""
-        part, aside = self._part(dataset), f"{self.root}/_compact_{safe_name(dataset)}"
-        self.spark.read.parquet(part).repartition(files).write.mode("overwrite").parquet(aside)
+    def write_all(self, samples: DataFrame, dataset: str) -> None:
+        """Write the samples of all datasets at once, a folder for each value of the column dataset; folders that are there are replaced."""
+        name = F.regexp_replace(F.regexp_replace(F.lower(F.trim(F.col(dataset).cast("string"))), "[^a-z0-9.-]+", "_"), "^_+|_+$", "")
+        rows = samples.withColumn("dataset_name", name)
+        rows.repartition("dataset_name").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("dataset_name").parquet(self.root)
+
+    def compact(self, dataset: str, files: int = 1) -> int:
+        """Rewrite a dataset into few files; its rows. The new files are complete before the old ones are moved aside, and these go only when the new ones are
+        in place, so a crash leaves either of them whole."""
+        part = self._part(dataset)
+        new, old = (f"{self.root}/_{kind}_{safe_name(dataset)}" for kind in ("compact", "before"))
+        self.spark.read.parquet(part).repartition(files).write.mode("overwrite").parquet(new)
+        rows = self.spark.read.parquet(new).count()
         fs, p = self._fs(part)
-        fs.delete(p, True)
-        fs.rename(self.spark._jvm.org.apache.hadoop.fs.Path(aside), p)
+        path = self.spark._jvm.org.apache.hadoop.fs.Path
+        fs.delete(path(old), True)
+        if not (fs.rename(p, path(old)) and fs.rename(path(new), p)):
+            raise OSError(f"{part} couldn't be replaced; its files are in {old}")
+        fs.delete(path(old), True)
+        return rows
 
 
 def read_jsonl(spark: SparkSession, path: str, schema: str, key: str = "filename") -> DataFrame:
