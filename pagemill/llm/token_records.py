@@ -32,6 +32,8 @@ CRC32C_POLYNOMIAL = 0x82F63B78
 MASK_DELTA = 0xA282EAD8
 
 _BLOCK = 512
+#: Chunks that a Python worker keeps, of about 200 bytes each.
+CACHE_ENTRIES = 1_200_000
 
 
 def _table16() -> np.ndarray:
@@ -141,7 +143,7 @@ def write_records(docs: DataFrame, out_dir: str, tokenizer: str, end_id: int = 1
         shard = TaskContext.get().partitionId()
         fs, folder = file_system(out_dir)
         name = f"shard-{shard:07d}-{uuid.uuid4().hex}"
-        encode, end = encoder(tokenizer, id_dtype), np.array([end_id], id_dtype).tobytes()
+        encode, end = encoder(tokenizer, id_dtype, CACHE_ENTRIES), np.array([end_id], id_dtype).tobytes()
         width = bytes([np.dtype(id_dtype).itemsize])
         data, index, at, docs_n, tokens_n = None, None, 0, 0, 0
         for batch in batches:

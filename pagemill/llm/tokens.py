@@ -132,10 +132,10 @@ class ChunkEncoder:
         return out
 
 
-def encoder(path: str, dtype: str = "<u4") -> ChunkEncoder:
+def encoder(path: str, dtype: str = "<u4", cache_entries: int = 600_000) -> ChunkEncoder:
     """One encoder for a Python worker, so that its cache lasts over the tasks it runs."""
     if (path, dtype) not in _ENCODERS:
-        _ENCODERS[path, dtype] = ChunkEncoder(path, dtype)
+        _ENCODERS[path, dtype] = ChunkEncoder(path, dtype, cache_entries)
     return _ENCODERS[path, dtype]
 
 
