@@ -87,13 +87,16 @@ def pdf_type(n_chars: Column, n_images: Column, least: int = 100, most: int = 50
 
 
 def detector_confidence(votes: Column) -> Column:
-    """point, lower, upper, variance, agreement, reason of the votes (language, confidence) of a text's detectors; votes of no confidence count for the language only."""
+    """point, lower, upper, variance, agreement, reason of the votes (language, confidence) of a text's detectors; votes of no confidence count for the language only.
+
+    Mean and variance meet their thresholds rounded to nine digits, so that a sum's last bit doesn't decide.
+    """
     sure = F.filter(F.transform(votes, lambda v: v["confidence"]), lambda c: c > 0)
     n = F.size(sure)
     total = F.aggregate(sure, F.lit(0.0), lambda a, c: a + c)
     mean = total / n
     var = F.aggregate(sure, F.lit(0.0), lambda a, c: a + (c - mean) * (c - mean)) / n
     agree = F.size(F.array_distinct(F.filter(F.transform(votes, lambda v: v["language"]), lambda x: x != "und"))) <= 1
-    reason = F.when(F.size(votes) == 0, "no_detector_votes").when(n == 0, "zero_confidence_votes").when(mean < 0.6, "low_confidence").when(var > 0.3, "high_variance").when(~agree, "detector_disagreement")
+    reason = F.when(F.size(votes) == 0, "no_detector_votes").when(n == 0, "zero_confidence_votes").when(F.round(mean, 9) < 0.6, "low_confidence").when(F.round(var, 9) > 0.3, "high_variance").when(~agree, "detector_disagreement")
     known = n > 0
     return F.struct(F.when(known, mean).alias("point"), F.when(known, F.array_min(sure)).otherwise(0.0).alias("lower"), F.when(known, F.array_max(sure)).alias("upper"), F.when(known, var).otherwise(1.0).alias("variance"), (known & agree).alias("agreement"), reason.alias("reason"))

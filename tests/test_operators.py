@@ -80,3 +80,14 @@ def test_rasters_hold_whole_texts(spark, monkeypatch):
     assert all(len(got[k].data) == got[k].height * 32 for k in (0, 1, 3, 4, 5))
     assert all(bytes(got[k].data).rstrip() == texts[k].encode() for k in (3, 4, 5))
     assert {r.doc_id for r in labels.raster_laplacian(spark, "").collect()} == set(range(6))
+
+
+def test_detector_variance_at_its_threshold(spark):
+    from pagemill.operators.routing import detector_confidence
+
+    # population variance 0.3, which a sum of doubles exceeds in its last bit
+    votes = [("a", 0.0487), ("b", 0.1287), ("c", 0.8887), ("d", 1.3687)]
+    for some in (votes, votes[::-1]):
+        df = spark.createDataFrame([(some,)], "votes array<struct<language string, confidence double>>")
+        c = df.select(detector_confidence(df.votes).alias("c")).first().c
+        assert round(c.variance, 9) == 0.3 and c.reason == "detector_disagreement"
