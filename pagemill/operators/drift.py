@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 import numpy as np
 from pyspark.sql import Column, DataFrame, WindowSpec
 from pyspark.sql import functions as F
@@ -71,6 +73,14 @@ def mahalanobis(vector: Column, mean: np.ndarray, precision: np.ndarray) -> Colu
     return F.sqrt(F.aggregate(dots, F.lit(0.0), lambda a, x: a + x * x))
 
 
+def diagonal(vector: Column, mean: Sequence[float], variance: Sequence[float]) -> Column:
+    """Distance of a vector by the variances alone, over the components that it has; null without any. The sum goes over arrays, so the expression has a fixed size."""
+    m, v = (F.lit([float(c) for c in x]).cast("array<double>") for x in (mean, variance))
+    d = F.zip_with(vector.cast("array<double>"), m, lambda x, c: x - c)
+    terms = F.filter(F.zip_with(d, v, lambda x, c: x * x / c), lambda t: t.isNotNull())
+    return F.when(F.size(terms) > 0, F.sqrt(F.aggregate(terms, F.lit(0.0), lambda a, x: a + x)))
+
+
 def score_trend(score: Column, by: WindowSpec, window: int = 3, threshold: float = 2.0) -> Column:
     """How the score of each row stands to the first of the last `window` ones; by: partition and order of a history."""
     near = by.rowsBetween(1 - window, 0)

@@ -187,7 +187,7 @@ def ood_diagonal(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = table(spark, sf_dir, "embeddings")
     x = [F.col("embedding")[i].cast("double") for i in range(64)]
     row = e.agg(*(F.avg(c) for c in x), *(F.var_pop(c) for c in x)).first()  # 128 numbers
-    d = e.select("vec_id", F.sqrt(sum(((c - m) * (c - m) / v for c, m, v in zip(x, row[:64], row[64:], strict=True)), F.lit(0.0))).alias("distance"))
+    d = e.select("vec_id", drift.diagonal(F.col("embedding"), row[:64], row[64:]).alias("distance"))
     bound = percentiles(d, "distance", {"p": 0.95}).first()[0]
     return d.select("vec_id", F.round("distance", 4).alias("distance"), (F.col("distance") > bound).alias("outlier"))
 

@@ -1,4 +1,5 @@
 import numpy as np
+from pyspark.sql import functions as F
 
 from pagemill.operators import drift, evaluation, splits
 from pagemill.sources import store
@@ -91,3 +92,18 @@ def test_detector_variance_at_its_threshold(spark):
         df = spark.createDataFrame([(some,)], "votes array<struct<language string, confidence double>>")
         c = df.select(detector_confidence(df.votes).alias("c")).first().c
         assert round(c.variance, 9) == 0.3 and c.reason == "detector_disagreement"
+
+
+def test_diagonal_distance_stays_small(spark):
+    from pagemill.operators.prefix import percentiles
+
+    rows = [(k, [float((k * j) % 7) for j in range(64)]) for k in range(40)] + [(40, None), (41, [1.0, None] + [0.0] * 62)]
+    mean, var = [1.0] * 64, [4.0] * 64
+    df = spark.createDataFrame(rows, "k long, v array<float>").select("k", drift.diagonal(F.col("v"), mean, var).alias("d"))
+    got = {r.k: r.d for r in df.collect()}
+    assert got[40] is None and abs(got[41] - (62 / 4) ** 0.5) < 1e-12
+    assert all(abs(got[k] - sum((x - 1) ** 2 / 4 for x in v) ** 0.5) < 1e-9 for k, v in rows[:40])
+    bound = percentiles(df, "d", {"p": 0.95})
+    assert abs(bound.first().p - np.quantile([d for d in got.values() if d is not None], 0.95)) < 1e-9
+    # the bounds of the ranges don't each bring the distance with them into a filter
+    assert len(bound._jdf.queryExecution().optimizedPlan().toString()) < 200_000
