@@ -278,3 +278,22 @@ def test_quality_stage_keeps_what_the_model_says(spark, corpus_pipeline):
     model = ordinal_quality.train(docs, spark.read.parquet(f"{sf}/labels.parquet"))
     tail = {r.doc_id: float(model.tail(model.scores([(r.text or "").encode()]))[0, -1]) for r in docs.collect()}
     assert {r.doc_id for r in corpus_pipeline.quality(spark, docs, sf).collect()} == {k for k, p in tail.items() if p >= 0.5}
+
+
+def test_passages_meet_every_partner(spark):
+    """b is like a and like c, which are less alike: that b was verified with a doesn't take it away from c."""
+    rng = np.random.default_rng(7)
+
+    def words(n):
+        return ["".join(map(chr, 97 + rng.integers(0, 16, 7))) for _ in range(n)]
+
+    docs = []
+    for g in range(40):
+        passage = words(60)
+        for j, edit in ((0, 20), (1, None), (2, 40)):
+            own = [w if k != edit else words(1)[0] for k, w in enumerate(passage)]
+            docs.append((3 * g + j, " ".join(words(40) + own + words(40))))
+    got = {(r.other, r.doc_id) for r in passages.near_duplicate_passages(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    assert not any((3 * g, 3 * g + 2) in got for g in range(40))
+    for a, b in ((0, 1), (1, 2)):
+        assert sum((3 * g + a, 3 * g + b) in got for g in range(40)) >= 39
