@@ -8,6 +8,7 @@ encoded whole. Natural text repeats chunks, so most of them come from the cache.
 from __future__ import annotations
 
 import os
+from string import punctuation
 
 import numpy as np
 
@@ -16,6 +17,16 @@ _ENCODERS: dict[tuple, ChunkEncoder] = {}
 MARK = "\x01"
 
 
+def _byte_letters() -> dict[int, str]:
+    """Letters below U+0250 as the characters that byte-level tokenizers have for their bytes."""
+    own = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    of = {b: chr(b) for b in own} | {b: chr(256 + k) for k, b in enumerate(x for x in range(256) if x not in set(own))}
+    return {c: "".join(of[b] for b in chr(c).encode()) for c in range(128, 0x250)}
+
+
+_BYTES = _byte_letters()
+
+
 class ChunkEncoder:
     """ids(text) gives the ids as little-endian bytes of dtype.
 
@@ -33,11 +44,16 @@ class ChunkEncoder:
             raise ValueError(f"ids of {path} don't fit into {dtype}")
         self.cache: dict[str, bytes | None] = {}
         self.again: set[str] = set()
-        self.tails: dict[str, bytes] = {}
         # the first characters of the added tokens' strings, in small letters, as a normalizer may change a text's
         self.special = sorted({t.content[:2].lower() for t in self.tokenizer.get_added_tokens_decoder().values()})
         self.cased = any(x.upper() != x for x in self.special)
         self.mark = self.tokenizer.encode(" " + MARK, add_special_tokens=False).ids
+        self.line = self._encode(["\n"])[0]
+        # what a word is before the merges: what stands before it for the blank (None: of another kind), and whether it's in small letters
+        plain = " Abé" if self.tokenizer.normalizer is None else self.tokenizer.normalizer.normalize_str(" Abé")
+        made = [x for x, _ in self.tokenizer.pre_tokenizer.pre_tokenize_str(plain)] if self.tokenizer.pre_tokenizer else []
+        forms = {(lead + word.translate(_BYTES),): (lead, word == "abé") for lead in ("", "Ġ") for word in ("Abé", "abé")}
+        self.lead, self.small = forms.get(tuple(made), (None, False))
 
     def _encode(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, self.dtype).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
@@ -58,27 +74,54 @@ class ChunkEncoder:
             out += [ids[i:j].tobytes() for i, j in zip(begins, ends, strict=True)]
         return out
 
+    def _word(self, word: str, lead: str) -> list[int] | None:
+        """ids of a word of Latin letters by the merges alone, lead before it; None for other words, and if the tokenizer is of another kind."""
+        if self.lead is None or not word.isalpha() or not word.isascii() and max(word) >= "\u0250":
+            return None
+        word = word.lower() if self.small else word
+        if not word.isascii():
+            if not word.isalpha():  # small letters with a mark of their own
+                return None
+            word = word.translate(_BYTES)
+        return [t.id for t in self.tokenizer.model.tokenize(lead + word)]
+
+    @staticmethod
+    def _pieces(chunk: str) -> list[str]:
+        """Keys of the pieces that a chunk is made of. The pre-tokenizer cuts before ASCII marks after a Latin letter, and before a single line break.
+
+        No chunk holds a blank, so one at the end tells pieces that don't stand after a blank.
+        """
+        out = []
+        for n, line in enumerate(chunk.split("\n")):
+            core = line.rstrip(punctuation)
+            if not core or not core[-1].isalpha() or core[-1] >= "\u0250" or n and core[0].isspace():
+                return [chunk]
+            out.append(f"\n{core} " if n else core)
+            if core != line:
+                out.append(line[len(core) :] + " ")
+        return out
+
     def _learn(self, chunks: list[str]) -> None:
-        """Put chunks into the cache. Points and commas after a Latin letter are a word of their own for the pre-tokenizer, and are split off."""
-        cache, tails = self.cache, self.tails
-        split = []
-        plain = set()
-        for c in chunks:
-            core = c.rstrip(".,")
-            if core and core != c and core[-1] < "\u0250" and core[-1].isalpha():
-                split.append((c, core, c[len(core) :]))
-                if core not in cache:
-                    plain.add(core)
+        """Put chunks and their pieces into the cache."""
+        cache = self.cache
+        made = [(c, self._pieces(c)) for c in chunks]
+        rest, marked, words, flat, ends = [], [], [], [], [0]
+        for k in set().union(*(p for _, p in made)).difference(cache):
+            ids = self._word(k[1:-1], "") if k[0] == "\n" and k[-1] == " " else None if k[-1] == " " else self._word(k, self.lead or "")
+            if ids is None:
+                (rest if k[-1] == " " else marked).append(k)
             else:
-                plain.add(c)
-        new = list(plain)
-        cache.update(zip(new, self._encode_chunks(new), strict=True))
-        for tail in {t for *_, t in split} - tails.keys():
-            tails[tail] = self._encode([tail])[0]
-        cache.update([(c, cache[core] + tails[tail]) for c, core, tail in split])
+                words.append(k)
+                flat += ids
+                ends.append(len(flat) * self.dtype.itemsize)
+        joined = np.array(flat, self.dtype).tobytes()
+        cache.update([(k, self.line + joined[a:b] if k[0] == "\n" else joined[a:b]) for k, a, b in zip(words, ends, ends[1:], strict=False)])
+        cache.update(zip(marked, self._encode_chunks(marked), strict=True))
+        cache.update(zip(rest, self._encode([k[:-1] for k in rest]), strict=True))
+        cache.update([(c, b"".join([cache[k] for k in p])) for c, p in made if len(p) > 1])
 
     def _bounded(self) -> dict[str, bytes | None]:
-        """The cache; when it's full, only chunks stay that were met again since it last was."""
+        """The cache; when it's full, only chunks stay that were met again since it was half full."""
         if len(self.cache) > self.limit:
             some = {c: self.cache[c] for c in self.again if c in self.cache} if len(self.again) <= self.limit * 3 // 4 else {}
             self.cache, self.again = some, set()
@@ -111,7 +154,8 @@ class ChunkEncoder:
         chunks = set().union(*parts)
         cache = self._bounded()
         missing = chunks.difference(cache)
-        self.again |= chunks.difference(missing)
+        if len(cache) > self.limit // 2:
+            self.again |= chunks.difference(missing)
         if missing:
             # what ends in white space, and so what is empty too, can't be followed by a cut: None sends the text to the slow way
             cache.update(dict.fromkeys(c for c in missing if not c or c[-1].isspace()))

@@ -297,3 +297,19 @@ def test_passages_meet_every_partner(spark):
     assert not any((3 * g, 3 * g + 2) in got for g in range(40))
     for a, b in ((0, 1), (1, 2)):
         assert sum((3 * g + a, 3 * g + b) in got for g in range(40)) >= 39
+
+
+@pytest.mark.parametrize(("name", "dtype"), [("word_bpe_49k.json", "<u2"), ("byte_bpe_50k.json", "<u4")])
+def test_chunks_are_made_of_words(name, dtype, monkeypatch):
+    """Words of Latin letters, also beside marks and line breaks, need no text of their own; ids are those of the plain call."""
+    from pagemill.llm.tokens import ChunkEncoder, public_tokenizer
+
+    encode = ChunkEncoder(public_tokenizer(name), dtype)
+    slow = []
+    monkeypatch.setattr(encode, "_encode_chunks", lambda chunks, f=encode._encode_chunks: slow.extend(chunks) or f(chunks))
+    plain = ["one two, three!!\nFour été.\nÉcole Straße&&& five"]
+    odd = ["a\n\nb", "a\r\nb c.\r\n d", "x \ny's don't 'x' İx é.́ 日本.\n日 12.\n3 a.'s\nb\t\nc", " lead x_y.\n", "\nstart of.\n\tit"]
+    got = encode.batch(plain)
+    assert not slow
+    want = [np.array(x.ids, dtype).tobytes() for x in encode.tokenizer.encode_batch_fast(plain + odd, add_special_tokens=False)]
+    assert got + encode.batch(odd) == want
