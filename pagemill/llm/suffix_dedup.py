@@ -5,7 +5,7 @@ those are found without sorting all suffixes of the corpus:
 
 1. Each window of `length` bytes has an anchor, its 32-byte string of smallest hash, the leftmost of several. Equal windows have equal anchors
    at the same place, and about 3 positions in 100 are anchors. Their hashes are counted with pre-aggregation, and a bitmap of
-   fixed size (8 MB, two probes) takes the hashes that occur more than once. What passes by chance is sorted out below.
+   8 to 64 MB (two probes, 16 bits or more a hash up to 33 million hashes) takes the hashes that occur more than once. What passes by chance is sorted out below.
 2. The context of an anchor is the text of all windows that have it. Of equal contexts all but the earliest repeat it whole. Where an anchor has several
    contexts, their earliest copies are cut to the windows that another one may hold too, and suffix arrays over them are built: sampled triples are
    sorted and named, the string of names is sorted by recursion while names repeat, the remaining suffixes are sorted by a byte and the rank behind it, and
@@ -32,11 +32,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import drop_path, in_pieces, in_slices, mix64, small_batches, span_hashes, store, stored
+from .common import drop_path, in_pieces, in_slices, mix64, shuffles_dropped, small_batches, span_hashes, store, stored
 from .suffix_array import equal_prefixes, prefix_classes
 
 ANCHOR = 32
-_BITS = 26
+#: Bits of a bitmap: as many as its hashes ask for, from 8 MB to 64 MB. A task puts together blocks of 2 ^ _BLOCK_BITS bits.
+_BITS, _MOST_BITS, _BLOCK_BITS = 26, 29, 18
 _LOW = np.uint64((1 << 28) - 1)
 
 
@@ -93,8 +94,8 @@ def _anchors(of: np.ndarray, offset: np.ndarray, parts: list[bytes], length: int
     return of[part], start[first] + back, start[last] + back, h[at[first]], at[first] + back, context
 
 
-def _probes(h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    return tuple((mix64(h + np.uint64(k)) >> np.uint64(64 - _BITS)).astype(np.int64) for k in (1, 2))
+def _probes(h: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
+    return tuple((mix64(h + np.uint64(k)) >> np.uint64(64 - bits)).astype(np.int64) for k in (1, 2))
 
 
 def repeated_anchors(rows: DataFrame, length: int) -> np.ndarray:
@@ -111,25 +112,41 @@ def repeated_anchors(rows: DataFrame, length: int) -> np.ndarray:
     return _bits_of(counted.select("h"))
 
 
-def _bits_of(hashes: DataFrame) -> np.ndarray:
-    """Bitmap of a column of hashes, with two bits for each; so many words at most come to the driver, whatever the table's size."""
+def _bits_of(hashes: DataFrame, least: int = _BITS, most: int = _MOST_BITS) -> np.ndarray:
+    """Bitmap of a column of hashes, with two bits for each among 16 or more, in 2^least to 2^most bits. Tasks put its blocks together."""
+    spark = hashes.sparkSession
+    table, path = store(hashes, "hashes")
+    size = min(most, max(least, (16 * table.count()).bit_length()))
 
-    def bits(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def probed(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            probe = np.unique(np.concatenate(_probes(batch.column(0).to_numpy().view(np.uint64))))
-            word, first = np.unique(probe >> 5, return_index=True)
-            mask = np.bitwise_or.reduceat(np.int64(1) << (probe & 31), first) if len(word) else np.zeros(0, np.int64)
-            yield pa.RecordBatch.from_pydict({"word": word.astype(np.int32), "mask": mask})
+            probe = np.concatenate(_probes(batch.column(0).to_numpy().view(np.uint64), size))
+            yield pa.RecordBatch.from_pydict({"block": (probe >> _BLOCK_BITS).astype(np.int32), "bit": (probe & ((1 << _BLOCK_BITS) - 1)).astype(np.int32)})
 
-    out = np.zeros(1 << (_BITS - 5), "<u4")
-    got = hashes.mapInArrow(bits, "word int, mask long").groupBy("word").agg(F.bit_or("mask").alias("mask")).toArrow()
-    out[got.column("word").to_numpy()] = got.column("mask").to_numpy().astype(np.uint32)
-    return out.view(np.uint8)
+    def blocks(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        made: dict[int, np.ndarray] = {}
+        for batch in batches:
+            block, bit = (batch.column(k).to_numpy() for k in (0, 1))
+            order = np.argsort(block, kind="stable")
+            block, bit = block[order], bit[order]
+            first = np.flatnonzero(np.diff(block, prepend=-1))
+            for k, i, j in zip(block[first].tolist(), first.tolist(), [*first[1:].tolist(), len(block)], strict=True):
+                made.setdefault(k, np.zeros(1 << _BLOCK_BITS, bool))[bit[i:j]] = True
+        for k, x in made.items():
+            yield pa.RecordBatch.from_pydict({"block": pa.array([k], pa.int32()), "bits": pa.array([np.packbits(x, bitorder="little").tobytes()], pa.binary())})
+
+    out = np.zeros(1 << (size - 3), np.uint8)
+    with shuffles_dropped(spark):
+        got = table.mapInArrow(probed, "block int, bit int").repartition("block").mapInArrow(blocks, "block int, bits binary").toArrow()
+    for k, x in zip(got.column("block").to_pylist(), got.column("bits").to_pylist(), strict=True):
+        out[k << (_BLOCK_BITS - 3) : (k + 1) << (_BLOCK_BITS - 3)] = np.frombuffer(x, np.uint8)
+    drop_path(spark, path)
+    return out
 
 
 def _passes(marks: np.ndarray, h: np.ndarray) -> np.ndarray:
     hit = np.ones(len(h), bool)
-    for p in _probes(h):
+    for p in _probes(h, len(marks).bit_length() + 2):
         hit &= (marks[p >> 3] >> (p & 7).astype(np.uint8)) & 1 == 1
     return hit
 
@@ -140,7 +157,7 @@ def _place(key: np.ndarray, lo: np.ndarray, h: np.ndarray) -> np.ndarray:
 
 def _contexts(rows: DataFrame, repeated: np.ndarray, length: int) -> DataFrame:
     """key, row, lo, hi (windows), h, context (hash of their bytes) of the anchors that the bitmap lets pass."""
-    shared = rows.sparkSession.sparkContext.broadcast(repeated)  # 2^_BITS bits
+    shared = rows.sparkSession.sparkContext.broadcast(repeated)  # 64 MB at most
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -156,7 +173,7 @@ def _contexts(rows: DataFrame, repeated: np.ndarray, length: int) -> DataFrame:
 
 def _context_bytes(rows: DataFrame, places: np.ndarray, length: int) -> DataFrame:
     """key, row, lo, h, at (the anchor's place in the bytes), bytes of the contexts whose places the bitmap lets pass."""
-    shared = rows.sparkSession.sparkContext.broadcast(places)  # 2^_BITS bits
+    shared = rows.sparkSession.sparkContext.broadcast(places)  # 64 MB at most
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -281,13 +298,15 @@ def repeated_windows(docs: DataFrame, length: int = 100, key: str = "doc_id", te
     small_batches(spark)
     plain = F.col(text).cast("string")
     rows = docs.select(F.coalesce(F.col(key).cast("long"), F.lit(-(1 << 63))).alias("key"), F.xxhash64(plain).alias("row"), F.encode(plain, "UTF-8").alias("text"))
-    found = stored(_contexts(rows, repeated_anchors(rows, length), length), "contexts")
+    found, all_contexts = store(_contexts(rows, repeated_anchors(rows, length), length), "contexts")
     here = F.struct("key", "row", "lo")
-    earliest, path = store(found.groupBy("h", "context").agg(F.min(here).alias("at")), "earliest")
-    later = found.join(earliest, ["h", "context"]).filter(here != F.col("at")).select("key", "row", F.col("lo").alias("from"), F.col("hi").alias("to"))
+    earliest, firsts = store(found.groupBy("h", "context").agg(F.min(here).alias("at")), "earliest")
+    later = stored(_merged(found.join(earliest, ["h", "context"]).filter(here != F.col("at")).select("key", "row", F.col("lo").alias("from"), F.col("hi").alias("to"))), "later")
+    drop_path(spark, all_contexts)
     # anchors with several contexts: the text of the earliest copy of each is looked at again
     several = earliest.groupBy("h").agg(F.count("*").alias("n")).filter("n > 1").select("h")
     places = _bits_of(_places(earliest.join(several, "h").select("at.key", "at.lo", "h")))
+    drop_path(spark, firsts)
     looked, seen = store(_context_bytes(rows, places, length), "texts")
     held = stored(_trimmed(looked, length), "trimmed")
     drop_path(spark, seen)
@@ -295,15 +314,42 @@ def repeated_windows(docs: DataFrame, length: int = 100, key: str = "doc_id", te
     repeats = _decide(held.join(large, "h", "left_anti"), length)
     if not large.isEmpty():
         repeats = repeats.unionByName(_decide_sorted(held.join(large, "h", "left_semi"), length, small))
-    return repeats.unionByName(later)
+    each = F.arrays_zip(F.col("begins").alias("from"), F.col("ends").alias("to"))
+    return repeats.unionByName(later.select("key", "row", F.inline(each)))
+
+
+def _merged(spans: DataFrame) -> DataFrame:
+    """key, row, begins, ends of the intervals (key, row, from, to) of a document, those that touch each other as one."""
+    lists = spans.groupBy("key", "row").agg(F.collect_list(F.struct("from", "to")).alias("spans"))
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            n = batch.num_rows
+            if not n:
+                continue
+            owner = np.repeat(np.arange(n), batch.column(2).value_lengths().to_numpy())
+            begin, end = (x.to_numpy() for x in batch.column(2).flatten().flatten())
+            order = np.lexsort((begin, owner))
+            owner = owner[order]
+            base = owner << 40
+            begin, top = begin[order] + base, np.maximum.accumulate(end[order] + base)
+            new = np.ones(len(owner), bool)
+            new[1:] = begin[1:] > top[:-1] + 1
+            first = np.flatnonzero(new)
+            last = np.append(first[1:], len(owner))[: len(first)] - 1
+            cuts = pa.array(np.searchsorted(owner[first], np.arange(n + 1)).astype(np.int32))
+            arrays = [pa.ListArray.from_arrays(cuts, pa.array(x)) for x in (begin[first] - base[first], top[last] - base[first])]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *arrays], names=["key", "row", "begins", "ends"])
+
+    return lists.mapInArrow(run, "key long, row long, begins array<long>, ends array<long>")
 
 
 def cut(docs: DataFrame, length: int = 100, key: str = "doc_id", text: str = "text", **limits) -> DataFrame:
     """key, kept (bytes that are left), n_bytes, n_removed, n_spans. limits: those of repeated_windows."""
     plain = F.col(text).cast("string")
-    spans = repeated_windows(docs, length, key, text, **limits).groupBy("key", "row").agg(F.collect_list(F.struct("from", "to")).alias("spans"))
+    spans = stored(_merged(repeated_windows(docs, length, key, text, **limits)), "spans")
     rows = docs.select(F.col(key).alias("id"), F.coalesce(F.col(key).cast("long"), F.lit(-(1 << 63))).alias("key"), F.xxhash64(plain).alias("row"), F.encode(F.coalesce(plain, F.lit("")), "UTF-8").alias("text"))
-    joined = rows.join(spans, ["key", "row"], "left").select("id", "text", F.col("spans.from").alias("begins"), F.col("spans.to").alias("ends"))
+    joined = rows.join(spans, ["key", "row"], "left").select("id", "text", "begins", "ends")
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -2,6 +2,7 @@
 
 import re
 from collections import Counter, defaultdict
+from pathlib import Path
 
 import numpy as np
 import pytest
@@ -10,7 +11,7 @@ pytest.importorskip("pagemill.llm")
 
 from pyspark.sql import functions as F  # noqa: E402
 
-from pagemill.llm import decontamination, line_templates, ordinal_quality, passages, toxicity  # noqa: E402
+from pagemill.llm import common, decontamination, line_templates, ordinal_quality, passages, suffix_dedup, toxicity  # noqa: E402
 
 WORDS = np.array([f"{a}{b}" for a in ("ka", "lo", "mi", "ru", "te", "so", "na", "pe") for b in ("ba", "di", "fo", "gu", "he", "ji", "ko", "lu")])
 
@@ -313,3 +314,34 @@ def test_chunks_are_made_of_words(name, dtype, monkeypatch):
     assert not slow
     want = [np.array(x.ids, dtype).tobytes() for x in encode.tokenizer.encode_batch_fast(plain + odd, add_special_tokens=False)]
     assert got + encode.batch(odd) == want
+
+
+# ---------------------------------------------------------------- disk
+
+
+def test_stored_tables_leave_no_shuffle_files(spark):
+    def shuffled():
+        dirs = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirs()
+        return {p for d in dirs for p in Path(d.getPath()).rglob("shuffle_*.data")}
+
+    before = shuffled()
+    table = common.stored(spark.range(50_000).groupBy((F.col("id") % 9000).alias("k")).count().repartition(7, "k"))
+    assert table.count() == 9000
+    grown = spark.range(100).repartition(3).groupBy("id").count()
+    assert not {p for p in shuffled() - before if p.stat().st_size > 10_000}
+    assert grown.count() == grown.count() == 100
+
+
+def test_bitmap_grows_with_its_hashes(spark):
+    """6 million hashes had 2 of 64 million bits each, which let 3 in 100 others pass."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
+    hashes = np.arange(12_000_000, dtype=np.int64)
+    marks = suffix_dedup._bits_of(spark.range(6_000_000).select(F.col("id").alias("h")))
+    hit = suffix_dedup._passes(marks, hashes.view(np.uint64))
+    assert hit[:6_000_000].all() and hit[6_000_000:].mean() < 0.015
+
+
+def test_touching_intervals_are_one(spark):
+    rows = [(1, 5, 0, 3), (1, 5, 4, 9), (1, 5, 20, 30), (1, 5, 22, 25), (1, 6, 4, 4), (2, 5, 7, 8)]
+    got = {(r.key, r.row): (r.begins, r.ends) for r in suffix_dedup._merged(spark.createDataFrame(rows, "key long, row long, from long, to long")).collect()}
+    assert got == {(1, 5): ([0, 20], [9, 30]), (1, 6): ([4], [4]), (2, 5): ([7], [8])}
