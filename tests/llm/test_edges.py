@@ -11,7 +11,7 @@ pytest.importorskip("pagemill.llm")
 
 from pyspark.sql import functions as F  # noqa: E402
 
-from pagemill.llm import common, decontamination, line_templates, ordinal_quality, passages, suffix_dedup, toxicity  # noqa: E402
+from pagemill.llm import common, decontamination, line_templates, ngram_join, ordinal_quality, passages, suffix_dedup, toxicity  # noqa: E402
 
 WORDS = np.array([f"{a}{b}" for a in ("ka", "lo", "mi", "ru", "te", "so", "na", "pe") for b in ("ba", "di", "fo", "gu", "he", "ji", "ko", "lu")])
 
@@ -345,3 +345,12 @@ def test_touching_intervals_are_one(spark):
     rows = [(1, 5, 0, 3), (1, 5, 4, 9), (1, 5, 20, 30), (1, 5, 22, 25), (1, 6, 4, 4), (2, 5, 7, 8)]
     got = {(r.key, r.row): (r.begins, r.ends) for r in suffix_dedup._merged(spark.createDataFrame(rows, "key long, row long, from long, to long")).collect()}
     assert got == {(1, 5): ([0, 20], [9, 30]), (1, 6): ([4], [4]), (2, 5): ([7], [8])}
+
+
+def test_ngram_join_leaves_what_its_result_reads(spark):
+    folder = Path(common.shared_dir(spark).removeprefix("file://"))
+    before = set(folder.iterdir())
+    text = prose(1, 200)
+    docs = spark.createDataFrame([(1, text), (2, text + " more"), (3, prose(2, 30))], "doc_id long, text string")
+    assert {r.doc_id: r.component_id for r in ngram_join.jaccard_components(docs).collect()} == {1: 1, 2: 1, 3: 3}
+    assert not {p.name.split("-")[0] for p in set(folder.iterdir()) - before} & {"sets", "groups", "pairs"}
