@@ -354,3 +354,12 @@ def test_ngram_join_leaves_what_its_result_reads(spark):
     docs = spark.createDataFrame([(1, text), (2, text + " more"), (3, prose(2, 30))], "doc_id long, text string")
     assert {r.doc_id: r.component_id for r in ngram_join.jaccard_components(docs).collect()} == {1: 1, 2: 1, 3: 3}
     assert not {p.name.split("-")[0] for p in set(folder.iterdir()) - before} & {"sets", "groups", "pairs"}
+
+
+def test_passages_name_classes_without_all_pairs(spark):
+    """40 near copies of a text are a class of 40, not 780 pairs; the unlike text that holds half of it is none of them."""
+    text = prose(3, 0).split() + [f"w{x}" for x in np.random.default_rng(4).integers(0, 1 << 40, 120)]
+    docs = [(k, " ".join([w if i != 3 * k else f"n{k}" for i, w in enumerate(text)])) for k in range(40)] + [(99, " ".join(text[:30]) + " " + prose(5, 90))]
+    got = passages.near_duplicate_passages(spark.createDataFrame(docs, "doc_id long, text string")).collect()
+    assert {r.doc_id for r in got} | {r.other for r in got} == set(range(40)) and {r.class_id for r in got} == {0}
+    assert len({(r.doc_id, r.other) for r in got}) < 400
