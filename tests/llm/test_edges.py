@@ -363,3 +363,36 @@ def test_passages_name_classes_without_all_pairs(spark):
     got = passages.near_duplicate_passages(spark.createDataFrame(docs, "doc_id long, text string")).collect()
     assert {r.doc_id for r in got} | {r.other for r in got} == set(range(40)) and {r.class_id for r in got} == {0}
     assert len({(r.doc_id, r.other) for r in got}) < 400
+
+
+def test_passages_of_folded_texts_have_the_same_shingles():
+    """What periods leave out takes no set of a passage's shingles away, and a folded text's passage names words of the whole one that have its set."""
+    rng, span, folded = np.random.default_rng(11), 6, 0
+    for _ in range(400):
+        parts = []
+        for _ in range(rng.integers(1, 5)):
+            period = rng.integers(0, rng.choice([3, 1000]), rng.integers(1, 12)).tolist()
+            parts += (period * 60)[: rng.integers(1, 60)]
+        x = np.array(parts, np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+        h, n, _, seams = passages._folded(x, np.array([len(x)]), np.array([0]), span)
+        assert n.tolist() == [len(h)] and (len(h) < len(x)) == bool(seams)
+        if seams:
+            folded += 1
+            got = [{(frozenset(y[i:j].tolist()), i, j) for i in range(len(y)) for j in range(i + span, len(y) + 1)} for y in (x, h)]
+            assert {s for s, *_ in got[0]} == {s for s, *_ in got[1]}
+            for s, i, j in got[1]:
+                a, b = passages._unfolded(i, j, seams[0])
+                assert 0 <= a and b <= len(x) and s == set(x[a:b].tolist())
+    assert folded > 50
+
+
+def test_passages_of_repeated_words_and_blocks(spark):
+    """Texts that repeat a word or a block thousands of times have a few windows, and are found in full."""
+    block = " ".join(f"b{x}" for x in np.random.default_rng(12).integers(0, 1 << 40, 39))
+    docs = [(1, "again " * 6000), (2, prose(21, 60) + " again" * 3000), (3, f"{block} " * 200), (4, f"{prose(22, 60)} {block} {block} {block}"), (5, "once " * 60)]
+    text, *_, before, after = passages.compact_windows([t.encode() for _, t in docs], 50, 5, 5)
+    assert len(text) < 6000
+    got = {(r.doc_id, r.other): r for r in passages.near_duplicate_passages(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    assert set(got) == {(2, 1), (4, 3)}
+    assert got[2, 1].end == len(docs[1][1].split()) and got[2, 1].end - got[2, 1].begin >= 3000 and (got[2, 1].other_begin, got[2, 1].other_end) == (0, 6000)
+    assert got[4, 3].end - got[4, 3].begin >= 117 and got[4, 3].similarity >= 0.8
