@@ -7,6 +7,7 @@ encoded whole. Natural text repeats chunks, so most of them come from the cache.
 
 from __future__ import annotations
 
+import gc
 import os
 from string import punctuation
 
@@ -91,6 +92,8 @@ class ChunkEncoder:
 
         No chunk holds a blank, so one at the end tells pieces that don't stand after a blank.
         """
+        if chunk[:-1].isalpha() and chunk[-1] in punctuation and chunk[-2] < "\u0250":  # the usual case
+            return [chunk[:-1], chunk[-1] + " "]
         out = []
         for n, line in enumerate(chunk.split("\n")):
             core = line.rstrip(punctuation)
@@ -104,9 +107,16 @@ class ChunkEncoder:
     def _learn(self, chunks: list[str]) -> None:
         """Put chunks and their pieces into the cache."""
         cache = self.cache
-        made = [(c, self._pieces(c)) for c in chunks]
+        alone = {c for c in chunks if c.isalpha()}  # one piece
+        made = [(c, self._pieces(c)) for c in chunks if c not in alone]
         rest, marked, words, flat, ends = [], [], [], [], [0]
-        for k in set().union(*(p for _, p in made)).difference(cache):
+        plain, lead, small, tokenize = self.lead is not None, self.lead or "", self.small, self.tokenizer.model.tokenize
+        for k in alone.union(*(p for _, p in made)).difference(cache):
+            if plain and k.isascii() and k.isalpha():
+                words.append(k)
+                flat += [t.id for t in tokenize(lead + (k.lower() if small else k))]
+                ends.append(len(flat) * self.dtype.itemsize)
+                continue
             ids = self._word(k[1:-1], "") if k[0] == "\n" and k[-1] == " " else None if k[-1] == " " else self._word(k, self.lead or "")
             if ids is None:
                 (rest if k[-1] == " " else marked).append(k)
@@ -131,8 +141,20 @@ class ChunkEncoder:
         text = text.lower() if self.cased else text
         return any(x in text for x in self.special)
 
-    def batch(self, texts: list[str | None], chars: int = 1 << 20) -> list[bytes]:
-        """ids of each text; works through about chars characters at a time, so that memory is bounded."""
+    def batch(self, texts: list[str | None], chars: int = 1 << 21) -> list[bytes]:
+        """ids of each text; works through about chars characters at a time, so that memory is bounded.
+
+        The garbage collector pauses meanwhile: it would look through millions of strings again and again, and nothing in here refers to itself.
+        """
+        collects = gc.isenabled()
+        gc.disable()
+        try:
+            return self._batch(texts, chars)
+        finally:
+            if collects:
+                gc.enable()
+
+    def _batch(self, texts: list[str | None], chars: int) -> list[bytes]:
         out: list[bytes] = []
         start, size = 0, 0
         for k, text in enumerate(texts):

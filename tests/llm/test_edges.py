@@ -396,3 +396,23 @@ def test_passages_of_repeated_words_and_blocks(spark):
     assert set(got) == {(2, 1), (4, 3)}
     assert got[2, 1].end == len(docs[1][1].split()) and got[2, 1].end - got[2, 1].begin >= 3000 and (got[2, 1].other_begin, got[2, 1].other_end) == (0, 6000)
     assert got[4, 3].end - got[4, 3].begin >= 117 and got[4, 3].similarity >= 0.8
+
+
+@pytest.mark.parametrize("name", ["word_bpe_49k.json", "byte_bpe_50k.json"])
+def test_encoder_of_words_and_marks(name, monkeypatch):
+    """ids are those of the plain call; words of letters aren't taken apart, and no collection runs over the strings."""
+    import gc
+
+    from pagemill.llm import tokens
+
+    encode = tokens.ChunkEncoder(tokens.public_tokenizer(name))
+    odd = ["a, b. c! é, ü. ñ'! ’x a' 'a A, ,a a,, \nA, x\ny. Ā, ɏ, ɐ, 漢, a漢, 1, a1, \x01a, a\x01,", None, "", ", . a", "İ, ǅ, ª, º.", "don't, stop! I'll, we're. x'"]
+    assert encode.batch(odd) == [encode._encode([x])[0] if x else b"" for x in odd]
+    many = [" ".join(f"{chr(97 + i % 26)}{chr(97 + i // 26 % 26)}{chr(97 + i // 676)}" for i in range(17000))]
+    taken = []
+    pieces = tokens.ChunkEncoder._pieces
+    monkeypatch.setattr(tokens.ChunkEncoder, "_pieces", staticmethod(lambda c: taken.append(c) or pieces(c)))
+    before = [x["collections"] for x in gc.get_stats()]
+    got = encode.batch(many)
+    assert [x["collections"] for x in gc.get_stats()] == before and gc.isenabled() and not taken
+    assert got == encode._encode(many)
